@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, secrets
+from pyspark.sql import functions as F
+
+from . import bpe, chat, fingerprints, language, packing, secrets, suffix, topk
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file; they come with the package public_tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_curve_packing(spark, sf_dir):
+    return packing.pack_documents(_docs(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+def op4_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.round_trip(_docs(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_chat_formatting(spark, sf_dir):
     return chat.digest(chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -17,9 +42,28 @@ def op6_document_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_pairs(_docs(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix.scan(_docs(spark, sf_dir))
+
+
+def op8_topk_search(spark, sf_dir):
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op10_secret_scans(spark, sf_dir):
     return secrets.find_secrets(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_formatting, op6_document_fingerprints, op10_secret_scans)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_curve_packing, op4_byte_bpe, op5_chat_formatting, op6_document_fingerprints, op7_suffix_dedup, op8_topk_search, op10_secret_scans)}
+ORACLES: dict[str, str] = {
+    "op8_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
