@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX1, MIX2, doc_chunks, id_text, mix, partitions, shared_dir, small_batches, text_bytes
+from .common import MIX1, MIX2, doc_chunks, mix, partitions, shared_dir, small_batches, text_bytes
 
 LENGTH = 50
 #: Bytes of an anchor's k-gram, and how far a string through it can reach to either side.
 K = 24
 REACH = LENGTH - K
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max
 _SAMPLED = 64
 
@@ -123,7 +123,8 @@ def _entries(ids: np.ndarray, offs: np.ndarray, data: np.ndarray, buckets: int):
     return places, doc, index, hashes, most > least, bucket
 
 
-def _blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def _blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
+    """Rows by block: -1 its texts, -2 sampled leading bytes, -3 the carried columns, others anchor hashes by bucket."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -131,12 +132,18 @@ def _blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFr
 
         part, seq = TaskContext.get().partitionId(), 0
 
-        def emit(block, ids, texts):
+        def emit(block, ids, texts, rest):
             raw = _pack_block(ids, pa.concat_arrays(texts))
             own, offs, _, data = _unpack_block(raw)
             places, _, _, hashes, several, bucket = _entries(own, offs, data, buckets)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             rows = [(-1, raw)]
+            if carried:
+                sink = pa.BufferOutputStream()
+                table = pa.Table.from_batches(rest).combine_chunks()
+                with pa.ipc.new_stream(sink, table.schema) as w:
+                    w.write_table(table)
+                rows.append((-3, sink.getvalue().to_pybytes()))
             for b in range(buckets):
                 lo, hi = cuts[b], cuts[b + 1]
                 if hi > lo:
@@ -148,25 +155,30 @@ def _blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFr
 
         ids: list = []
         texts: list = []
+        rest: list = []
         size = 0
         for b in batches:
             col = b.column("text").cast(pa.large_string())
             own = b.column("doc_id").to_pylist()
+            more = b.select([f"c{k}" for k in range(len(carried))])
             offs = text_bytes(col)[1]
             lo = 0
             for k in range(len(own)):
-                if k >= lo and size + offs[k + 1] - offs[lo] > BLOCK_BYTES and (ids or k > lo):
+                if size + offs[k + 1] - offs[lo] > BLOCK_BYTES and (ids or k > lo):
                     ids += own[lo:k]
                     texts.append(col.slice(lo, k - lo))
-                    yield emit((part << 32) + seq, ids, texts)
-                    seq, ids, texts, size, lo = seq + 1, [], [], 0, k
+                    rest.append(more.slice(lo, k - lo))
+                    yield emit((part << 32) + seq, ids, texts, rest)
+                    seq, ids, texts, rest, size, lo = seq + 1, [], [], [], 0, k
             ids += own[lo:]
             texts.append(col.slice(lo))
+            rest.append(more.slice(lo))
             size += int(offs[-1] - offs[lo])
         if ids:
-            yield emit((part << 32) + seq, ids, texts)
+            yield emit((part << 32) + seq, ids, texts, rest)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "block long, bucket int, payload binary")
+    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carried)])
+    return x.mapInArrow(run, "block long, bucket int, payload binary")
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -268,6 +280,31 @@ def _refine(cls: np.ndarray, byte: np.ndarray) -> np.ndarray:
     return np.unique(cls * 256 + byte, return_inverse=True)[1]
 
 
+#: Suffixes that are compared in their surroundings at once.
+_STRETCH = 1 << 15
+
+
+def _reached(x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest bytes left of the anchor over the strings through it that a smaller doc_id has too; last is -1 if none."""
+    n, around = len(x), x["around"]
+    low, high = _reachable(x["left"], x["right"])
+    lefts, rights = [group], [group]
+    for j in range(REACH):
+        lefts.append(_refine(lefts[-1], around[:, REACH - 1 - j].astype(np.int64)))
+        rights.append(_refine(rights[-1], around[:, REACH + K + j].astype(np.int64)))
+    first, last = np.full(n, LENGTH, np.int64), np.full(n, -1, np.int64)
+    for j in range(REACH + 1):
+        ok = np.flatnonzero((low <= j) & (j <= high))
+        if len(ok):
+            cls = np.unique(lefts[j][ok] * (n + 1) + rights[REACH - j][ok], return_inverse=True)[1]
+            least = np.full(cls.max() + 1, _LAST, np.int64)
+            np.minimum.at(least, cls, x["doc"][ok])
+            hit = ok[least[cls] < x["doc"][ok]]
+            first[hit] = np.minimum(first[hit], j)
+            last[hit] = j
+    return first, last
+
+
 def _repeats(table: pa.Table) -> pa.Table:
     """Of one range: to each block, the spans of its entries that a smaller doc_id repeats."""
     blocks, payloads = table.column("block").to_pylist(), table.column("payload").to_pylist()
@@ -287,36 +324,24 @@ def _repeats(table: pa.Table) -> pa.Table:
         np.maximum.at(high_doc, group, docs)
         keep = (high_doc > low_doc)[group]
         order, group = order[keep], group[keep]
-        if len(order):
-            x, src = e[order], source[order]
-            n, around = len(x), x["around"]
-            low, high = _reachable(x["left"], x["right"])
-            lefts, rights = [group], [group]
-            for j in range(REACH):
-                lefts.append(_refine(lefts[-1], around[:, REACH - 1 - j].astype(np.int64)))
-                rights.append(_refine(rights[-1], around[:, REACH + K + j].astype(np.int64)))
-            first, last = np.full(n, LENGTH, np.int64), np.full(n, -1, np.int64)
-            for j in range(REACH + 1):
-                ok = np.flatnonzero((low <= j) & (j <= high))
-                if not len(ok):
-                    continue
-                cls = np.unique(lefts[j][ok] * (n + 1) + rights[REACH - j][ok], return_inverse=True)[1]
-                least = np.full(cls.max() + 1, _LAST, np.int64)
-                np.minimum.at(least, cls, x["doc"][ok])
-                hit = ok[least[cls] < x["doc"][ok]]
-                first[hit] = np.minimum(first[hit], j)
-                last[hit] = j
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(order) else np.zeros(0, np.int64)
+        at = 0
+        while at < len(order):  # whole stretches of equal k-grams, some ten thousand suffixes at a time
+            end = int(starts[np.searchsorted(starts, at + _STRETCH)]) if at + _STRETCH <= starts[-1] else len(order)
+            part = order[at:end]
+            first, last = _reached(e[part], group[at:end] - group[at])
             hit = np.flatnonzero(last >= 0)
-            place = x["place"].astype(np.int64)
-            for s in np.unique(src[hit]).tolist():
-                h = hit[src[hit] == s]
-                out.append((blocks[s], _pack_spans(x["local"][h], place[h] - last[h], place[h] - first[h] + LENGTH)))
+            x, src, place = e[part[hit]], source[part[hit]], e["place"][part[hit]].astype(np.int64)
+            by = np.argsort(src, kind="stable")
+            for h in np.split(by, np.flatnonzero(np.diff(src[by])) + 1) if len(by) else []:
+                out.append((blocks[src[h[0]]], _pack_spans(x["local"][h], place[h] - last[hit[h]], place[h] - first[hit[h]] + LENGTH)))
+            at = end
     return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "payload": pa.array([o[1] for o in out], pa.binary())})
 
 
-def spans_of_block(left: pa.Table, right: pa.Table):
+def spans_of_block(packed: bytes, right: pa.Table):
     """Yields (doc_id or None, bytes, starts, ends) of each document of a block, spans merged."""
-    ids, offs, none, data = _unpack_block(left.column("payload")[0].as_py())
+    ids, offs, none, data = _unpack_block(packed)
     raw = [np.frombuffer(p, "<i8").reshape(3, -1) for p in right.column("payload").to_pylist()]
     local, start, end = np.concatenate(raw, axis=1) if raw else np.zeros((3, 0), np.int64)
     if len(local):
@@ -334,12 +359,12 @@ def kept_bytes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join(text[a:b].tobytes() for a, b in edges.reshape(-1, 2).tolist())
 
 
-def find_repeats(docs: DataFrame, per_doc, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """per_doc(doc_id, bytes, starts, ends) of every document, as rows of schema."""
+def find_repeats(docs: DataFrame, per_block, schema, carried: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """per_block(documents of spans_of_block, carried columns or None) of every block, as rows of schema."""
     spark = docs.sparkSession
     n = max(1, partitions(spark))
     name = f"folio_suffix_{uuid.uuid4().hex}"
-    _blocks(docs, n, id_col, text_col).write.bucketBy(n, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    _blocks(docs, n, id_col, text_col, carried).write.bucketBy(n, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     kept = spark.table(name)
 
     def leads(batches):
@@ -356,29 +381,42 @@ def find_repeats(docs: DataFrame, per_doc, schema: str, id_col: str = "doc_id",
 
     entries = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(candidates, "block long, range int, payload binary")
     spans = entries.groupBy("range").applyInArrow(_repeats, "block long, payload binary")
-    names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [per_doc(*x) for x in spans_of_block(left, right)] if left.num_rows else []
-        return pa.table({c: pa.array([r[k] for r in rows]) if rows else pa.array([], pa.null()) for k, c in enumerate(names)})
+        kinds = dict(zip(left.column("bucket").to_pylist(), left.column("payload"), strict=True))
+        if -1 not in kinds:
+            return per_block(iter(()), None)
+        rest = pa.ipc.open_stream(kinds[-3].as_buffer()).read_all() if -3 in kinds else None
+        return per_block(spans_of_block(kinds[-1].as_py(), right), rest)
 
-    return texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(finish, schema)
+    left = kept.where("bucket in (-1, -3)").select("block", "bucket", "payload")
+    return left.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(finish, schema)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
 
-    def row(doc, text, start, end):
-        return doc, len(text), int((end - start).sum()), len(start), hashlib.sha256(kept_bytes(text, start, end)).hexdigest()
+    def rows(documents, _) -> pa.Table:
+        out = [(doc, len(text), int((end - start).sum()), len(start), hashlib.sha256(kept_bytes(text, start, end)).hexdigest()) for doc, text, start, end in documents]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return find_repeats(docs, rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", [], id_col, text_col)
 
-    return find_repeats(docs, row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col)
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with repeated bytes removed from the texts, and chars_col, if there, the new lengths.  Null texts become empty."""
+    names = docs.columns
+    carried = [c for c in names if c not in (text_col, chars_col)]
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_chars) with repeated bytes removed; a character that lost some of its bytes goes."""
+    def rows(documents, rest) -> pa.Table:
+        texts = [kept_bytes(text, start, end).decode("utf-8", "ignore") for _, text, start, end in documents]
+        new = {text_col: pa.array(texts, pa.string()), chars_col: pa.array([len(t) for t in texts], pa.int64())}
+        old = {c: rest.column(k) if rest is not None else pa.array([], pa.null()) for k, c in enumerate(carried)}
+        return pa.table([(new if c in new else old)[c] for c in names], names=names)
 
-    def row(doc, text, start, end):
-        kept = kept_bytes(text, start, end).decode("utf-8", "ignore")
-        return doc, kept, len(kept)
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    return find_repeats(docs, row, "doc_id long, text string, n_chars long", id_col, text_col)
+    kinds = {text_col: StringType(), chars_col: LongType()}
+    schema = StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in docs.schema.fields])
+    return find_repeats(docs, rows, schema, carried, id_col, text_col)
