@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language, packing, secrets, suffix, topk
+from . import bpe, chaining, chat, fingerprints, jaccard, language, packing, secrets, suffix, topk
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_curve_packing(spark, sf_dir):
     return packing.pack_documents(_docs(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_fuzzy_passages(spark, sf_dir):
+    return chaining.find_passages(_docs(spark, sf_dir))
+
+
 def op4_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -50,12 +54,29 @@ def op8_topk_search(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.similar_components(_docs(spark, sf_dir))
+
+
 def op10_secret_scans(spark, sf_dir):
     return secrets.find_secrets(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_curve_packing, op4_byte_bpe, op5_chat_formatting, op6_document_fingerprints, op7_suffix_dedup, op8_topk_search, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_curve_packing, op3_fuzzy_passages, op4_byte_bpe, op5_chat_formatting, op6_document_fingerprints, op7_suffix_dedup, op8_topk_search, op9_jaccard_join, op10_secret_scans)}
 ORACLES: dict[str, str] = {
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        r(doc_id, near) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.near)
+        SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(near) FROM r WHERE r.doc_id = t.doc_id) AS component_id
+        FROM t LEFT JOIN n ON n.doc_id = t.doc_id
+    """,
     "op8_topk_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
