@@ -1,19 +1,22 @@
-"""All queries of the engine by SURVEY id, gathered from the operator modules."""
+"""All queries of the engine by inventory id, gathered from the operator modules."""
 
 from __future__ import annotations
 
 
 def modules() -> list:
-    return []
+    from folio.operators import classify, cleanup, joins, jobs, ledger, outline, structure, telemetry
+
+    return [cleanup, classify, structure, outline, joins, ledger, jobs, telemetry]
 
 
 def queries() -> dict:
-    return {k: v for m in modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in modules() for k, v in m.CATALOG.queries.items()}
 
 
 def oracles() -> dict:
-    return {k: v for m in modules() for k, v in m.ORACLES.items()}
+    return {k: v for m in modules() for k, v in m.CATALOG.oracles.items()}
 
 
 def flagship(spark, sf_dir: str):
-    return next(iter(queries().values()))(spark, sf_dir)
+    """Cleanup of all documents, rolled up by language."""
+    return queries()["a01"](spark, sf_dir)
