@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,11 +25,12 @@ def ship(spark: SparkSession) -> SparkSession:
     if getattr(sc, "_folio_shipped", False):
         return spark
     home = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as tmp:
-        archive = Path(tmp) / "folio.zip"
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(home.rglob("*.py")):
-                z.write(f, f.relative_to(home.parent))
-        sc.addPyFile(str(archive))
+    tmp = tempfile.mkdtemp(prefix="folio-")  # the driver serves it to the executors until it ends
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    archive = Path(tmp) / "folio.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(archive))
     sc._folio_shipped = True
     return spark
