@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, partitions, shared_dir, small_batches
+from .common import id_text, partitions, ragged, shared_dir, small_batches
 
 #: Bytes of text in a block; a single longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -44,15 +44,6 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
 
 
-def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Indexes of the concatenated stretches [start, start + len)."""
-    total = int(lens.sum())
-    if total == 0:
-        return np.zeros(0, np.int64)
-    ends = np.cumsum(lens)
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)
-
-
 def _pack_words(words: list[bytes], index: np.ndarray) -> bytes:
     lens = np.fromiter(map(len, words), np.int32, len(words))
     return zlib.compress(np.int32(len(words)).tobytes() + index.astype(np.int32).tobytes() + lens.tobytes() + b"".join(words), 1)
@@ -153,7 +144,7 @@ def assemble(docs: pa.Table, answers: pa.Table):
     for doc, raw in zip(docs.column("doc_id").to_pylist(), docs.column("payload").to_pylist(), strict=True):
         planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
         at = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-        yield doc, ids[_ragged(where[at], count[at])]
+        yield doc, ids[ragged(where[at], count[at])]
 
 
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +161,7 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def decode_ids(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
     flat, start, lens = table
     ids = ids.astype(np.int64)
-    return b"".join(flat[_ragged(start[p], lens[p])].tobytes() for p in (ids[k : k + (1 << 16)] for k in range(0, len(ids), 1 << 16)))
+    return b"".join(flat[ragged(start[p], lens[p])].tobytes() for p in (ids[k : k + (1 << 16)] for k in range(0, len(ids), 1 << 16)))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, per_doc, schema: str, names: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -163,5 +163,10 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
         return mix(out)
 
 
-def pack(*cols: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in cols)
+def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Indexes of the concatenated stretches [start, start + len)."""
+    total = int(lens.sum())
+    if total == 0:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(lens)
+    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)

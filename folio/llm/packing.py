@@ -13,46 +13,117 @@ are packed each; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, partitions, small_batches
+from .common import doc_chunks, id_text, materialize, partitions, ragged, small_batches, text_bytes, words_of
 
 DIMS, BITS, HASHED = 3, 8, 1024
-_CACHED = 400_000
+#: What a Python worker remembers from one task to the next.
+_KEPT: dict = {}
+# Fixed value: the pattern by which the vocabulary file cuts words.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def word_tokenizer(path: str):
-    """Encoder of whole texts that encodes each distinct white-space separated stretch once.
+class Generations(dict):
+    """A bounded memory of make(key): when full it becomes the old generation, from which what is used again comes back."""
 
-    The vocabulary drops white space and no token crosses it, so stretches are independent.  Python also splits at
-    U+001C to U+001F, which the tokenizer keeps; texts that hold one are encoded directly.
-    """
-    from tokenizers import Tokenizer
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    kind = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
-    class Cache(dict):
-        def __missing__(self, word):
-            if len(self) > _CACHED:
-                self.clear()
-            ids = self[word] = np.array(t.encode(word, add_special_tokens=False).ids, kind).tobytes()
-            return ids
 
-    cache = Cache()
-    odd = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
+class WordTokenizer:
+    """Ids of whole texts, every distinct white-space separated stretch encoded once.
 
-    def encode(text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f") and text != text.translate(odd):
-            return np.array(t.encode(text, add_special_tokens=False).ids, kind).tobytes()
-        return b"".join([cache[w] for w in text.split()])
+    The vocabulary drops white space and no token crosses it, so stretches are independent.  A batch's stretches are
+    hashed and told apart in numpy (64 bits); only those that this worker has not met become strings.
+    """
 
-    return encode, kind
+    def __init__(self, path: str, most: int = 1_000_000):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_file(path)
+        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.kind = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
+        self.find, self.most = regex.compile(_PIECES).findall, most
+        self.pieces = Generations(self._encode, 500_000)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _encode(self, piece: str) -> bytes:
+        return np.array(self.t.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, w: str) -> bytes:
+        if w.isascii():
+            if not w.isprintable():
+                return self._encode(w)
+            w = w.lower()  # as the vocabulary does, before it looks for 's and the like
+        elif "'" in w or not w.isprintable() or not is_normalized("NFC", w):
+            return self._encode(w)
+        return self.pieces[w] if w.isalpha() else b"".join([self.pieces[p] for p in self.find(w)])
+
+    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+        for h, raw in zip(hashes, words, strict=True):
+            ids = np.frombuffer(self._word(raw.decode()), self.kind)
+            k = len(self.slots)
+            if k == len(self.start):
+                self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.start[k], self.length[k] = self.used, len(ids)
+            self.used += len(ids)
+            self.slots[h] = k
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of the texts in them)."""
+        import pandas as pd
+
+        parts = [(*words_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), offs[i]) for i, j in doc_chunks(offs)]
+        h = np.concatenate([x[0] for x in parts] or [np.zeros(0, np.uint64)])
+        first, last = (np.concatenate([x[k] + x[4] for x in parts] or [np.zeros(0, np.int64)]) for k in (1, 2))
+        words = np.concatenate([[0], *[np.diff(x[3]) for x in parts]]).cumsum()
+        codes, distinct = pd.factorize(h)
+        if len(self.slots) > self.most:
+            self._clear()
+        known = distinct.tolist()
+        new = [k for k, v in enumerate(known) if v not in self.slots]
+        if new:
+            where = np.zeros(len(distinct), np.int64)
+            where[codes[::-1]] = np.arange(len(codes))[::-1]
+            at = where[new]
+            raw = data.tobytes()
+            self._learn([known[k] for k in new], [raw[a:b] for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)])
+        slot = np.fromiter(map(self.slots.__getitem__, known), np.int64, len(known))[codes]
+        size = self.length[slot]
+        return self.flat[ragged(self.start[slot], size)], np.append(0, size.cumsum())[words]
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """This worker's tokenizer for the file; what it has learnt lasts from one task to the next."""
+    if path not in _KEPT:
+        _KEPT[path] = WordTokenizer(path)
+    return _KEPT[path]
 
 
 def hilbert(coords: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -95,18 +166,32 @@ def curve_points(ids: list[np.ndarray], seed: int = 11) -> np.ndarray:
     return np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
+#: Bytes of text that are tokenized together.
+BATCH_BYTES = 4 << 20
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, key, ids): ids as packed little-endian integers, key the place on the curve and a hash of doc_id."""
     small_batches(docs.sparkSession)
 
+    def finish(t: WordTokenizer, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        ids, cut = t.encode(*text_bytes(table.column("text").cast(pa.large_string())))
+        end = np.array([end_id], t.kind)
+        each = [np.concatenate([ids[a:b], end]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        key = (hilbert(curve_points(each)) << 36) | np.asarray(table.column("tie"))
+        return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(np.diff(cut) + 1), pa.array(key, pa.int64()), pa.array([x.tobytes() for x in each], pa.binary())], ["doc_id", "n", "key", "ids"])
+
     def run(batches):
-        encode, kind = word_tokenizer(path)
-        end = np.array([end_id], kind).tobytes()
+        t, held, size = word_tokenizer(path), [], 0
         for b in batches:
-            raw = [encode(t) + end for t in b.column("text").to_pylist()]
-            key = hilbert(curve_points([np.frombuffer(r, kind) for r in raw])) if raw else np.zeros(0, np.int64)
-            key = (key << 36) | np.asarray(b.column("tie"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(r) // kind.itemsize for r in raw], pa.int64()), pa.array(key, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n", "key", "ids"])
+            held.append(b)
+            size += b.nbytes
+            if size >= BATCH_BYTES:
+                yield finish(t, held)
+                held, size = [], 0
+        if held:
+            yield finish(t, held)
 
     x = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("doc_id").bitwiseAND((1 << 36) - 1))
     return x.mapInArrow(run, "doc_id long, n long, key long, ids binary")
