@@ -25,7 +25,6 @@ TRANSITIONS = {
 LIVE_TRANSITIONS = {"awaiting_approval": ["processing_queued"], "processing_queued": ["processing"]}
 KEEP_DAYS = {"completed": 7, "failed": 30, "denied": 30}
 NOW = "1997-01-01 00:00:00"
-_STATUS = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "processing").otherwise("pii_scanning")
 STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'processing' ELSE 'pii_scanning' END"
 
 
@@ -34,7 +33,9 @@ def _now() -> Column:
 
 
 def jobs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), _STATUS.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("price"))
+    s = F.col("o_orderstatus")
+    status = F.when(s == "F", "completed").when(s == "O", "processing").otherwise("pii_scanning")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("price"))
 
 
 @CATALOG.add("p16", f"SELECT o_orderkey AS job_id FROM orders WHERE {STATUS_SQL} = 'completed' AND o_orderdate < TIMESTAMP '{NOW}' - INTERVAL 30 DAY")
