@@ -20,11 +20,14 @@ SQUEEZE_SQL = "regexp_replace(regexp_replace(regexp_replace({x}, ' {{2,}}', ' ',
 
 
 # Word boundaries are Unicode's here and ASCII's in the other engine, so queries that need them replace other letters in both.
-FOLD_SQL = "regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')"
+COLLAPSE_SQL = "list_reduce(list_prepend({x}, list_transform(list_reverse_sort(list_transform(list_distinct(regexp_extract_all({x}, '\\b(?:[a-zA-Z] ){{3,}}[a-zA-Z]\\b')), lambda m: {{{{'l': length(m), 'm': m}}}})), lambda s: s.m)), lambda a, m: replace(a, m, replace(m, ' ', '')))".replace("{{{{", "{{").replace("}}}}", "}}")
+FOLD_SQL = "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')"
 
+MARK_SQL = FOLD_SQL.replace("'_'", "'x'")
 
-def _fold(column: str = "text") -> Column:
-    return F.regexp_replace(column, r"[^\x00-\x7F]", "x")
+
+def _fold(column: str = "text", new: str = "_") -> Column:
+    return F.regexp_replace(column, r"[^\x00-\x7F]", new)
 
 
 def _digest(x: Column) -> list[Column]:
@@ -47,7 +50,7 @@ _noise_pua_sql = "replace(replace(text, 'an', 'a' || chr(57344) || 'n'), '. ', '
 _over_documents("f01", lambda x, i: T.mend_private(_noise_pua(x)), f"regexp_replace(regexp_replace(regexp_replace({_noise_pua_sql}, '([A-Za-z0-9]){PUA_SQL}([A-Za-z0-9])', '\\1-\\2', 'g'), '([A-Za-z0-9]){PUA_SQL}([A-Za-z0-9])', '\\1-\\2', 'g'), '{PUA_SQL}', chr(65533), 'g')")
 _over_documents("f02", lambda x, i: T.drop_private(F.concat(_noise_pua(x), F.lit("�"))), f"regexp_replace(replace({_noise_pua_sql} || chr(65533), chr(65533), ''), '{PUA_SQL}', '', 'g')")
 _over_documents("f03", lambda x, i: T.nfkc(x), "nfc_normalize(text)")
-_over_documents("f04", lambda x, i: T.close_letters(F.concat(F.lit("the r e q u i r e d item "), x)), "'the required item ' || text")
+_over_documents("f04", lambda x, i: T.close_letters(F.concat(F.lit("the r e q u i r e d item "), _fold())), COLLAPSE_SQL.format(x=f"('the r e q u i r e d item ' || {FOLD_SQL})"))
 _over_documents("f05", lambda x, i: T.squeeze(F.replace(F.replace(x, F.lit(". "), F.lit(".   ")), F.lit("\n"), F.lit("  \n\n\n\n"))), SQUEEZE_SQL.format(x="replace(replace(text, '. ', '.   '), chr(10), '  ' || chr(10) || chr(10) || chr(10) || chr(10))"))
 _over_documents("f06", lambda x, i: T.plain_quotes(F.replace(F.replace(x, F.lit(","), F.lit("”")), F.lit("."), F.lit("’"))), "replace(replace(text, ',', '\"'), '.', '''')")
 _over_documents("m08", lambda x, i: T.join_hyphens(F.replace(x, F.lit(" th"), F.lit("-\n\nth"))), "regexp_replace(replace(text, ' th', '-' || chr(10) || chr(10) || 'th'), '([a-z])-\\n\\n([a-z])', '\\1\\2', 'g')")
@@ -59,7 +62,7 @@ def clean_final(x: Column) -> Column:
     return T.mend_links(T.squeeze(T.close_letters(T.nfkc(T.plain_quotes(T.drop_private(x))))))
 
 
-_over_documents("f10", lambda x, i: clean_final(F.concat(F.lit("“H e l l o” [a](site.org/x)  \n"), x)), "'\"Hello\" [a](http://site.org/x)' || chr(10) || " + SQUEEZE_SQL.format(x="text"))
+_over_documents("f10", lambda x, i: clean_final(F.concat(F.lit("\u201cH e l l o\u201d [a](site.org/x)  \n"), _fold())), "'\"Hello\" [a](http://site.org/x)' || chr(10) || " + SQUEEZE_SQL.format(x=COLLAPSE_SQL.format(x=FOLD_SQL)))
 _over_documents("x10", lambda x, i: T.clean_prompt(F.concat(F.lit(" </S>{a}[inst] Human: "), x), MARKERS), "CASE WHEN length(y0) > 200 THEN substr(y0, 1, 200) || '...' ELSE y0 END".replace("y0", "trim('{{a}}  ' || text, ' ' || chr(10) || chr(9) || chr(13))"))
 _over_documents("x12", lambda x, i: F.regexp_replace(F.lower(F.translate(T.nfkc(F.concat(F.lit("Note\t¹ "), x)), "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")), r"\s+", " "), "regexp_replace(lower('note 1 ' || nfc_normalize(text)), '\\s+', ' ', 'g')")
 
@@ -117,10 +120,10 @@ def figures_in_text(spark, sf_dir):
 CATALOG.oracles["m05"] = "SELECT conv_id, 'a![x\\]](figures/figure-1.png)b![' || role || '](figures/figure-2.png)c<!-- image -->' AS md FROM conversations WHERE turn = 0"
 
 
-@CATALOG.add("m13", f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({FOLD_SQL}, '\\b[a-zA-Z]{{2,}}\\b')) AS word FROM benchmark) GROUP BY word")
+@CATALOG.add("m13", f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({MARK_SQL}, '\\b[a-zA-Z]{{2,}}\\b')) AS word FROM benchmark) GROUP BY word")
 def prose_words(spark, sf_dir):
     """Words of prose.  Code, URLs and markup go first; link and image texts stay."""
-    x = _fold()
+    x = _fold(new="x")  # an underscore is markup here
     for pattern, new in (("```[\\s\\S]*?```", " "), ("`[^`]*`", " "), ("https?://\\S+", " "), ("<[^>]+>", " "), ("\\[([^\\]]*)\\]\\([^)]*\\)", "$1"), ("[*_~#>|]", " ")):
         x = F.regexp_replace(x, pattern, new)
     return table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(x, F.lit("\\b[a-zA-Z]{2,}\\b"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))

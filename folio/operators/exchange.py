@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators.cleanup import COLLAPSE_SQL, FOLD_SQL, SQUEEZE_SQL, clean_final
 from folio.plans.catalog import Catalog
 from folio.sources.tables import table
 
@@ -225,13 +226,11 @@ def across_pages(spark, sf_dir):
     return x.select("conv_id", F.md5(T.join_hyphens(F.array_join(F.transform("t", lambda v: v["text"]), "-\n\n"))).alias("v2"))
 
 
-@CATALOG.add("e14", "SELECT doc_id, y <> text AS changed FROM (SELECT doc_id, text, " + "regexp_replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t\\r\\f\\v]+(\\n|$)', '\\1', 'g')" + " AS y FROM documents)")
+@CATALOG.add("e14", f"SELECT doc_id, {SQUEEZE_SQL.format(x=COLLAPSE_SQL.format(x=FOLD_SQL))} <> {FOLD_SQL} AS changed FROM documents")
 def cleaned_up(spark, sf_dir):
     """The final cleanup logs one change if it changed anything."""
-    from folio.operators.cleanup import clean_final
-
-    return table(spark, sf_dir, "documents").select("doc_id", (clean_final(F.col("text")) != F.col("text")).alias("changed"))
-
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", "_")
+    return table(spark, sf_dir, "documents").select("doc_id", (clean_final(text) != text).alias("changed"))
 
 
 @CATALOG.add("e15", "SELECT DISTINCT l_returnflag AS tier, CASE l_returnflag WHEN 'A' THEN 'small' WHEN 'R' THEN 'large' ELSE 'default' END AS model FROM lineitem")
