@@ -11,28 +11,47 @@ Stages 1 to 4 return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import common, jaccard, language, packing, queries, secrets, suffix
 
 
+def _stage(f):
+    """A stage whose own tables go when the next stage begins: by then its result has been written."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(spark, "pipeline", unless=docs)
+        with common.scope("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_identified(docs, language.train(docs))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_one(docs)
 
 
+@_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(docs)
 
 
+@_stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact_secrets(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, queries.tokenizer_file("word_bpe_49k.json"))
 
@@ -54,5 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.materialize(docs, f"stage{k}")
+            with common.scope(f"pipeline input {k}"):
+                docs = common.materialize(docs, f"stage{k}")
+            common.release(spark, f"pipeline input {k - 1}")
     return docs

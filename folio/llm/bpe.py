@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, partitions, ragged, shared_dir, small_batches
+from .common import bucketed, id_text, partitions, ragged, small_batches
 
 #: Bytes of text in a block; a single longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -168,10 +167,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, per_doc, schema:
     """Encode every text; per_doc(ids, token-byte table) gives the values after doc_id of each output row."""
     spark = docs.sparkSession
     buckets = max(1, partitions(spark))
-    name = f"folio_bpe_{uuid.uuid4().hex}"
     blocks = blocks_of(docs, pattern, buckets, id_col, text_col)
-    blocks.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    kept = spark.table(name)
+    kept = bucketed(blocks, "bpe", buckets, "block")
 
     def encode(table: pa.Table) -> pa.Table:
         return encode_bucket(table, encoder(path, pattern))

@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +38,70 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR}"
 
 
+_SCOPE: str | None = None
+_MADE: list[tuple[str | None, str, str | None]] = []
+
+
+@contextmanager
+def scope(name: str):
+    """Tables that operators write meanwhile belong to `name`; release(name) removes them."""
+    global _SCOPE
+    before, _SCOPE = _SCOPE, name
+    try:
+        yield
+    finally:
+        _SCOPE = before
+
+
+def release(spark: SparkSession, name: str, unless: DataFrame | None = None) -> None:
+    """Remove the tables of a scope, but for those that `unless` still reads.
+
+    Only a caller who knows that nothing else will read them again may ask for it.
+    """
+    read = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in unless.inputFiles()} if unless is not None and any(x[0] == name for x in _MADE) else set()
+    gone = [x for x in _MADE if x[0] == name and x[1].split(":", 1)[-1].lstrip("/") not in read]
+    _MADE[:] = [x for x in _MADE if x not in gone]
+    for _, path, table in gone:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bucketed(df: DataFrame, kind: str, buckets: int, column: str) -> DataFrame:
+    """Write df as a table bucketed by a column in the shared folder; later joins on that column don't shuffle it."""
+    spark = df.sparkSession
+    name = f"folio_{kind}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    _MADE.append((_SCOPE, path, name))
+    df.write.bucketBy(buckets, column).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
+    _MADE.append((_SCOPE, path, None))
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds: very long texts come 512 rows at a time instead of 10,000."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+    """Bound what one Arrow batch holds: 512 rows instead of 10,000, and 16 MB, which a single longer row may exceed."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+#: What a Python worker remembers from one task to the next, by owner.
+WORKER_MEMORY: dict = {}
+
+
+def forget() -> None:
+    """Give back what other operators remember in this worker, before memory is needed for something else."""
+    WORKER_MEMORY.clear()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, id_text, materialize, partitions, ragged, small_batches, text_bytes, words_of
+from .common import WORKER_MEMORY, doc_chunks, id_text, materialize, partitions, ragged, small_batches, text_bytes, words_of
 
 DIMS, BITS, HASHED = 3, 8, 1024
-#: What a Python worker remembers from one task to the next.
-_KEPT: dict = {}
 # Fixed value: the pattern by which the vocabulary file cuts words.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -121,9 +119,9 @@ class WordTokenizer:
 
 def word_tokenizer(path: str) -> WordTokenizer:
     """This worker's tokenizer for the file; what it has learnt lasts from one task to the next."""
-    if path not in _KEPT:
-        _KEPT[path] = WordTokenizer(path)
-    return _KEPT[path]
+    if path not in WORKER_MEMORY:
+        WORKER_MEMORY[path] = WordTokenizer(path)
+    return WORKER_MEMORY[path]
 
 
 def hilbert(coords: np.ndarray, bits: int = BITS) -> np.ndarray:

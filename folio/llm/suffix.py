@@ -24,14 +24,13 @@ are ignored by `scan` and kept by `remove_repeats`, whose texts drop the charact
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX1, MIX2, doc_chunks, mix, partitions, shared_dir, small_batches, text_bytes
+from .common import MIX1, MIX2, bucketed, doc_chunks, forget, mix, partitions, small_batches, text_bytes
 
 LENGTH = 50
 #: Bytes of an anchor's k-gram, and how far a string through it can reach to either side.
@@ -130,6 +129,7 @@ def _blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str, carried:
     def run(batches):
         from pyspark import TaskContext
 
+        forget()
         part, seq = TaskContext.get().partitionId(), 0
 
         def emit(block, ids, texts, rest):
@@ -363,9 +363,7 @@ def find_repeats(docs: DataFrame, per_block, schema, carried: list[str], id_col:
     """per_block(documents of spans_of_block, carried columns or None) of every block, as rows of schema."""
     spark = docs.sparkSession
     n = max(1, partitions(spark))
-    name = f"folio_suffix_{uuid.uuid4().hex}"
-    _blocks(docs, n, id_col, text_col, carried).write.bucketBy(n, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    kept = spark.table(name)
+    kept = bucketed(_blocks(docs, n, id_col, text_col, carried), "suffix", n, "block")
 
     def leads(batches):
         for b in batches:
