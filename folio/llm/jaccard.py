@@ -12,9 +12,16 @@ neighbourhoods of its segments (a neighbourhood covers two differences at the co
 where even these are too few, by signatures for its empty segments.
 
 Signatures go to buckets as packed arrays, one row per block of documents and bucket.  A bucket returns the distinct
-lists of classes (documents with equal sets count once) that share a signature.  Pairs are verified exactly on the
-sets: first each class against one pivot of its lists, then, for lists that the links found so far do not
-join, every pair across their components.  Links are never expanded within a component that is already joined.
+lists of classes (documents with equal sets count once) that share signatures, and how many each list shares.
+A similar pair shares more than one signature: at least m minus its greatest symmetric difference minus a set's empty
+segments.  So a class with fewer shared signatures than it needs leaves all lists, whatever they are (a common
+passage alone is never enough), and lists are thinned until none leaves.  Pairs are verified exactly on the sets:
+first each class against one pivot of its lists, in two rounds.  For lists that the links found so far do not join
+the universe is partitioned to its single tokens: a class stays only if three quarters of its tokens (the
+threshold) are in other components too, which a common passage cannot make up, and candidates share one of the
+least frequent tokens, of which each set shows only as many as the threshold lets differ.  Classes that such tokens
+connect are compared part by part (GROUP sets with GROUP sets, by a matrix product), and only links that join
+components come out; pairs are never rows.
 
 Defined results: null text and text without words have the empty set, size 0, no links and their own doc_id as
 component; repeated rows give a row each; a null doc_id links like any other but is never a component id unless
@@ -24,20 +31,19 @@ classes are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _powers, doc_chunks, id_text, materialize, mix, partitions, shared_dir, shingles, small_batches, text_bytes, words_of
+from .common import _powers, bucketed, doc_chunks, forget, id_text, materialize, mix, partitions, ragged, shingles, small_batches, text_bytes, words_of
 from .suffix import _pack_block, _unpack_block
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Others verified against one pivot in one task group.
 GROUP = 256
-SLACK = 0.09
+SLACK = 0.12
 
 
 class Bands:
@@ -66,6 +72,12 @@ class Bands:
         own = int(np.searchsorted(np.array(self.high), size))
         return [own, own - 1] if own and size <= self.most(self.high[own - 1]) else [own]
 
+    def needed(self, size: int, scheme: int, empty: int) -> int:
+        """Fewest signatures that a set with so many empty segments shares in a scheme with any set similar to it there."""
+        other = self.most(size) if size <= self.high[scheme] else self.high[scheme]
+        h = ((self.den - self.num) * (size + other)) // (self.den + self.num)
+        return max(1, self.segments[scheme] - h - empty)
+
 
 def sets_of(data: np.ndarray, offs: np.ndarray, k: int):
     """Yields the sorted distinct shingle hashes of each document."""
@@ -90,12 +102,12 @@ def class_of(s: np.ndarray) -> int:
         return int(mix(x[:1] * np.uint64(3) + x[1:])[0].view(np.int64))
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Distinct signatures of a set in its schemes."""
-    out = []
+def signatures(s: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, int]]:
+    """Of a set, for its own scheme and, if it is in one, the scheme below: (distinct signatures, how many of them it needs)."""
+    every = []
     with np.errstate(over="ignore"):
         for b in bands.schemes(len(s)):
-            m = bands.segments[b]
+            m, out = bands.segments[b], []
             seg = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # sorted, as s is
             first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
             salted = s * np.uint64(0x9E6C63D0876A9A47)
@@ -111,45 +123,27 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
                 if lacking > int((sizes >= 2).sum()):
                     empty = np.setdiff1d(np.arange(m), at)
                     out.append(mix(((np.uint64(b + 1) << np.uint64(40)) + empty.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)))
-    return np.unique(np.concatenate(out))
-
+            every.append((np.unique(np.concatenate(out)), bands.needed(len(s), b, m - len(first))))
+    return every
 
-_SIG = np.dtype([("low", "<u4"), ("high", "u1"), ("of", "<u4")])
 
-
-def _blocks(docs: DataFrame, buckets: int, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows by block: -1 its texts, -2 (doc_id null, doc_id, size, class) of its documents, others signatures by bucket."""
+def _blocks(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows by block: -1 its texts, -2 (doc_id null, doc_id, size, class) of its documents."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq, bands = TaskContext.get().partitionId(), 0, Bands(num, den)
+        forget()
+        part, seq = TaskContext.get().partitionId(), 0
 
         def emit(block, ids, texts):
             raw = _pack_block(ids, pa.concat_arrays(texts))
             own, offs, none, data = _unpack_block(raw)
             n, cls = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-            seen: set[int] = set()
-            sigs, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
             for d, s in enumerate(sets_of(data, offs, k)):
                 n[d], cls[d] = len(s), class_of(s)
-                if len(s) and int(cls[d]) not in seen:
-                    seen.add(int(cls[d]))
-                    sigs.append(signatures(s, bands))
-                    of.append(np.full(len(sigs[-1]), d, np.uint32))
             rows = [(-1, raw), (-2, np.int64(len(own)).tobytes() + own.tobytes() + n.tobytes() + cls.tobytes() + none.tobytes())]
-            sig, who = np.concatenate(sigs), np.concatenate(of)
-            bucket = ((sig >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                x = order[cuts[b] : cuts[b + 1]]
-                if len(x):
-                    docs_, of_ = np.unique(who[x], return_inverse=True)
-                    e = np.empty(len(x), _SIG)
-                    e["low"], e["high"], e["of"] = sig[x].astype(np.uint32), (sig[x] >> np.uint64(32)).astype(np.uint8), of_
-                    rows.append((b, np.int64(len(docs_)).tobytes() + cls[docs_].tobytes() + n[docs_].tobytes() + e.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "payload"])
 
         ids: list = []
@@ -173,6 +167,54 @@ def _blocks(docs: DataFrame, buckets: int, k: int, num: int, den: int, id_col: s
     return id_text(docs, id_col, text_col).mapInArrow(run, "block long, bucket int, payload binary")
 
 
+def _deal(token: np.ndarray, who: np.ndarray, buckets: int, header):
+    """(bucket, payload) rows of 64-bit values with their owners: header(owners) first, then 5 bytes and an owner's place each."""
+    bucket = ((token >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        x = order[cuts[b] : cuts[b + 1]]
+        owners, of = np.unique(who[x] >> 1, return_inverse=True)
+        of = 2 * of + (who[x] & 1)
+        kind = np.dtype("<u2" if 2 * len(owners) < 1 << 16 else "<u4")
+        yield b, b"".join([np.array([len(owners), kind.itemsize], np.int64).tobytes(), header(owners), token[x].astype("<u4").tobytes(), (token[x] >> np.uint64(32)).astype(np.uint8).tobytes(), of.astype(kind).tobytes()])
+
+
+def _dealt(raw: bytes, header_bytes: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of owners, 40 bits of each value, places of the owners with their low bit)."""
+    m, wide = np.frombuffer(raw, np.int64, 2).tolist()
+    at = 16 + m * header_bytes
+    n = (len(raw) - at) // (5 + wide)
+    low, high = np.frombuffer(raw, "<u4", n, at), np.frombuffer(raw, np.uint8, n, at + 4 * n)
+    return m, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), np.frombuffer(raw, "<u2" if wide == 2 else "<u4", n, at + 5 * n)
+
+
+def _signed(k: int, num: int, den: int, buckets: int):
+    """Signatures of the blocks' distinct sets, dealt to buckets."""
+
+    def run(batches):
+        forget()
+        bands = Bands(num, den)
+        for batch in batches:
+            for raw in batch.column("payload"):
+                _, offs, _, data = _unpack_block(raw.as_py())
+                seen: set[int] = set()
+                sigs, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+                cls, n, need = np.zeros(len(offs) - 1, np.int64), np.zeros(len(offs) - 1, np.int64), np.zeros((len(offs) - 1, 2), np.int32)
+                for d, s in enumerate(sets_of(data, offs, k)):
+                    n[d], cls[d] = len(s), class_of(s)
+                    if len(s) and int(cls[d]) not in seen:
+                        seen.add(int(cls[d]))
+                        for below, (x, least) in enumerate(signatures(s, bands)):
+                            sigs.append(x)
+                            of.append(np.full(len(x), 2 * d + below, np.uint32))
+                            need[d, below] = least
+                rows = list(_deal(np.concatenate(sigs), np.concatenate(of), buckets, lambda o: cls[o].tobytes() + n[o].tobytes() + need[o].tobytes()))  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["bucket", "payload"])
+
+    return run
+
+
 def _documents(batches):
     """Unpack rows of kind -2."""
     for b in batches:
@@ -184,16 +226,16 @@ def _documents(batches):
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """Of one bucket: the distinct lists of two or more classes that share a signature."""
-    sig, cls, size = [], [], []
+    """Of one bucket: the distinct lists of two or more classes that share signatures, with the number they share here."""
+    sig, cls, size, need, below = [], [], [], [], []
     for raw in table.column("payload").to_pylist():
-        m = int(np.frombuffer(raw, np.int64, 1)[0])
-        c, n = np.frombuffer(raw, np.int64, m, 8), np.frombuffer(raw, np.int64, m, 8 + 8 * m)
-        e = np.frombuffer(raw, _SIG, -1, 8 + 16 * m)
-        sig.append(e["low"].astype(np.uint64) | e["high"].astype(np.uint64) << np.uint64(32))
-        cls.append(c[e["of"]])
-        size.append(n[e["of"]])
-    sig, cls, size = np.concatenate(sig), np.concatenate(cls), np.concatenate(size)
+        m, value, of = _dealt(raw, 24)
+        sig.append(value)
+        cls.append(np.frombuffer(raw, np.int64, m, 16)[of >> 1])
+        size.append(np.frombuffer(raw, np.int64, m, 16 + 8 * m)[of >> 1])
+        need.append(np.frombuffer(raw, np.int32, 2 * m, 16 + 16 * m)[of])
+        below.append((of & 1).astype(bool))
+    sig, cls, size, need, below = map(np.concatenate, (sig, cls, size, need, below))
     order = np.argsort(sig, kind="stable")
     s = sig[order]
     same = np.zeros(len(s), bool)
@@ -201,21 +243,52 @@ def _lists(table: pa.Table) -> pa.Table:
     same[:-1] |= same[1:].copy()
     order = order[same]
     order = order[np.lexsort((cls[order], sig[order]))]
-    s, c = sig[order], cls[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-    s, c, n = s[new], c[new], size[order][new]
+    new = np.ones(len(order), bool)
+    new[1:] = (sig[order][1:] != sig[order][:-1]) | (cls[order][1:] != cls[order][:-1])
+    order = order[new]
+    s, c, n, least, down = sig[order], cls[order], size[order], need[order], below[order]
     first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(s)))
-    with np.errstate(over="ignore"):
-        digest = np.add.reduceat(mix(c.view(np.uint64)), first) if len(s) else np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):  # the same classes in another scheme are another list: which of them are below their own tells
+        digest = np.add.reduceat(mix(c.view(np.uint64) * np.uint64(2) + down), first) if len(s) else np.zeros(0, np.uint64)
     keep = np.flatnonzero(count > 1)
-    _, pick = np.unique(np.column_stack([digest[keep], count[keep].astype(np.uint64)]), axis=0, return_index=True) if len(keep) else (None, np.zeros(0, np.int64))
-    keep = keep[pick]
+    shared = np.zeros(0, np.int64)
+    if len(keep):
+        _, pick, shared = np.unique(np.column_stack([digest[keep], count[keep].astype(np.uint64)]), axis=0, return_index=True, return_counts=True)
+        keep = keep[pick]
     lens = count[keep]
-    at = np.repeat(first[keep] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+    at = ragged(first[keep], lens)
     offs = pa.array(np.append(0, np.cumsum(lens)).astype(np.int32))
-    return pa.table({"digest": pa.array(digest[keep].view(np.int64)), "size": pa.array(lens.astype(np.int32)), "members": pa.ListArray.from_arrays(offs, pa.array(c[at])), "sizes": pa.ListArray.from_arrays(offs, pa.array(n[at]))})
+    as_list = lambda v: pa.ListArray.from_arrays(offs, pa.array(v[at]))
+    return pa.table({"digest": pa.array(digest[keep].view(np.int64)), "size": pa.array(lens.astype(np.int32)), "shared": pa.array(shared.astype(np.int64)), "cls": as_list(c), "n": as_list(n), "need": as_list(least), "below": as_list(down)})
+
+
+def _elsewhere(table: pa.Table, parts: int) -> pa.Table:
+    """Of one bucket of tokens: how many of each class's tokens another component has too, packed by parts of the classes."""
+    token, cls, comp = [], [], []
+    for raw in table.column("payload").to_pylist():
+        m, value, of = _dealt(raw, 16)
+        token.append(value)
+        cls.append(np.frombuffer(raw, np.int64, m, 16)[of >> 1])
+        comp.append(np.frombuffer(raw, np.int64, m, 16 + 8 * m)[of >> 1])
+    token, cls, comp = map(np.concatenate, (token, cls, comp))
+    order = np.argsort(token, kind="stable")
+    t, c = token[order], comp[order]
+    first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    mixed = np.repeat(np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first), np.diff(np.append(first, len(t))))
+    who, n = np.unique(cls[order][mixed], return_counts=True)
+    part = (mix(who.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    found = [(p, np.concatenate([who[part == p], n[part == p]]).tobytes()) for p in np.unique(part).tolist()]
+    return pa.table({"part": pa.array([p for p, _ in found], pa.int32()), "payload": pa.array([x for _, x in found], pa.binary())})
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Of one part of the classes: the counts of all buckets together."""
+    each = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.column("payload").to_pylist()]
+    cls, index = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
+    there = np.zeros(len(cls), np.int64)
+    np.add.at(there, index, np.concatenate([x[1] for x in each]))
+    return pa.table({"cls": pa.array(cls), "there": pa.array(there)})
 
 
 def _verifier(num: int, den: int):
@@ -235,6 +308,48 @@ def _verifier(num: int, den: int):
     return check
 
 
+def _joiner(num: int, den: int):
+    """Links between two parts of a group of candidates, as few as join the same components."""
+
+    def join(table: pa.Table) -> pa.Table:
+        raw = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        cls, comp = np.asarray(table.column("cls").combine_chunks()), table.column("comp").to_pylist()
+        first, second = (np.flatnonzero(np.asarray(table.column(c).combine_chunks())) for c in ("first", "second"))
+        n = np.array([len(x) for x in raw], np.int64)
+        token, index = np.unique(np.concatenate(raw), return_inverse=True)
+        owner = np.repeat(np.arange(len(raw)), n)
+        often = np.bincount(index) > 1  # others are in one set only
+        place = np.cumsum(often) - 1
+        keep = often[index]
+        owner, index = owner[keep], place[index[keep]]
+        order = np.argsort(index, kind="stable")
+        owner, index = owner[order], index[order]
+        common = np.zeros((len(first), len(second)), np.float32)
+        for at in range(0, int(often.sum()), 4096):
+            lo, hi = np.searchsorted(index, [at, at + 4096])
+            m = np.zeros((len(raw), 4096), np.float32)
+            m[owner[lo:hi], index[lo:hi] - at] = 1
+            common += m[first] @ m[second].T  # whole numbers, exact up to 2**24
+        root = {c: c for c in comp}
+
+        def find(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        common = np.rint(common).astype(np.int64)
+        a, b = np.nonzero(den * common >= num * (n[first][:, None] + n[second][None, :] - common))
+        out = []
+        for i, j in zip(first[a].tolist(), second[b].tolist(), strict=True):
+            x, y = find(comp[i]), find(comp[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((cls[i], cls[j]))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return join
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cls, comp): the least class that each node reaches over undirected edges (a, b), by label propagation and pointer jumping."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -249,18 +364,60 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+def _sets_at(block: pa.Table, places: list[int], k: int):
+    """The sets of some documents of a block, in the order asked."""
+    _, offs, _, data = _unpack_block(block.column("payload")[0].as_py())
+    for pos in places:
+        text = data[offs[pos] : offs[pos + 1]]
+        yield next(sets_of(text, np.array([0, len(text)], np.int64), k))
+
+
+def thin(member: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Members of lists (digest, size, shared, cls, n, need, below) without the classes that share too little there.
+
+    With labels, only lists that hold another component than the class's own count.  Lists that are left with one
+    class, or one component, go.
+    """
+    what = "cls"
+    if labels is not None:
+        member, what = member.join(labels, "cls"), "comp"
+    key = ["digest", "size"]
+    ends = member.groupBy(*key).agg(F.min(what).alias("__x"), F.max(what).alias("__y")).where("__x <> __y").select(*key)
+    open_ = member.join(ends, key)
+    enough = open_.groupBy("cls", "below").agg(F.sum("shared").alias("__s"), F.max("need").alias("__n")).where("__s >= __n").select("cls", "below")
+    return materialize(open_.join(enough, ["cls", "below"]).select(*key, "shared", "cls", "n", "need", "below"), "thin")
+
+
+def _stars(member: DataFrame, close, tried: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b): for each class b one pivot a near it in size, the one that shares most with its lists' members.
+
+    The original of a group of near copies shares more with them than they do with each other, so it comes first.
+    With `tried`, members carry their component; pivots are of other components and were not tried before.
+    """
+    key = ["digest", "size"]
+    weight = member.groupBy("cls").agg(F.sum(F.col("shared") * (F.col("size") - 1)).alias("w"))
+    x = member.join(weight, "cls")
+    if tried is None:
+        x = x.withColumn("comp", F.col("cls"))
+    heads = x.groupBy(*key).agg(F.max(F.struct("w", "cls", "n", "comp")).alias("a"))
+    pairs = x.join(heads, key).where((F.col("comp") != F.col("a.comp")) & close(F.col("n"), F.col("a.n"))).select(F.col("a.cls").alias("a"), F.col("cls").alias("b"), F.col("a.w").alias("w"))
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    return pairs.groupBy("b").agg(F.max(F.struct("w", "a")).alias("m")).select("m.a", "b")
+
+
 def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link when den * |A n B| >= num * |A u B|."""
     spark = docs.sparkSession
     buckets = max(1, partitions(spark))
-    name = f"folio_jaccard_{uuid.uuid4().hex}"
-    _blocks(docs, buckets, k, num, den, id_col, text_col).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    kept = spark.table(name)
+    kept = bucketed(_blocks(docs, k, id_col, text_col), "jaccard", buckets, "block")
     texts = kept.where("bucket = -1").select("block", "payload")
     rows = kept.where("bucket = -2").select("block", "payload").mapInArrow(_documents, "block long, pos long, doc_id long, n long, cls long")
-    lists = kept.where("bucket >= 0").groupBy("bucket").applyInArrow(_lists, "digest long, size int, members array<long>, sizes array<long>")
-    lists = materialize(lists.dropDuplicates(["digest", "size"]), "lists")
-    member = lists.select("digest", "size", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("digest", "size", F.col("m.members").alias("cls"), F.col("m.sizes").alias("n"))
+    lists = texts.select("payload").mapInArrow(_signed(k, num, den, buckets), "bucket int, payload binary").groupBy("bucket").applyInArrow(_lists, "digest long, size int, shared long, cls array<long>, n array<long>, need array<int>, below array<boolean>")
+    lists = lists.groupBy("digest", "size").agg(F.sum("shared").alias("shared"), F.first(F.arrays_zip("cls", "n", "need", "below")).alias("m"))
+    member = materialize(lists.select("digest", "size", "shared", F.explode("m").alias("m")).select("digest", "size", "shared", "m.cls", "m.n", "m.need", "m.below"), "member")
+    for _ in range(2):
+        member = thin(member)
     nodes = member.select("cls").distinct()
     places = materialize(rows.join(nodes, "cls").groupBy("cls").agg(F.min(F.struct("block", "pos")).alias("at")).select("cls", "at.block", "at.pos"), "places")
     nodes = places.select("cls")
@@ -269,14 +426,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            _, offs, _, data = _unpack_block(left.column("payload")[0].as_py())
             asked: dict[int, list] = {}
             for r in right.to_pylist():
                 asked.setdefault(r["pos"], []).append(r)
-            for pos, wanted in asked.items():
-                text = data[offs[pos] : offs[pos + 1]]
-                tokens = next(sets_of(text, np.array([0, len(text)], np.int64), k)).tobytes()
-                out += [(r["a"], r["salt"], r["pivot_row"], r["cls"], tokens) for r in wanted]
+            for wanted, tokens in zip(asked.values(), _sets_at(left, list(asked), k), strict=True):
+                out += [(r["a"], r["salt"], r["pivot_row"], r["cls"], tokens.tobytes()) for r in wanted]
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["a", "salt", "pivot_row", "cls", "tokens"])
 
@@ -289,22 +443,73 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
         sent = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(send, "a long, salt int, pivot_row boolean, cls long, tokens binary")
         return materialize(sent.groupBy("a", "salt").applyInArrow(_verifier(num, den), "a long, b long"), what)
 
-    # each class against one pivot: the least class of all its lists that is near it in size
-    heads = lists.select(F.get("members", F.lit(0)).alias("a"), F.get("sizes", F.lit(0)).alias("n_a"), F.explode(F.arrays_zip("members", "sizes")).alias("m"))
-    stars = heads.where((F.col("m.members") != F.col("a")) & close(F.col("n_a"), F.col("m.sizes"))).groupBy(F.col("m.members").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    stars = materialize(stars, "stars")
-    links = verify(stars, "links")
+    # each class against one pivot, then those that are still apart against another
+    tried = materialize(_stars(member, close), "stars")
+    links = verify(tried, "links")
     labels = components(links, nodes)
+    left = thin(member, labels)
+    more = materialize(_stars(left.join(labels, "cls"), close, tried), "stars")
+    if more.limit(1).count():
+        links, tried = links.unionByName(verify(more, "links")), tried.unionByName(more)
+        labels = components(links, nodes)
+
+    # what is not joined now: classes with enough tokens in other components, and of these the pairs that share a rare one
+    rest = materialize(thin(left, labels).select("cls", "n").distinct().join(labels, "cls").join(places, "cls"), "rest")
 
-    # lists that are not yet in one component: all pairs across components, near in size and not tried before
-    known = member.join(labels, "cls")
-    open_ = known.groupBy("digest", "size").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("digest", "size")
-    left = materialize(known.join(open_, ["digest", "size"]).select("digest", "size", "cls", "n", "comp"), "open")
-    right = left.select("digest", "size", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    pairs = left.join(right, ["digest", "size"]).where((F.col("cls") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & close(F.col("n"), F.col("n_b"))).select(F.col("cls").alias("a"), "b").distinct()
-    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    if pairs.limit(1).count():
-        labels = components(links.unionByName(verify(pairs, "links")), nodes)
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            asked = right.sort_by("cls")
+            cls, comp = np.asarray(asked.column("cls").combine_chunks()), np.asarray(asked.column("comp").combine_chunks())
+            sets = list(_sets_at(left, asked.column("pos").to_pylist(), k))
+            who = np.repeat(2 * np.arange(len(sets), dtype=np.int64), [len(x) for x in sets])
+            rows = list(_deal(np.concatenate(sets), who, buckets, lambda o: cls[o].tobytes() + comp[o].tobytes()))
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+    def elsewhere(table: pa.Table) -> pa.Table:
+        return _elsewhere(table, buckets)
+
+    for _ in range(2):
+        dealt = texts.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(deal, "bucket int, payload binary")
+        there = dealt.groupBy("bucket").applyInArrow(elsewhere, "part int, payload binary")
+        enough = there.groupBy("part").applyInArrow(_summed, "cls long, there long")
+        rest = materialize(rest.join(enough, "cls").where(F.col("there") * den >= F.col("n") * num).drop("there"), "rest")
+
+    def spread(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets, cls, comp, n = [np.zeros(0, np.uint64)], [], [], []
+        if left.num_rows and right.num_rows:
+            sets = list(_sets_at(left, right.column("pos").to_pylist(), k))
+            cls, comp, n = (np.repeat(np.asarray(right.column(c).combine_chunks()), [len(x) for x in sets]) for c in ("cls", "comp", "n"))
+        return pa.table({"token": pa.array(np.concatenate(sets).view(np.int64)), "cls": pa.array(cls, pa.int64()), "comp": pa.array(comp, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    tokens = materialize(texts.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(spread, "token long, cls long, comp long, n long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    ranked = tokens.join(often, "token").withColumn("place", F.row_number().over(W.partitionBy("cls").orderBy("df", "token")))
+    shown = materialize(ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1) & (F.col("x") != F.col("y"))).select("token", "cls", "comp", "n"), "shown")
+    hubs = shown.withColumn("a", F.min("cls").over(W.partitionBy("token"))).select("a", F.col("cls").alias("b")).where("a <> b").distinct()
+    hubs = materialize(hubs, "hubs")
+    if hubs.limit(1).count():
+        group = components(hubs, shown.select("cls").distinct()).withColumnRenamed("comp", "grp")
+        own = W.partitionBy("grp")
+        part = rest.join(group, "cls").withColumns({"part": F.floor((F.row_number().over(own.orderBy("cls")) - 1) / F.lit(GROUP)).cast("int"), "size": F.count("*").over(own)}).where("size > 1")
+        part = part.withColumn("with", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / F.lit(GROUP)).cast("int"))))
+        asked = part.select("block", "pos", "cls", "comp", "grp", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), (F.col("part") <= F.col("with")).alias("first"), (F.col("part") >= F.col("with")).alias("second"))
+
+        def lend(left: pa.Table, right: pa.Table) -> pa.Table:
+            out: list[tuple] = []
+            if left.num_rows and right.num_rows:
+                wanted: dict[int, list] = {}
+                for r in right.to_pylist():
+                    wanted.setdefault(r["pos"], []).append(r)
+                for ask, x in zip(wanted.values(), _sets_at(left, list(wanted), k), strict=True):
+                    raw = x.tobytes()
+                    out += [(r["grp"], r["lo"], r["hi"], r["first"], r["second"], r["cls"], r["comp"], raw) for r in ask]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            return pa.table([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=["grp", "lo", "hi", "first", "second", "cls", "comp", "tokens"])
+
+        lent = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lend, "grp long, lo int, hi int, first boolean, second boolean, cls long, comp long, tokens binary")
+        late = materialize(lent.groupBy("grp", "lo", "hi").applyInArrow(_joiner(num, den), "a long, b long"), "links")
+        labels = components(links.unionByName(late), nodes)
 
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
