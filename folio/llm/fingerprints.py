@@ -35,11 +35,15 @@ def _occurrences(hashes: Column) -> Column:
     """
     plain = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("pos"), F.lit(0).alias("occ")))
 
+    def doubled(j):
+        """c after j passes to the end; the passes stop as soon as no run is that long."""
+        step = 1 << j
+        grow = lambda v: F.transform(v, lambda x, i: F.when(x == step, x + F.get(v, i - step)).otherwise(x))
+        return lambda v: v if j == 30 else F.when(F.array_max(v) < step, v).otherwise(_let(grow(v), doubled(j + 1)))
+
     def numbered(rows):
         c = F.transform(rows, lambda x, i: F.when((i > 0) & (F.get(rows, i - 1)["h"] == x["h"]), 1).otherwise(0))
-        for j in range(31):
-            step = 1 << j
-            c = _let(c, lambda v, step=step: F.when(F.array_max(v) < step, v).otherwise(F.transform(v, lambda x, i: F.when(x == step, x + F.get(v, i - step)).otherwise(x))))
+        c = _let(c, doubled(0))
         return F.zip_with(rows, c, lambda r, n: F.struct(r["h"].alias("h"), r["pos"].alias("pos"), n.alias("occ")))
 
     slow = _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("pos")))), numbered)
