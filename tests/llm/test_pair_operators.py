@@ -243,6 +243,31 @@ def test_passages(spark, docs):
     assert chaining.find_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_made_of_parts_that_smaller_documents_hold(spark):
+    rng = random.Random(23)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    p, long = word(60), word(90)
+    rows = {1: word(20) + p[:30] + word(20), 2: word(15) + p[30:] + word(20), 3: word(9) + p + word(30), 4: word(33) + p + word(11)}
+    for k in range(5, 15):  # every part of 30 words is in nine smaller documents, the whole in one
+        rows[k] = word(10) + long[(k % 3) * 30 : (k % 3) * 30 + 30] + word(10)
+    rows[15], rows[16] = word(5) + long + word(6), word(7) + long + word(5)
+    got = chaining.find_passages(spark.createDataFrame([(k, " ".join(x)) for k, x in rows.items()], "doc_id long, text string")).collect()
+    assert {(4, 3, 33, 93, 9, 69, 0), (16, 15, 7, 97, 5, 95, 0)} <= {tuple(r) for r in got}
+    verify_passages(rows, got)
+
+
+def verify_passages(rows, got):
+    for r in got:
+        a, b = rows[r["doc_id"]][r["start_word"] : r["end_word"]], rows[r["source_id"]][r["source_start"] : r["source_end"]]
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            c = [i + 1]
+            for j, y in enumerate(b):
+                c.append(min(c[-1] + 1, p[j + 1] + 1, p[j] + (x != y)))
+            p = c
+        assert r["source_id"] < r["doc_id"] and p[-1] == r["edits"] <= 0.25 * max(len(a), len(b)) and min(len(a), len(b)) >= 40
+
+
 def test_pipeline(spark, docs, rows):
     import corpus_pipeline as C
 
