@@ -268,6 +268,35 @@ def verify_passages(rows, got):
         assert r["source_id"] < r["doc_id"] and p[-1] == r["edits"] <= 0.25 * max(len(a), len(b)) and min(len(a), len(b)) >= 40
 
 
+def test_passages_at_every_identity_of_the_bound(spark):
+    rng = random.Random(29)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def edited(p, at, kind):
+        out = []
+        for i, w in enumerate(p):
+            if i not in at:
+                out.append(w)
+            elif kind == "change":
+                out += word(1)
+            elif kind == "insert":
+                out += [*word(1), w]
+        return out
+
+    cases = [(44, {5, 40}, "change")]
+    cases += [(60, set(range(every - 1, 60, every)), "change") for every in (4, 5, 6, 7, 8)]
+    cases += [(n, set(rng.sample(range(n), n // 4)), "change") for n in (40, 41, 44, 48, 60, 90) for _ in range(8)]
+    cases += [(n, set(rng.sample(range(1, n), n // 6)), kind) for n in (54, 60, 90) for kind in ("insert", "drop") for _ in range(4)]
+    rows = {}
+    for k, (n, at, kind) in enumerate(cases):
+        p = word(n)
+        rows[2 * k] = word(rng.randrange(50)) + p + word(rng.randrange(50))
+        rows[2 * k + 1] = word(rng.randrange(50)) + edited(p, at, kind) + word(rng.randrange(50))
+    got = chaining.find_passages(spark.createDataFrame([(k, " ".join(x)) for k, x in rows.items()], "doc_id long, text string")).collect()
+    verify_passages(rows, got)
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(len(cases))}
+
+
 def test_pipeline(spark, docs, rows):
     import corpus_pipeline as C
 
