@@ -22,8 +22,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Allow-list: candidates that look random but are known not to be secrets.
+#: Allow-list: stretches that look random but are known not to be secrets.
 ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|placeholder|changeme|0123456789|abcdefghij"
+#: The same within a longer candidate: only this part of it is passed over, the rest is scanned.
+PART = r"[A-Za-z0-9+]*(?i:example|placeholder|changeme|0123456789|abcdefghij)[A-Za-z0-9+]*"
 
 
 def _let(value: Column, f) -> Column:
@@ -54,6 +56,22 @@ def _spans(kind: int, places: Column) -> Column:
     return F.transform(places, lambda p: F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), p["end"].alias("end")))
 
 
+def _rest(place: Column) -> Column:
+    """What a candidate (a place) holds besides allowed parts, as places of at least 20 characters."""
+    text = place["match"]
+    found, rest = F.regexp_extract_all(text, F.lit(PART), F.lit(0)), F.split(text, PART, -1)
+
+    def step(acc, i):
+        end = acc["at"] + F.char_length(F.get(acc["rest"], i))
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), F.get(acc["rest"], i).alias("match"), F.get(acc["rest"], i).alias("inner"))
+        return F.struct((end + F.coalesce(F.char_length(F.get(acc["found"], i)), F.lit(0))).alias("at"), acc["found"].alias("found"), acc["rest"].alias("rest"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string,inner:string>>")
+    start = F.struct(place["start"].alias("at"), found.alias("found"), rest.alias("rest"), empty.alias("out"))
+    parts = F.aggregate(F.sequence(F.lit(0), F.size(rest) - 1), start, step, lambda acc: acc["out"])
+    return F.when(text.rlike(PART), F.filter(parts, lambda x: F.char_length(x["match"]) >= 20)).otherwise(F.array(place))
+
+
 def _entropy_spans(candidate: Column, window: int, least_hex: float, least_other: float) -> Column:
     """The stretch from the first to the last window of `candidate` (a place) whose entropy reaches its class's limit; null if none."""
     import math
@@ -98,7 +116,7 @@ def _none() -> Column:
 def with_spans(docs: DataFrame, text_col: str = "text", out: str = "secret_spans", window: int = 20, least_hex: float = 3.0, least_other: float = 3.7) -> DataFrame:
     """docs plus `out`: array<struct<start, kind, end>> sorted by start, then kind (0 assign, 1 access, 2 hex, 3 entropy).
 
-    Entropy spans that overlap a base span are not repeated; base spans always stay.
+    Entropy spans that lie within one base span are not repeated; others stay whole, and base spans always stay.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     assign = F.when((F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))) & text.rlike(ASSIGN), _spans(0, F.filter(_places(text, ASSIGN), lambda p: F.char_length(p["inner"]) >= 6))).otherwise(_none())
@@ -107,9 +125,9 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "secret_spans
     base = F.concat(assign, access, hexes)
     extra = F.when(
         text.rlike(CANDIDATE),
-        F.filter(F.transform(F.filter(_places(text, CANDIDATE), lambda p: p["match"].rlike("[0-9]") & p["match"].rlike("[A-Za-z]")), lambda p: _entropy_spans(p, window, least_hex, least_other)), lambda x: x.isNotNull()),
+        F.filter(F.transform(F.filter(F.flatten(F.transform(_places(text, CANDIDATE), _rest)), lambda p: p["match"].rlike("[0-9]") & p["match"].rlike("[A-Za-z]")), lambda p: _entropy_spans(p, window, least_hex, least_other)), lambda x: x.isNotNull()),
     ).otherwise(_none())
-    both = _let(F.struct(base.alias("b"), extra.alias("e")), lambda x: F.sort_array(F.concat(x["b"], F.filter(x["e"], lambda e: ~F.exists(x["b"], lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))))))
+    both = _let(F.struct(base.alias("b"), extra.alias("e")), lambda x: F.sort_array(F.concat(x["b"], F.filter(x["e"], lambda e: ~F.exists(x["b"], lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"]))))))
     return docs.withColumn(out, both)
 
 

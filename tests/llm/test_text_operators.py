@@ -180,6 +180,18 @@ def test_secrets(spark, rows):
     assert secrets.find_secrets(frame(spark, every).limit(0)).count() == 0
 
 
+def test_keys_beside_base_spans_and_allowed_words(spark):
+    rng = random.Random(5)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    texts = [f"repo/{'0123456789abcdef'[::-1] * 2}deadbeef/{key} end", f"docs/example/{key} end", f"{key}/0123456789 end", "docs/example/placeholder/changeme1 end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert all(key[:30] not in hidden[k] and key[10:] not in hidden[k] and "[SECRET]" in hidden[k] for k in range(3))
+    assert hidden[3] == texts[3] and hidden[1].startswith("docs/example")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    assert "entropy" in spans[0] and "hex" in spans[0]
+
+
 def test_entropy_counts_equal_recount(spark):
     import math
     from collections import Counter
