@@ -178,17 +178,25 @@ def sections(spark, sf_dir):
     return s.select("conv_id", "section", "level", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
-@CATALOG.add("m14")
-def spelling_flags(spark, sf_dir):
-    """Words of at least three letters that few documents have and that are one edit from a common one; fifty at most."""
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("\\b[a-z]{3,12}\\b"), F.lit(0))).alias("w")).distinct()
-    n = words.groupBy("w").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+def flag_spelling(docs: DataFrame, known: int = 20, most: int = 50) -> DataFrame:
+    """Words of at least three letters that fewer than `known` different texts have and that are one edit from one that as many have; of each
+    document (doc_id, text) the first `most`.  Capitalised words count at the beginning of a line only."""
+    found = F.regexp_extract_all("text", F.lit("(?m)^[A-Z][a-z]{2,}\\b|\\b[a-z]{3,}\\b"), F.lit(0))
+    texts = docs.groupBy("text").agg(F.collect_list("doc_id").alias("ids")).select("ids", F.sha2("text", 256).alias("t"), F.posexplode(F.transform(found, lambda x: F.lower(x))).alias("at", "w"))
+    words = texts.groupBy("t", "ids", "w").agg(F.min("at").alias("at"))
+    n = words.groupBy("w").agg(F.count("*").alias("n"))
     cut = lambda c: F.explode(F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c)))), F.array(c))))
-    rare, common = n.where("n = 1").select("w", "first", cut("w").alias("k")), n.where("n >= 20").select(F.col("w").alias("suggestion"), F.col("n").alias("common"), cut("w").alias("k"))
-    hits = rare.join(common, "k").where(F.levenshtein("w", "suggestion", 1) == 1).select("w", "first", "suggestion", "common").distinct()
+    rare, common = n.where(F.col("n") < known).select("w", cut("w").alias("k")), n.where(F.col("n") >= known).select(F.col("w").alias("suggestion"), F.col("n").alias("common"), cut("w").alias("k"))
+    hits = rare.join(common, "k").where(F.levenshtein("w", "suggestion", 1) == 1).select("w", "suggestion", "common").distinct()
     top = hits.withColumn("r", F.row_number().over(W.partitionBy("w").orderBy(F.col("common").desc(), "suggestion"))).where("r <= 3")
-    flags = top.groupBy("w").agg(F.min("first").alias("first"), F.sort_array(F.collect_list(F.struct("r", "suggestion"))).alias("s"))
-    return flags.select("w", "first", F.transform("s", lambda x: x["suggestion"]).alias("suggestions")).orderBy("first", "w").limit(50)
+    flags = top.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("r", "suggestion"))).alias("s"))
+    first = words.join(flags, "w").withColumn("place", F.row_number().over(W.partitionBy("t").orderBy("at"))).where(F.col("place") <= most)
+    return first.select(F.explode("ids").alias("doc_id"), "place", "w", F.transform("s", lambda x: x["suggestion"]).alias("suggestions"))
+
+
+@CATALOG.add("m14")
+def spelling_flags(spark, sf_dir):
+    return flag_spelling(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"))
 
 
 @CATALOG.add("x13")
