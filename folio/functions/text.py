@@ -11,6 +11,8 @@ QUOTES_FROM = "‘’‚‛“”„‟‹›«»"
 QUOTES_TO = "''''\"\"\"\"''\"\""
 PAGE_BREAK = "<!-- PAGE_BREAK -->"
 IMAGE = "<!-- image -->"
+#: Letters whose compatibility form holds a separator of URLs.
+UNSAFE_HOST = "℀℁℅℆／？＃＠：﹕﹖﹟﹫︓︖⁇⁈⁉⩴"
 SPACED = r"(?U)\b((?:[a-zA-Z] ){3,}[a-zA-Z])\b"
 HEADING = r"^(#{1,6})\s+(.+)$"
 TABLE = r"(?m)^\|.+\|[ \t]*\n\|[-:| \t]+\|[ \t]*\n(?:\|.+\|[ \t]*(?:\n|\z))+"
@@ -61,19 +63,15 @@ def plain_quotes(x: Column) -> Column:
     return F.translate(x, QUOTES_FROM, QUOTES_TO)
 
 
-def links(x: Column) -> Column:
-    """Targets of markdown links."""
-    return F.regexp_extract_all(x, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1))
-
-
-def broken_links(x: Column) -> Column:
-    """link targets without a host."""
-    return F.filter(links(x), lambda u: ~u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+") & ~u.rlike(r"^//[^/?#]+"))
+def broken_urls(x: Column) -> Column:
+    """http and https URLs anywhere in the text that have no host, or one that URL parsing refuses."""
+    found = F.regexp_extract_all(x, F.lit(r"(?U)https?://[^\s\x1c-\x1f)\]}'\"]+"), F.lit(0))
+    return F.filter(found, lambda u: u.rlike(r"^https?://(?:[/?#]|[^/?#]*\[)") | u.rlike(f"^https?://[^/?#]*[{UNSAFE_HOST}]"))
 
 
 def mend_links(x: Column) -> Column:
     """http:// before link targets whose first segment holds a dot and which have no known prefix."""
-    return F.regexp_replace(x, r"(\[[^\]]*\]\()(?!https?://|mailto:|ftp://|tel:|#|/|\./|\.\./)(?=[^/)]*\.)([^)]+\))", "$1http://$2")
+    return F.regexp_replace(x, r"\[([^\]]+)\]\((?!https?://|mailto:|ftp://|#|/|\./|\.\./)(?=[^/)]*\.)([^)]+)\)", "[$1](http://$2)")
 
 
 def join_hyphens(x: Column) -> Column:
@@ -106,9 +104,9 @@ def mask_snippet(text: Column, kind: Column) -> Column:
 
 
 def clean_prompt(x: Column, markers: list[str], most: int = 200) -> Column:
-    """Markers go, braces are doubled, the rest is stripped and cut."""
-    for m in markers:
-        x = F.regexp_replace(x, "(?i)" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in m), "")
+    """Markers go, all in one pass; braces are doubled, the rest is stripped and cut.  Null becomes ''."""
+    quoted = ["".join("\\" + c if not c.isalnum() and c != " " else c for c in m) for m in markers]
+    x = F.regexp_replace(F.coalesce(x, F.lit("")), "(?iu)" + "|".join(quoted), "")
     x = strip(F.replace(F.replace(x, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}")))
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
@@ -13,16 +14,19 @@ CATALOG = Catalog()
 
 # Thresholds, producer words, language codes, patterns of personal data with their scores.
 SCANNED_PER_PAGE, SPARSE_PER_PAGE, PRESENTATION_SHARE = 50, 200, 0.6
-SCANNERS = ["scan", "ocr", "xerox", "ricoh", "canon"]
-PRESENTERS = ["powerpoint", "impress", "keynote"]
+SCANNERS = ["adobe scan", "camscanner", "scanbot", "genius scan", "microsoft lens", "office lens", "epson scan", "hp scan", "brother scan", "fujitsu scansnap", "vuescan", "naps2", "readiris", "abbyy finereader", "tesseract", "ocrmypdf"]
+PRESENTERS = ["microsoft powerpoint", "impress", "keynote", "google slides"]
+SPREADSHEETS = ["microsoft excel", "calc", "google sheets"]
+#: Area of a sheet A0 in points, and what may be over it; how much longer than wide a page must be to be no square.
+A0, OVER, SQUARE = 2384 * 3370, 1.1, 1.05
 LANGUAGES = {"eng": "en", "deu": "de", "fra": "fr", "spa": "es", "ita": "it", "por": "pt"}
 ENTITIES = [
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0),
     ("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85),
     ("PHONE_NUMBER", r"\+?[0-9]{1,3}[ .-]\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}\b", 0.75),
     ("CREDIT_CARD", r"\b(?:[0-9]{4}[ -]?){3}[0-9]{4}\b", 1.0),
-    ("IP_ADDRESS", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0.95),
     ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 1.0),
+    ("US_DRIVER_LICENSE", r"\b[A-Z][0-9]{6,8}\b", 0.3),
 ]
 PAGE = "greatest(CAST(ceil(n_chars / 1000.0) AS INTEGER), 1)"
 
@@ -57,16 +61,30 @@ def figures_of_pages(spark, sf_dir):
     return figures(table(spark, sf_dir, "pages").withColumn("j", json), "page_id", "j")
 
 
-@CATALOG.add("p05", "SELECT conv_id, turn, NOT starts_with(l, '#') AND length(l) < 80 AND regexp_matches(l, '^(.+?)\\s+(\\d+)\\s*$') AND TRY_CAST(regexp_extract(l, '^(.+?)\\s+(\\d+)\\s*$', 2) AS INTEGER) = turn + 1 AS header FROM (SELECT conv_id, turn, string_split(text, ' ')[1] || ' Report ' || (turn % 3 + 1) AS l FROM conversations)")
+@CATALOG.add("p05", "SELECT conv_id, turn, NOT starts_with(l, '#') AND length(regexp_extract(l, '^(.+?)\\s+(\\d+)\\s*$', 1)) < 80 AND regexp_matches(l, '^(.+?)\\s+(\\d+)\\s*$') AND TRY_CAST(regexp_extract(l, '^(.+?)\\s+(\\d+)\\s*$', 2) AS INTEGER) = turn + 1 AS header FROM (SELECT conv_id, turn, string_split(text, ' ')[1] || ' Report ' || (turn % 3 + 1) AS l FROM conversations)")
 def running_headers(spark, sf_dir):
     """P05, pattern branch: a short line that ends in the page's number."""
     line = F.concat(F.get(F.split("text", " "), F.lit(0)), F.lit(" Report "), (F.col("turn") % 3 + 1).cast("string"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", running_header(line, F.col("turn") + 1).alias("header"))
 
 
-def running_header(line: Column, page: Column) -> Column:
-    pattern = r"^(.+?)\s+(\d+)\s*$"
-    return ~line.startswith("#") & (F.length(line) < 80) & line.rlike(pattern) & F.coalesce(F.regexp_extract(line, pattern, 2).try_cast("int") == page, F.lit(False))
+def running_header(line: Column, page: Column, title: Column | None = None) -> Column:
+    """No heading, and like the title but for digits and blanks at its end (at least 0.7), or a short text before the page's number."""
+    line, pattern = T.strip(line), r"^(.+?)\s+(\d+)\s*$"
+    hit = line.rlike(pattern) & F.coalesce(F.regexp_extract(line, pattern, 2).try_cast("int") == page, F.lit(False)) & (F.length(F.regexp_extract(line, pattern, 1)) < 80)
+    if title is not None:
+        x, y = F.regexp_replace(F.lower(line), "[0-9 ]+$", ""), F.lower(title)
+        hit = hit | F.when((F.coalesce(title, F.lit("")) != "") & (T.similarity_bound(x, y) >= 0.7), T.similarity(x, y) >= 0.7).otherwise(False)
+    return (line != "") & ~line.startswith("#") & hit
+
+
+@CATALOG.add("p05_title")
+def running_titles(spark, sf_dir):
+    """P05, title branch: the title of a conversation is its first turn's first four words."""
+    c = table(spark, sf_dir, "conversations")
+    title = F.array_join(F.slice(F.split(F.first("text").over(W.partitionBy("conv_id").orderBy("turn")), " "), 1, 4), " ")
+    c = c.select("conv_id", "turn", "text", title.alias("title")).withColumn("line", F.when(F.col("turn") % 2 == 0, F.concat("title", F.lit(" "), F.col("turn").cast("string"))).otherwise(F.get(F.split("text", "\n"), F.lit(0))))
+    return c.select("conv_id", "turn", running_header(F.col("line"), F.col("turn") + 1, F.col("title")).alias("header"))
 
 
 def running_footer(line: Column, page: Column) -> Column:
@@ -83,36 +101,103 @@ def running_footers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", running_footer(line, p).alias("footer"))
 
 
-def findings(pdf: DataFrame) -> DataFrame:
-    """One row per document with the codes of its blockers and warnings, in order.
+def findings(pdf: DataFrame, max_pages: int = 500) -> DataFrame:
+    """Pdf with `findings`, an array of (code, severity, detail) in the order of the checks.
 
-    pdf: form_fields, form_type, page_count, max_pages, producer, widths, heights.
+    pdf: form_field_count, form_type, page_count, producer, creator, page_dimensions array<struct<w, h>>.
     """
-    low = F.lower(F.coalesce("producer", F.lit("")))
-    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
-    ratio = F.zip_with("widths", "heights", lambda w, h: w > h)
-    codes = [
-        F.when(F.col("form_fields") > 0, F.when(F.col("form_type").isin(2, 3), "xfa_form").otherwise("acro_form")),
-        F.when(F.col("page_count") == 0, "no_pages"),
-        F.when(F.col("page_count") > F.col("max_pages"), "too_many_pages"),
-        F.when(has(SCANNERS), "scanner_producer"),
-        F.when(has(PRESENTERS), "presentation_producer"),
-        F.when(F.size(F.array_distinct(ratio)) > 1, "mixed_orientation"),
+    both = F.lower(F.concat_ws(" ", F.coalesce("producer", F.lit("")), F.coalesce("creator", F.lit(""))))
+    has = lambda names: F.exists(F.array(*[F.lit(w) for w in names]), lambda w: F.contains(both, w))
+    dims = F.coalesce("page_dimensions", F.array().cast("array<struct<w:double,h:double>>"))
+    large = F.filter(F.transform(dims, lambda d, i: F.when(d["w"] * d["h"] > A0 * OVER, i + 1)), lambda i: i.isNotNull())
+    ways = F.transform(F.filter(dims, lambda d: (d["w"] > 0) & (d["h"] > 0)), lambda d: F.when(d["w"] > d["h"] * SQUARE, "landscape").when(d["h"] > d["w"] * SQUARE, "portrait").otherwise("square"))
+    ways = F.array_sort(F.array_distinct(ways))
+    makers = F.concat_ws("|", "producer", "creator")
+    one = lambda code, severity, detail: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+    n = F.col("form_field_count")
+    every = [
+        F.when((n > 0) & F.col("form_type").isin(2, 3), one("form_xfa", "error", n)).when(n > 0, one("form_acroform", "error", n)),
+        F.when(F.col("page_count") == 0, one("empty_document", "error", F.col("page_count"))),
+        F.when(F.col("page_count") > max_pages, one("too_many_pages", "error", F.col("page_count"))),
+        F.when(has(SCANNERS), one("scan_producer", "warning", makers)),
+        F.when(F.size(large) > 0, one("oversized_pages", "warning", F.array_join(F.transform(large, lambda i: i.cast("string")), ","))),
+        F.when((F.size(dims) >= 2) & (F.size(ways) > 1), one("mixed_orientation", "warning", F.array_join(ways, ","))),
+        F.when(has(PRESENTERS), one("presentation_document", "warning", makers)),
+        F.when(has(SPREADSHEETS), one("spreadsheet_document", "warning", makers)),
     ]
-    return pdf.withColumn("codes", F.array_compact(F.array(*codes)))
+    return pdf.withColumn("findings", F.array_compact(F.array(*every)))
 
 
-@CATALOG.add("p07", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'acro_form,' ELSE '' END || CASE WHEN o_orderkey % 100 > 90 THEN 'too_many_pages,' ELSE '' END || CASE WHEN o_orderpriority LIKE '1%' THEN 'scanner_producer,' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN 'mixed_orientation,' ELSE '' END AS codes, CASE WHEN o_orderstatus = 'P' THEN 'form' WHEN o_orderpriority LIKE '1%' THEN 'scanned' ELSE 'standard' END AS kind FROM orders")
-def classified(spark, sf_dir):
-    """Findings and the kind of document by their priority."""
-    o = table(spark, sf_dir, "orders")
-    pdf = o.select(
-        "o_orderkey", F.when(F.col("o_orderstatus") == "P", 3).otherwise(0).alias("form_fields"), F.lit(1).alias("form_type"), (F.col("o_orderkey") % 100 + 1).alias("page_count"), F.lit(91).alias("max_pages"),
-        F.when(F.col("o_orderpriority").startswith("1"), "ScanSoft").otherwise("writer").alias("producer"), F.array(F.lit(612.0), F.when(F.col("o_orderkey") % 2 == 0, 792.0).otherwise(612.0)).alias("widths"), F.array(F.lit(792.0), F.lit(700.0)).alias("heights"),
+def document_type(found: Column) -> Column:
+    """Form, scanned, presentation, spreadsheet by the first that applies; standard without errors, else unknown."""
+    codes = F.transform(found, lambda f: f["code"])
+    has = lambda *names: F.arrays_overlap(codes, F.array(*[F.lit(x) for x in names]))
+    kind = F.when(has("form_acroform", "form_xfa"), "form").when(has("scanned_document", "scan_producer"), "scanned").when(has("presentation_document"), "presentation").when(has("spreadsheet_document"), "spreadsheet")
+    return kind.when(~F.exists(found, lambda f: f["severity"] == "error"), "standard").otherwise("unknown")
+
+
+def classify(pdf: DataFrame, max_pages: int = 500) -> DataFrame:
+    """Unreadable files (error is not null) are told apart by their error's text, though both carry the same code; of the others P07 to P09."""
+    x = findings(pdf, max_pages)
+    detail = F.when(F.contains(F.lower("error"), F.lit("password")), "password").otherwise("corrupt")
+    bad = F.array(F.struct(F.lit("encrypted").alias("code"), F.lit("error").alias("severity"), detail.alias("detail")))
+    x = x.withColumn("findings", F.when(F.col("error").isNotNull(), bad).otherwise(F.col("findings")))
+    return x.withColumn("kind", F.when(F.col("error").isNotNull(), "unknown").otherwise(document_type(F.col("findings"))))
+
+
+#: Makers that orders stand for, by key: of every kind, in both columns, and names that only look like one.
+MAKERS = ["Adobe Scan 2.1", "Scandinavian Writer", "Microsoft PowerPoint", "LibreOffice Calc", "ABBYY FineReader 15", "Keynote", "Google Sheets", "pdfTeX", None, "OCRmyPDF 14"]
+MAKERS_SQL = "[" + ", ".join("NULL" if m is None else f"'{m}'" for m in MAKERS) + "]"
+
+
+def pdf_metadata_of_orders(spark, sf_dir) -> DataFrame:
+    """Orders as PDF metadata: columns of a file derived from the key, quantity and priority of an order and its lines."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").alias("q"), F.col("l_tax").alias("t")))).alias("l"))
+    o = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    k, maker = F.col("o_orderkey"), F.array(*[F.lit(m) for m in MAKERS])
+    dims = F.transform(F.coalesce("l", F.array().cast(lines.schema["l"].dataType)), lambda x: F.struct((x["q"] * F.when(x["t"] > 0.06, 100.0).otherwise(24.0)).alias("w"), (F.lit(600.0) * F.when(x["t"] > 0.06, 4.0).otherwise(1.0)).alias("h")))
+    return o.select(
+        "o_orderkey", (k % 4).alias("form_type"), F.when(F.col("o_orderstatus") == "P", k % 3).otherwise(0).alias("form_field_count"), F.when(k % 11 == 0, 0).when(k % 13 == 0, 501).otherwise(F.size(dims)).alias("page_count"),
+        F.get(maker, (k % 10).cast("int")).alias("producer"), F.get(maker, ((k / 10).cast("long") % 10).cast("int")).alias("creator"), dims.alias("page_dimensions"), F.when(k % 17 == 0, "Incorrect PASSWORD error").when(k % 19 == 0, "Data format error").alias("error"),
     )
-    c = F.col("codes")
-    kind = F.when(F.exists(c, lambda x: x.endswith("_form")), "form").when(F.array_contains(c, "scanner_producer"), "scanned").when(F.array_contains(c, "presentation_producer"), "presentation").otherwise("standard")
-    return findings(pdf).select("o_orderkey", F.concat_ws("", F.transform(c, lambda x: F.concat(x, F.lit(",")))).alias("codes"), kind.alias("kind"))
+
+
+_HAS_SQL = "len(list_filter([{names}], lambda w: contains(lower(coalesce(producer, '') || ' ' || coalesce(creator, '')), w))) > 0"
+_NAMED = {k: _HAS_SQL.format(names=", ".join(f"'{x}'" for x in v)) for k, v in (("scan", SCANNERS), ("show", PRESENTERS), ("sheet", SPREADSHEETS))}
+PDF_SQL = f"""SELECT o_orderkey, o_orderkey % 4 AS form_type, CASE WHEN o_orderstatus = 'P' THEN o_orderkey % 3 ELSE 0 END AS fields, CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 13 = 0 THEN 501 ELSE coalesce(len(ws), 0) END AS pages,
+    {MAKERS_SQL}[o_orderkey % 10 + 1] AS producer, {MAKERS_SQL}[(o_orderkey // 10) % 10 + 1] AS creator, ws, hs, CASE WHEN o_orderkey % 17 = 0 THEN 'password' WHEN o_orderkey % 19 = 0 THEN 'corrupt' END AS err
+    FROM orders LEFT JOIN (SELECT l_orderkey, list(l_quantity * CASE WHEN l_tax > 0.06 THEN 100.0 ELSE 24.0 END ORDER BY l_linenumber, l_quantity, l_tax) AS ws, list(600.0 * CASE WHEN l_tax > 0.06 THEN 4.0 ELSE 1.0 END ORDER BY l_linenumber, l_quantity, l_tax) AS hs FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
+CODES_SQL = f"""SELECT *, CASE WHEN fields > 0 THEN CASE WHEN form_type IN (2, 3) THEN 'form_xfa,' ELSE 'form_acroform,' END ELSE '' END || CASE WHEN pages = 0 THEN 'empty_document,' ELSE '' END || CASE WHEN pages > 500 THEN 'too_many_pages,' ELSE '' END AS blockers,
+    CASE WHEN {_NAMED['scan']} THEN 'scan_producer,' ELSE '' END || CASE WHEN len(list_filter(range(1, coalesce(len(ws), 0) + 1), lambda i: ws[i] * hs[i] > 2384 * 3370 * 1.1)) > 0 THEN 'oversized_pages,' ELSE '' END
+    || CASE WHEN len(ws) >= 2 AND len(list_distinct(list_transform(list_filter(range(1, len(ws) + 1), lambda i: ws[i] > 0), lambda i: CASE WHEN ws[i] > hs[i] * 1.05 THEN 'l' WHEN hs[i] > ws[i] * 1.05 THEN 'p' ELSE 's' END))) > 1 THEN 'mixed_orientation,' ELSE '' END
+    || CASE WHEN {_NAMED['show']} THEN 'presentation_document,' ELSE '' END || CASE WHEN {_NAMED['sheet']} THEN 'spreadsheet_document,' ELSE '' END AS warnings FROM ({PDF_SQL})"""
+KIND_SQL = "CASE WHEN contains(blockers, 'form_') THEN 'form' WHEN contains(warnings, 'scan_') THEN 'scanned' WHEN contains(warnings, 'presentation') THEN 'presentation' WHEN contains(warnings, 'spreadsheet') THEN 'spreadsheet' WHEN blockers = '' THEN 'standard' ELSE 'unknown' END"
+
+
+def _codes(severity: str | None = None) -> Column:
+    kept = F.filter("findings", lambda f: f["severity"] == severity) if severity else F.col("findings")
+    return F.concat_ws("", F.transform(kept, lambda f: F.concat(f["code"], F.lit(","))))
+
+
+@CATALOG.add("p07", f"SELECT o_orderkey, blockers FROM ({CODES_SQL})")
+def hard_blockers(spark, sf_dir):
+    return findings(pdf_metadata_of_orders(spark, sf_dir)).select("o_orderkey", _codes("error").alias("blockers"))
+
+
+@CATALOG.add("p08", f"SELECT o_orderkey, warnings FROM ({CODES_SQL})")
+def soft_warnings(spark, sf_dir):
+    return findings(pdf_metadata_of_orders(spark, sf_dir)).select("o_orderkey", _codes("warning").alias("warnings"))
+
+
+@CATALOG.add("p09", f"SELECT o_orderkey, {KIND_SQL} AS kind FROM ({CODES_SQL})")
+def document_types(spark, sf_dir):
+    return findings(pdf_metadata_of_orders(spark, sf_dir)).select("o_orderkey", document_type(F.col("findings")).alias("kind"))
+
+
+@CATALOG.add("p39", f"SELECT o_orderkey, CASE WHEN err IS NOT NULL THEN 'encrypted,' ELSE blockers || warnings END AS codes, CASE WHEN err IS NOT NULL THEN 'unknown' ELSE {KIND_SQL} END AS kind, err AS reason FROM ({CODES_SQL})")
+def classified(spark, sf_dir):
+    reason = F.when(F.col("error").isNotNull(), F.get("findings", F.lit(0))["detail"])
+    return classify(pdf_metadata_of_orders(spark, sf_dir)).select("o_orderkey", _codes().alias("codes"), "kind", reason.alias("reason"))
 
 
 @CATALOG.add("p10", f"SELECT doc_id, CASE WHEN n_chars * 1.0 / p < 50 THEN 'scanned' WHEN n_chars * 1.0 / p < 200 THEN 'sparse' ELSE 'text' END AS content FROM (SELECT doc_id, n_chars, {PAGE} AS p FROM documents)")
@@ -147,48 +232,84 @@ def skipped_steps(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", steps.alias("step"), (F.col("n_chars") < 100).alias("skipped"))
 
 
+def is_real(kind: str, text: Column) -> Column:
+    """Whether a match of a pattern passes the checks of its kind: areas and groups of SSNs, Luhn's digit of cards, the 97 rule of IBANs."""
+    if kind == "US_SSN":
+        return ~text.rlike(r"^(000|666|9)|-00-|-0000$")
+    if kind == "CREDIT_CARD":
+        return F.call_function("luhn_check", F.regexp_replace(text, "[^0-9]", ""))
+    if kind == "IBAN_CODE":
+        turned = F.split(F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4)), "")
+        value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).when(c != "", F.ascii(c) - 55)
+        step = lambda acc, c: F.when(value(c).isNull(), acc).when(value(c) < 10, (acc * 10 + value(c)) % 97).otherwise((acc * 100 + value(c)) % 97)
+        return F.aggregate(turned, F.lit(0), step) == 1
+    return F.lit(True)
+
+
+def has_personal_data(column: str = "text", least: float = 0.85) -> Column:
+    """Whether any entity at or over the score is there, as one expression."""
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.exists(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), lambda t: is_real(kind, t))
+
+    hit = F.lit(False)
+    for kind, pattern, score in ENTITIES:
+        if score >= least:
+            hit = hit | F.coalesce(found(kind, pattern), F.lit(False))
+    return hit
+
+
 def personal_data(docs: DataFrame, key: str = "doc_id", column: str = "text", least: float = 0.85) -> DataFrame:
     """(key, entity_type, start, end, score, text) of every match at or over the score, in code points."""
 
     def spans(name: str, pattern: str, score: float) -> Column:
         found, gaps = F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), F.split(column, pattern, -1)
-        step = lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(found, i))).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.lit(name).alias("entity_type"), (acc["at"] + F.length(F.get(gaps, i))).alias("start"), F.get(found, i).alias("text"), F.lit(score).alias("score")))).alias("out"),
-        )
-        none = F.from_json(F.lit("[]"), "array<struct<entity_type:string,start:int,text:string,score:double>>")
-        some = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-        return F.when(F.col(column).rlike(pattern), some).otherwise(none)
+        pieces = F.transform(found, lambda t, i: F.struct(F.lit(name).alias("entity_type"), F.length(F.get(gaps, i)).alias("gap"), t.alias("text"), F.lit(score).alias("score"), i.alias("i")))
+        return F.when(F.col(column).rlike(pattern), pieces).otherwise(F.array().cast("array<struct<entity_type:string,gap:int,text:string,score:double,i:int>>"))
 
     every = F.concat(*[spans(*e) for e in ENTITIES if e[2] >= least])
-    x = docs.select(key, F.explode(every).alias("f"))
-    digits = F.regexp_replace(F.col("f.text"), "[^0-9]", "")
-    real = F.when(F.col("f.entity_type") == "US_SSN", ~F.col("f.text").rlike(r"^(000|666|9)|-00-|-0000$")).when(F.col("f.entity_type") == "CREDIT_CARD", F.call_function("luhn_check", digits)).when(F.col("f.entity_type") == "IP_ADDRESS", F.forall(F.split("f.text", r"\."), lambda p: p.cast("int") < 256)).otherwise(True)
-    return x.where(real).select(key, "f.entity_type", "f.start", (F.col("f.start") + F.length("f.text")).alias("end"), "f.score", "f.text")
+    x = docs.select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), F.explode(every).alias("f")).select("__key", "__row", "f.*")
+    x = x.withColumn("end", F.sum(F.col("gap") + F.length("text")).over(W.partitionBy("__row", "entity_type").orderBy("i")).cast("int"))
+    real = F.lit(True)
+    for kind, _, _ in ENTITIES:
+        real = F.when(F.col("entity_type") == kind, is_real(kind, F.col("text"))).otherwise(real)
+    return x.where(real).select(F.col("__key").alias(key), "entity_type", (F.col("end") - F.length("text")).alias("start"), "end", "score", "text")
+
+
+_LUHN_SQL = "list_sum(list_transform(range(1, len({d}) + 1), lambda i: CASE WHEN (len({d}) - i) % 2 = 0 THEN CAST({d}[i] AS INTEGER) ELSE (CAST({d}[i] AS INTEGER) * 2) % 10 + (CAST({d}[i] AS INTEGER) * 2) // 10 END)) % 10 = 0".format(d="regexp_replace(t, '[^0-9]', '', 'g')")
+_IBAN_SQL = "list_reduce(list_prepend(0, list_transform(string_split(substr(t, 5) || substr(t, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INTEGER) ELSE ascii(c) - 55 END)), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
+REAL_SQL = {"US_SSN": "NOT regexp_matches(t, '^(000|666|9)|-00-|-0000$')", "CREDIT_CARD": _LUHN_SQL, "IBAN_CODE": _IBAN_SQL}
+PERSONAL_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS entity_type, {score} AS score, t AS text FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS t FROM found_in) WHERE {REAL_SQL.get(k, 'true')}" for k, p, score in ENTITIES)
+_PLANTED = ["write 078-05-1120 or 000-12-3456 now", "card 4111 1111 1111 1111 and 4111 1111 1111 1112", "pay GB82WEST12345698765432 not GB83WEST12345698765432", "call +1 555-123-4567", "mail a.b@c.org", "licence D1234567"]
+FOUND_IN_SQL = "WITH found_in AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') || ' ' || [" + ", ".join(f"'{x}'" for x in _PLANTED) + "][doc_id % 7 + 1] AS text FROM documents) "
+
+
+def _personal(spark, sf_dir) -> DataFrame:
+    """Documents in ASCII (word boundaries differ between the engines otherwise), six of seven with look-alikes and real entities of one kind."""
+    planted = F.coalesce(F.get(F.array(*[F.lit(x) for x in _PLANTED]), (F.col("doc_id") % 7).cast("int")), F.lit(None))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.regexp_replace("text", r"[^\x00-\x7F]", " "), F.lit(" "), planted).alias("text"))
 
 
-@CATALOG.add("d01", "SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS text, 'EMAIL_ADDRESS' AS entity_type FROM documents")
-def mail_addresses(spark, sf_dir):
-    return personal_data(table(spark, sf_dir, "documents")).where("entity_type = 'EMAIL_ADDRESS'").select("doc_id", "text", "entity_type")
+@CATALOG.add("d01", FOUND_IN_SQL + f"SELECT doc_id, entity_type, score, text FROM ({PERSONAL_SQL})")
+def entities(spark, sf_dir):
+    return personal_data(_personal(spark, sf_dir), least=0.0).select("doc_id", "entity_type", "score", "text")
 
 
 @CATALOG.add("d01_spans")
 def all_personal_data(spark, sf_dir):
-    return personal_data(table(spark, sf_dir, "documents"), least=0.75)
+    return personal_data(table(spark, sf_dir, "documents"), least=0.0)
 
 
-@CATALOG.add("p15", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS t FROM documents) GROUP BY doc_id")
+@CATALOG.add("p15", FOUND_IN_SQL + f"SELECT entity_type, score >= 0.85 AS certain, count(*) AS n FROM ({PERSONAL_SQL}) WHERE score >= 0.75 GROUP BY ALL")
 def certain_personal_data(spark, sf_dir):
-    """The score threshold filters."""
-    return personal_data(table(spark, sf_dir, "documents"), least=0.85).where("entity_type = 'EMAIL_ADDRESS' AND score >= 1.0").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """What the score threshold lets pass."""
+    return personal_data(_personal(spark, sf_dir), least=0.75).groupBy("entity_type", (F.col("score") >= 0.85).alias("certain")).agg(F.count("*").alias("n"))
 
 
-@CATALOG.add("d02", "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') THEN 'awaiting_approval' ELSE 'processing' END AS route FROM documents")
+@CATALOG.add("d02", FOUND_IN_SQL + f"SELECT f.doc_id, CASE WHEN f.doc_id IN (SELECT doc_id FROM ({PERSONAL_SQL}) WHERE score >= 0.85) THEN 'awaiting_approval' ELSE 'processing' END AS route FROM found_in f")
 def routes(spark, sf_dir):
-    """Findings need approval; documents without any go on."""
-    d = table(spark, sf_dir, "documents")
-    found = personal_data(d).where("entity_type = 'EMAIL_ADDRESS'").select("doc_id").distinct().withColumn("hit", F.lit(True))
-    return d.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.when(F.col("hit"), "awaiting_approval").otherwise("processing").alias("route"))
+    """Documents with any finding need approval; the others go on."""
+    return _personal(spark, sf_dir).select("doc_id", F.when(has_personal_data(), "awaiting_approval").otherwise("processing").alias("route"))
 
 
 @CATALOG.add("d03", "SELECT o_orderkey, md5('t' || o_orderkey) AS token, o_orderdate + INTERVAL 4 HOUR AS expires_at FROM orders WHERE o_orderstatus = 'P'")
@@ -210,11 +331,17 @@ def temp_keys(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", key.startswith("temp/").alias("valid"))
 
 
-@CATALOG.add("p21", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_size % 5 = 0 THEN 1 WHEN p_size % 3 <> 0 AND p_size % 5 > 0 THEN 0 ELSE p_size % 5 END AS n FROM part")
+def consistent(pages: DataFrame) -> DataFrame:
+    """A set flag needs a count of one at least, a cleared one has none (images, tables); simple pages (score 0.3 at most) have no factors."""
+    fix = lambda has, n: F.when(F.col(has) & (F.col(n) == 0), 1).when(~F.col(has) & (F.col(n) > 0), 0).otherwise(F.col(n))
+    return pages.withColumns({"image_count": fix("has_images", "image_count"), "table_count": fix("has_tables", "table_count"), "factors": F.when(F.col("score") <= 0.3, F.array().cast("array<string>")).otherwise(F.col("factors"))})
+
+
+@CATALOG.add("p21", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN greatest(p_size % 5, 1) ELSE 0 END AS image_count, CASE WHEN p_size > 25 THEN greatest(p_size % 4, 1) ELSE 0 END AS table_count, CASE WHEN p_retailprice / 2000 <= 0.3 THEN '' ELSE p_brand || ',' || p_type END AS factors FROM part")
 def consistent_flags(spark, sf_dir):
-    """A set flag needs a count, a cleared one has none."""
-    has, cnt = F.col("p_size") % 3 == 0, F.col("p_size") % 5
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(has & (cnt == 0), 1).when(~has & (cnt > 0), 0).otherwise(cnt).alias("n"))
+    s = F.col("p_size")
+    p = table(spark, sf_dir, "part").select("p_partkey", (s % 3 == 0).alias("has_images"), (s % 5).alias("image_count"), (s > 25).alias("has_tables"), (s % 4).alias("table_count"), (F.col("p_retailprice") / 2000).alias("score"), F.array("p_brand", "p_type").alias("factors"))
+    return consistent(p).select("p_partkey", "image_count", "table_count", F.array_join("factors", ",").alias("factors"))
 
 
 @CATALOG.add("p22", "SELECT doc_id, quality, toxic FROM labels WHERE toxic = 1 OR quality = 0")
@@ -228,11 +355,18 @@ def hints_in_page_order(spark, sf_dir):
     return c.select("conv_id", F.array_join(F.transform("h", lambda x: x["role"]), ",").alias("hints"))
 
 
-@CATALOG.add("p24", "SELECT conv_id, turn FROM conversations WHERE turn = 1 AND (contains(lower(text), 'tion') OR contains(lower(role), 'tion'))")
+def search_changes(changes: DataFrame, page: int, term: str) -> DataFrame:
+    """Changes of a page whose old text, new text or reasoning holds the term, whatever its case."""
+    hit = F.lit(False)
+    for c in ("old_text", "new_text", "reasoning"):
+        hit = hit | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(term.lower()))
+    return changes.where((F.col("page") == page) & hit)
+
+
+@CATALOG.add("p24", "SELECT conv_id, turn FROM conversations WHERE turn + 1 = 2 AND (contains(lower(text), 'tion') OR contains(lower(replace(text, 'e', 'TI')), 'tion') OR contains(lower(role), 'tion'))")
 def change_search(spark, sf_dir):
-    q = "TION"
-    hit = F.contains(F.lower("text"), F.lit(q.lower())) | F.contains(F.lower("role"), F.lit(q.lower()))
-    return table(spark, sf_dir, "conversations").where((F.col("turn") == 1) & hit).select("conv_id", "turn")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") + 1).alias("page"), F.col("text").alias("old_text"), F.replace("text", F.lit("e"), F.lit("TI")).alias("new_text"), F.col("role").alias("reasoning"))
+    return search_changes(c, 2, "TION").select("conv_id", "turn")
 
 
 @CATALOG.add("p27", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'completed:' || CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) WHEN 'O' THEN 'processing' ELSE 'awaiting_approval:' || o_orderpriority END AS view FROM orders")
@@ -305,8 +439,8 @@ def wide_items(spark, sf_dir):
 @CATALOG.add("p37", "WITH RECURSIVE t(n_nationkey, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, t.depth + 1 FROM nation n JOIN t ON (n.n_nationkey - 1) // 2 = t.n_nationkey AND n.n_nationkey > 0) SELECT n_nationkey, depth FROM t")
 def tree_walk(spark, sf_dir):
     """Depth of every node of a tree given by (node, parent)."""
-    table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") > 0, F.expr("(n_nationkey - 1) DIV 2")).alias("parent")).createOrReplaceTempView("folio_nodes")
-    return spark.sql("WITH RECURSIVE t(n_nationkey, depth) AS (SELECT n_nationkey, 0 FROM folio_nodes WHERE parent IS NULL UNION ALL SELECT n.n_nationkey, t.depth + 1 FROM folio_nodes n JOIN t ON n.parent = t.n_nationkey) SELECT n_nationkey, depth FROM t")
+    nodes = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") > 0, F.expr("(n_nationkey - 1) DIV 2")).alias("parent"))
+    return spark.sql("WITH RECURSIVE t(n_nationkey, depth) AS (SELECT n_nationkey, 0 FROM {nodes} WHERE parent IS NULL UNION ALL SELECT n.n_nationkey, t.depth + 1 FROM {nodes} n JOIN t ON n.parent = t.n_nationkey) SELECT n_nationkey, depth FROM t", nodes=nodes)
 
 
 @CATALOG.add("p38", "SELECT event_id FROM events WHERE event_type <> 'error'")

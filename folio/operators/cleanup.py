@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
@@ -13,8 +14,11 @@ CATALOG = Catalog()
 
 # Strings that must not reach a prompt.
 MARKERS = ["</s>", "<|im_end|>", "<|im_start|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "Human:", "Assistant:", "System:", "<|user|>", "<|assistant|>", "<|system|>", "<|endoftext|>", "<|end|>"]
-# Letters that character recognition confuses.
-CONFUSED = [("rn", "m"), ("m", "rn"), ("vv", "w"), ("w", "vv"), ("cl", "d"), ("d", "cl"), ("ll", "U")]
+# Groups of letters that character recognition confuses with each other.
+CONFUSED = [("l", "1", "I", "|"), ("O", "0"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("fi", "fi"), ("fl", "fl"), ("S", "5"), ("B", "8"), ("Z", "2"), ("G", "6")]
+#: (wrong, right) in the order in which they are tried.
+CONFUSIONS = [(a, b) for group in CONFUSED for a in group for b in group if a != b]
+CONFUSIONS_SQL = "(VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(CONFUSIONS)) + ") AS c(k, a, b)"
 
 SQUEEZE_SQL = "regexp_replace(regexp_replace(regexp_replace({x}, ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t\\r\\f\\v]+(\\n|$)', '\\1', 'g')"
 
@@ -67,16 +71,16 @@ _over_documents("x10", lambda x, i: T.clean_prompt(F.concat(F.lit(" </S>{a}[inst
 _over_documents("x12", lambda x, i: F.regexp_replace(F.lower(F.translate(T.nfkc(F.concat(F.lit("Note\t¹ "), x)), "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")), r"\s+", " "), "regexp_replace(lower('note 1 ' || nfc_normalize(text)), '\\s+', ' ', 'g')")
 
 
-@CATALOG.add("f07", "SELECT page_id, len(list_filter(regexp_extract_all(u, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1), lambda v: NOT regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+'))) AS n_broken FROM (SELECT page_id, '[a](' || url || ') [b](x' || page_id || '.html) [c](/rel)' AS u FROM pages)")
+@CATALOG.add("f07", "SELECT page_id, len(list_filter(regexp_extract_all(u, 'https?://[^\\s\\)\\]\\}''\"]+'), lambda v: regexp_matches(v, '^https?://[/?#]'))) AS n_broken FROM (SELECT page_id, 'see ' || url || ' (http:///x' || page_id || ') [a](https://?q) [b](x.html) http://ok.org/y' AS u FROM pages)")
 def broken_links(spark, sf_dir):
-    u = F.concat(F.lit("[a]("), F.col("url"), F.lit(") [b](x"), F.col("page_id").cast("string"), F.lit(".html) [c](/rel)"))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(T.broken_links(u)).alias("n_broken"))
+    u = F.concat(F.lit("see "), F.col("url"), F.lit(" (http:///x"), F.col("page_id").cast("string"), F.lit(") [a](https://?q) [b](x.html) http://ok.org/y"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(T.broken_urls(u)).alias("n_broken"))
 
 
-@CATALOG.add("f08", "SELECT page_id, '[a](http://' || regexp_replace(url, '^https?://', '') || ') [b](#x) [c](../y.z) ![i](http://image.png)' AS md FROM pages")
+@CATALOG.add("f08", "SELECT page_id, '[a](http://' || regexp_replace(url, '^https?://', '') || ') [b](#x) [c](../y.z) [](p.q) [d](http://tel:1.2) ![i](http://image.png)' AS md FROM pages")
 def mended_links(spark, sf_dir):
     bare = F.regexp_replace("url", "^https?://", "")
-    md = F.concat(F.lit("[a]("), bare, F.lit(") [b](#x) [c](../y.z) ![i](image.png)"))
+    md = F.concat(F.lit("[a]("), bare, F.lit(") [b](#x) [c](../y.z) [](p.q) [d](tel:1.2) ![i](image.png)"))
     return table(spark, sf_dir, "pages").select("page_id", T.mend_links(md).alias("md"))
 
 
@@ -111,35 +115,114 @@ def tables_of_pages(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(found).alias("n"), F.rtrim(F.regexp_replace(F.get(found, F.lit(0)), "\n$", "")).alias("first_table"))
 
 
-@CATALOG.add("m05", "SELECT conv_id, 'a![x\\](figures/figure-1.png)b![' || role || '](figures/figure-2.png)c<!-- image -->' AS md FROM conversations WHERE turn = 0")
+@CATALOG.add("m05", "SELECT conv_id, turn, 'a![x\\]](figures/figure-1.png)b![' || role || '](figures/figure-2.png)c<!-- image -->' AS md FROM conversations")
 def figures_in_text(spark, sf_dir):
-    first = table(spark, sf_dir, "conversations").where("turn = 0")
-    return first.select("conv_id", T.figure_references(F.lit("a<!-- image -->b<!-- image -->c<!-- image -->"), F.array(F.lit("figure-1"), F.lit("figure-2")), F.array(F.lit("x]"), F.col("role"))).alias("md"))
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", T.figure_references(F.lit("a<!-- image -->b<!-- image -->c<!-- image -->"), F.array(F.lit("figure-1"), F.lit("figure-2")), F.array(F.lit("x]"), F.col("role"))).alias("md"))
+
+
+def prose_words(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, line, at, word, context) of prose: lines in fences and indented ones are skipped; inline code, URLs, tags, link targets and
+    markup go.  Links are rewritten before images, so image texts stay.  context: the line, stripped, its first 80 characters."""
+    lines = docs.select(key, F.posexplode(F.split(column, "\n", -1)).alias("n", "line"))
+    fence = T.strip(F.col("line")).startswith("```")
+    lines = lines.withColumns({"fence": fence, "inside": F.sum(fence.cast("int")).over(W.partitionBy(key).orderBy("n")) % 2 == 1}).where(~F.col("fence") & ~F.col("inside") & ~F.col("line").startswith("    ") & ~F.col("line").startswith("\t"))
+    x = F.col("line")
+    for pattern, new in (("`[^`]+`", ""), (r"https?://[^\s)\]]+", ""), ("<[^>]+>", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", ""), (r"[#*_\[\](){}|>~]", " ")):
+        x = F.regexp_replace(x, pattern, new)
+    return lines.select(key, (F.col("n") + 1).alias("line"), F.substring(T.strip(F.col("line")), 1, 80).alias("context"), F.posexplode(F.regexp_extract_all(x, F.lit(r"(?U)\b[a-zA-Z]{2,}\b"), F.lit(0))).alias("at", "word"))
 
 
-CATALOG.oracles["m05"] = "SELECT conv_id, 'a![x\\]](figures/figure-1.png)b![' || role || '](figures/figure-2.png)c<!-- image -->' AS md FROM conversations WHERE turn = 0"
+@CATALOG.add("m13", "SELECT item_id, line, \"at\", word, context FROM (SELECT item_id, CAST(n AS INTEGER) AS line, substr(trim(l), 1, 80) AS context, unnest(range(len(w))) AS \"at\", unnest(w) AS word FROM (SELECT item_id, n, l, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '`[^`]+`', '', 'g'), 'https?://[^\\s)\\]]+', '', 'g'), '<[^>]+>', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[#*_\\[\\](){}|>~!]', ' ', 'g'), '\\b[a-zA-Z]{2,}\\b') AS w FROM (SELECT item_id, i AS n, ls[i] AS l, list_sum(list_transform(ls[1:i], lambda z: CASE WHEN starts_with(trim(z), '```') THEN 1 ELSE 0 END)) AS f FROM (SELECT item_id, string_split('Read `code x` at https://a.b/c <b>now</b>' || chr(10) || '```sql' || chr(10) || 'select hidden' || chr(10) || '```' || chr(10) || '    indented code' || chr(10) || 'a [link text](x.y) and ![image words](i.png) ' || regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), chr(10)) AS ls FROM benchmark), unnest(range(1, len(ls) + 1)) AS t(i)) WHERE f % 2 = 0 AND NOT starts_with(trim(l), '```') AND NOT starts_with(l, '    ')))")
+def words_of_prose(spark, sf_dir):
+    noise = "Read `code x` at https://a.b/c <b>now</b>\n```sql\nselect hidden\n```\n    indented code\na [link text](x.y) and ![image words](i.png) "
+    x = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit(noise), _fold(new=" ")).alias("text"))
+    return prose_words(x, "item_id").select("item_id", F.col("line").cast("int").alias("line"), F.col("at").cast("long").alias("at"), "word", "context")
 
 
-@CATALOG.add("m13", f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({MARK_SQL}, '\\b[a-zA-Z]{{2,}}\\b')) AS word FROM benchmark) GROUP BY word")
-def prose_words(spark, sf_dir):
-    """Words of prose.  Code, URLs and markup go first; link and image texts stay."""
-    x = _fold(new="x")  # an underscore is markup here
-    for pattern, new in (("```[\\s\\S]*?```", " "), ("`[^`]*`", " "), ("https?://\\S+", " "), ("<[^>]+>", " "), ("\\[([^\\]]*)\\]\\([^)]*\\)", "$1"), ("[*_~#>|]", " ")):
-        x = F.regexp_replace(x, pattern, new)
-    return table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(x, F.lit("\\b[a-zA-Z]{2,}\\b"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def recognition_variants(terms: DataFrame, term: str = "term", ord: str = "ord") -> DataFrame:
+    """(variant, term): every occurrence of one confused letter replaced; key terms are no variants, and the last term (by ord) wins."""
+    low = F.lower(term)
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(CONFUSIONS)])).alias("c")
+    x = terms.select(F.col(term).alias("term"), F.col(ord).alias("ord"), low.alias("low"), pairs).where(F.contains("low", F.col("c.a")))
+    x = x.select("term", "ord", "c.k", F.replace("low", F.col("c.a"), F.col("c.b")).alias("variant"), "low").where("variant <> low")
+    known = terms.select(low.alias("variant")).distinct()
+    return x.join(known, "variant", "left_anti").groupBy("variant").agg(F.max(F.struct("ord", "term", "k")).alias("m")).select("variant", "m.term")
+
+
+def key_terms(spark, sf_dir) -> DataFrame:
+    """The first three words of three letters or more of every benchmark item, as key terms."""
+    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 3)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(words).alias("term")).groupBy("term").agg(F.min("item_id").alias("ord"))
+
+
+TERMS_SQL = "SELECT term, min(item_id) AS ord FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{3,}')[1:3]) AS term FROM benchmark) GROUP BY term"
+VARIANTS_SQL = f"SELECT variant, arg_max(term, (ord, term, k)) AS term FROM (SELECT term, ord, k, lower(term) AS low, replace(lower(term), a, b) AS variant FROM ({TERMS_SQL}), {CONFUSIONS_SQL} WHERE contains(lower(term), a)) WHERE variant <> low AND variant NOT IN (SELECT lower(term) FROM ({TERMS_SQL})) GROUP BY variant"
+
+
+@CATALOG.add("x01", VARIANTS_SQL)
+def variants_of_terms(spark, sf_dir):
+    return recognition_variants(key_terms(spark, sf_dir))
+
+
+@CATALOG.add("j19", f"SELECT w AS word, term FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(replace(text, 'd', 'cl'), '[a-zA-Z0-9|]{{3,}}'))) AS w FROM benchmark) JOIN ({VARIANTS_SQL}) ON variant = w")
+def confused_terms(spark, sf_dir):
+    """Words that are variants of a key term, by an equi join; whether the variants are broadcast is left to their measured size."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.transform(F.regexp_extract_all(F.replace("text", F.lit("d"), F.lit("cl")), F.lit("[a-zA-Z0-9|]{3,}"), F.lit(0)), lambda w: F.lower(w))).alias("word")).distinct()
+    return words.join(recognition_variants(key_terms(spark, sf_dir)).withColumnRenamed("variant", "word"), "word")
+
+
+def near_keys(word) -> Column:
+    """The word and all that remain when one letter goes: words at one edit share one of them."""
+    w = F.col(word)
+    cut = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    return F.array_distinct(F.concat(cut, F.array(w)))
+
+
+def check_recognition(docs: DataFrame, terms: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, word, reason, confidence, suggestions): of each document's distinct words of three letters or more, not key terms,
+    variants of a key term (0.95); unknown words one edit from a key term (0.85), or with a suspicious pattern and near a known word (0.7).
 
+    terms: term, ord; dictionary: word, n (how common).
+    """
+    low = F.lower("word")
+    words = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("\\b[a-zA-Z]{3,}\\b"), F.lit(0))).alias("at", "word")).withColumn("low", low)
+    words = words.groupBy(key, "low").agg(F.min(F.struct("at", "word")).alias("m")).select(key, "low", "m.word")
+    words = words.join(terms.select(F.lower("term").alias("low")).distinct(), "low", "left_anti")
+    found = words.join(recognition_variants(terms).select(F.col("variant").alias("low"), "term"), "low")
+    first = found.select(key, "word", "low", F.lit("key_term_variant").alias("reason"), F.lit(0.95).alias("confidence"), F.array("term").alias("suggestions"))
+    rest = words.join(found.select(key, "low"), [key, "low"], "left_anti").join(dictionary.select(F.lower(F.col("word")).alias("low")).distinct(), "low", "left_anti")
+    asked = rest.select("low").distinct().select("low", F.explode(near_keys("low")).alias("k"))
+    known = dictionary.select(F.lower(F.col("word")).alias("near"), "n", F.lit(False).alias("is_term")).unionByName(terms.select(F.lower("term").alias("near"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("is_term"))).groupBy("near").agg(F.max("n").alias("n"), F.max("is_term").alias("is_term"))
+    near = asked.join(known.select("near", "n", "is_term", F.explode(near_keys("near")).alias("k")), "k").where(F.levenshtein("low", "near", 1) == 1).select("low", "near", "n", "is_term").distinct()
+    best = near.groupBy("low").agg(*[F.transform(F.slice(F.sort_array(F.collect_list(F.when(c, F.struct((-F.col("n")).alias("m"), "near")))), 1, 3), lambda v: v["near"]).alias(name) for name, c in (("terms", F.col("is_term")), ("top", F.lit(True)))])
+    second = rest.join(best, "low").withColumn("term", F.size("terms") > 0).where(F.col("term") | suspicious(F.col("low")))
+    pick = lambda a, b: F.when(F.col("term"), a).otherwise(b)
+    second = second.select(key, "word", "low", pick(F.lit("spell_check_suggests_key_term"), F.lit("common_ocr_pattern")).alias("reason"), pick(F.lit(0.85), F.lit(0.7)).alias("confidence"), pick(F.col("terms"), F.col("top")).alias("suggestions"))
+    return first.unionByName(second).drop("low")
 
-@CATALOG.add("x01", "SELECT item_id, a AS wrong, replace(w, a, b) AS variant FROM (SELECT item_id, lower(string_split(text, ' ')[1]) AS w FROM benchmark), (VALUES ('rn', 'm'), ('m', 'rn'), ('vv', 'w'), ('w', 'vv'), ('cl', 'd'), ('d', 'cl'), ('ll', 'U')) AS t(a, b) WHERE contains(w, a)")
-def recognition_variants(spark, sf_dir):
-    """Variants of key terms with every occurrence of one confused pair replaced."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in CONFUSED])).alias("p")
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.get(F.split("text", " "), F.lit(0))).alias("w"), pairs)
-    return w.where(F.contains("w", F.col("p.a"))).select("item_id", F.col("p.a").alias("wrong"), F.replace("w", F.col("p.a"), F.col("p.b")).alias("variant"))
 
+def suspicious(word: Column) -> Column:
+    """A lower-case word with a pattern that misread letters make; in words of letters alone only rn, vv and ll can occur."""
+    return word.rlike(r"[0-9][a-z]|[a-z][0-9]|rn|[Il1|]{2,}|vv")
 
-@CATALOG.add("x03", f"SELECT doc_id, len(regexp_extract_all({FOLD_SQL}, '\\b[a-zA-Z]+\\b')) AS n_words FROM documents WHERE lang = 'en'")
+
+@CATALOG.add("x02")
+def recognition_check(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("\\b[a-zA-Z]{3,}\\b"), F.lit(0)), lambda w: F.lower(w)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return check_recognition(docs, key_terms(spark, sf_dir), words.where("n >= 20"))
+
+
+@CATALOG.add("x05", f"SELECT w AS word, regexp_matches(w, '[0-9][a-z]|[a-z][0-9]|rn|[Il1|]{{2,}}|vv') AS suspicious, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all({FOLD_SQL}, '\\b[a-zA-Z]+\\b'))) AS w FROM documents) GROUP BY w")
+def suspicious_words(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(_fold(), F.lit("\\b[a-zA-Z]+\\b"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
+    return words.select("word", suspicious(F.col("word")).alias("suspicious"), "n")
+
+
+@CATALOG.add("x03", f"SELECT doc_id, len(regexp_extract_all({FOLD_SQL}, '\\b[a-zA-Z]+\\b')) AS n_words FROM documents")
 def words_of_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.size(F.regexp_extract_all(_fold(), F.lit("\\b[a-zA-Z]+\\b"), F.lit(0))).alias("n_words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all(_fold(), F.lit("\\b[a-zA-Z]+\\b"), F.lit(0))).alias("n_words"))
 
 
 @CATALOG.add("x04", "SELECT doc_id, CASE WHEN p > 51 THEN '...' ELSE '' END || substr(text, greatest(p - 50, 1), p + 3 + 50 - greatest(p - 50, 1)) || CASE WHEN p + 2 + 50 < length(text) THEN '...' ELSE '' END AS context FROM (SELECT doc_id, text, strpos(lower(text), 'ion') AS p FROM documents) WHERE p > 0")
@@ -150,11 +233,6 @@ def contexts(spark, sf_dir):
     return d.select("doc_id", F.concat(F.when(F.col("p") > 51, "...").otherwise(""), F.substring(F.col("text"), start, F.col("p") + 53 - start), F.when(F.col("p") + 52 < F.length("text"), "...").otherwise("")).alias("context"))
 
 
-@CATALOG.add("x05", "SELECT lang, sum(CASE WHEN regexp_matches(lower(text), 'rn|vv|ll') THEN 1 ELSE 0 END) AS suspicious, count(*) AS n FROM documents GROUP BY lang")
-def suspicious_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.lower("text").rlike("rn|vv|ll").cast("int")).alias("suspicious"), F.count("*").alias("n"))
-
-
 @CATALOG.add("x06", "SELECT doc_id, CASE WHEN c = 0 THEN 'not found' WHEN c > 1 THEN 'not unique' ELSE 'valid' END AS verdict FROM (SELECT doc_id, (length(text) - length(replace(text, w, ''))) / length(w) AS c FROM (SELECT doc_id, text, string_split(text, ' ')[3] AS w FROM documents) WHERE length(w) > 0)")
 def edit_verdicts(spark, sf_dir):
     """An edit needs a search text that is there exactly once."""
@@ -163,12 +241,12 @@ def edit_verdicts(spark, sf_dir):
     return d.select("doc_id", F.when(c == 0, "not found").when(c > 1, "not unique").otherwise("valid").alias("verdict"))
 
 
-@CATALOG.add("x07", "SELECT doc_id, list_min(list_filter(range(20, 101, 10), lambda c: (length(text) - length(replace(text, substr(text, 1, c), ''))) = length(substr(text, 1, c)))) AS context_size FROM documents WHERE length(text) > 100")
+@CATALOG.add("x07", "SELECT doc_id, list_min(list_filter(range(20, 101, 10), lambda c: (length(text) - length(replace(text, substr(text, 1, c), ''))) = length(substr(text, 1, c)))) AS context_size FROM documents")
 def minimal_contexts(spark, sf_dir):
     """The least context of 20, 30, ... 100 characters that makes the text's beginning unique."""
     sizes = F.sequence(F.lit(20), F.lit(100), F.lit(10))
     unique = F.filter(sizes, lambda c: T.occurrences(F.col("text"), F.substring(F.col("text"), F.lit(1), c)) == 1)
-    return table(spark, sf_dir, "documents").where("length(text) > 100").select("doc_id", F.array_min(unique).cast("long").alias("context_size"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_min(unique).cast("long").alias("context_size"))
 
 
 @CATALOG.add("x08", "SELECT doc_id, CASE WHEN (length(text) - length(replace(text, w, ''))) = length(w) THEN md5(replace(text, w, 'CHANGED')) END AS changed FROM (SELECT doc_id, text, string_split(text, ' ')[4] AS w FROM documents) WHERE length(w) > 0")
@@ -184,16 +262,29 @@ def edit_sizes(spark, sf_dir):
     return c.select("conv_id", "turn", F.length("text").alias("removed"), F.length("new").alias("added"), (F.length("new") - F.length("text")).alias("net"))
 
 
-@CATALOG.add("e05", "SELECT conv_id, md5(replace(replace(text, w1, 'ONE'), 'ONE', 'TWO')) AS final, 2 AS applied FROM (SELECT conv_id, text, w1 FROM (SELECT conv_id, text, string_split(text, ' ')[1] AS w1 FROM conversations WHERE turn = 0) WHERE length(w1) > 0 AND length(text) - length(replace(text, w1, '')) = length(w1) AND NOT contains(text, 'ONE'))")
-def folded_edits(spark, sf_dir):
-    """Edits in order, each on the result of the one before; an edit that is not unique changes nothing."""
-    c = table(spark, sf_dir, "conversations").where("turn = 0").withColumn("w1", F.get(F.split("text", " "), F.lit(0)))
-    c = c.where((F.length("w1") > 0) & (T.occurrences(F.col("text"), F.col("w1")) == 1) & ~F.contains("text", F.lit("ONE")))
-    edits = F.array(F.struct(F.col("w1").alias("s"), F.lit("ONE").alias("r")), F.struct(F.lit("ONE").alias("s"), F.lit("TWO").alias("r")), F.struct(F.lit("never there").alias("s"), F.lit("x").alias("r")))
+def apply_edits(docs: DataFrame, edits: DataFrame, keys: list[str], column: str = "markdown") -> DataFrame:
+    """Edits (keys, ord, search, replace) in order, each on the result of the one before: docs with `edited`, `applied` (their ords) and
+    `errors` (ord and why).  An edit whose text is not there exactly once, or equals its replacement, changes nothing."""
+    listed = edits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", "search", "replace"))).alias("edits"))
+    start = F.struct(F.col(column).alias("t"), F.array().cast("array<int>").alias("done"), F.array().cast("array<struct<ord:int,why:string>>").alias("bad"))
 
     def step(acc, e):
-        new = T.replace_unique(acc["t"], e["s"], e["r"])
-        return F.struct(F.coalesce(new, acc["t"]).alias("t"), (acc["n"] + new.isNotNull().cast("int")).alias("n"))
+        found = T.occurrences(acc["t"], e["search"])
+        why = F.when(e["search"] == "", "empty").when(e["search"] == e["replace"], "no change").when(found == 0, "not found").when(found > 1, "not unique")
+        return F.struct(
+            F.when(why.isNull(), F.replace(acc["t"], e["search"], e["replace"])).otherwise(acc["t"]).alias("t"),
+            F.when(why.isNull(), F.array_append(acc["done"], e["ord"].cast("int"))).otherwise(acc["done"]).alias("done"),
+            F.when(why.isNull(), acc["bad"]).otherwise(F.array_append(acc["bad"], F.struct(e["ord"].cast("int").alias("ord"), why.alias("why")))).alias("bad"),
+        )
 
-    done = F.aggregate(edits, F.struct(F.col("text").alias("t"), F.lit(0).alias("n")), step)
-    return c.select("conv_id", F.md5(done["t"]).alias("final"), done["n"].alias("applied"))
+    done = F.aggregate(F.coalesce("edits", F.array().cast(listed.schema["edits"].dataType)), start, step)
+    return docs.join(listed, keys, "left").withColumn("done", done).select(*docs.columns, F.col("done.t").alias("edited"), F.col("done.done").alias("applied"), F.col("done.bad").alias("errors"))
+
+
+@CATALOG.add("e05", "SELECT conv_id, turn, md5(CASE WHEN n1 = 1 THEN replace(replace(text, w1, 'QONE'), 'QONE', 'QTWO') ELSE text END) AS final, CASE WHEN n1 = 1 THEN 2 ELSE 0 END AS applied, CASE WHEN w1 = '' THEN '1 empty,2 not found,3 not found' WHEN n1 = 1 THEN '3 not found' ELSE '1 not unique,2 not found,3 not found' END AS errors FROM (SELECT *, CASE WHEN w1 = '' THEN 0 ELSE (length(text) - length(replace(text, w1, ''))) // length(w1) END AS n1 FROM (SELECT conv_id, turn, text, string_split(text, ' ')[1] AS w1 FROM conversations))")
+def folded_edits(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("markdown"))
+    first = F.get(F.split("markdown", " "), F.lit(0))
+    edits = c.select("conv_id", "turn", F.explode(F.array(*[F.struct(F.lit(k).alias("ord"), a.alias("search"), F.lit(b).alias("replace")) for k, a, b in ((1, first, "QONE"), (2, F.lit("QONE"), "QTWO"), (3, F.lit("never there"), "x"))])).alias("e")).select("conv_id", "turn", "e.*")
+    done = apply_edits(c, edits, ["conv_id", "turn"])
+    return done.select("conv_id", "turn", F.md5("edited").alias("final"), F.size("applied").alias("applied"), F.array_join(F.transform("errors", lambda e: F.concat(e["ord"].cast("string"), F.lit(" "), e["why"])), ",").alias("errors"))

@@ -42,14 +42,6 @@ def first_step(spark, sf_dir):
     return x.select("page_id", n.alias("chars"), pages.alias("pages"), (n / pages < 50).alias("likely_scanned"))
 
 
-@CATALOG.add("s34", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'again' ELSE 'first' END AS v0 FROM pages")
-def reextracted(spark, sf_dir):
-    """Rows that were extracted again replace the first ones."""
-    p = table(spark, sf_dir, "pages").select("page_id")
-    both = p.select("page_id", F.lit(0).alias("o"), F.lit("first").alias("v0")).unionByName(p.where("page_id % 3 = 0").select("page_id", F.lit(1).alias("o"), F.lit("again").alias("v0")))
-    return both.groupBy("page_id").agg(F.max(F.struct("o", "v0")).alias("m")).select("page_id", "m.v0")
-
-
 @CATALOG.add("s17", "SELECT doc_id, CASE WHEN length(trim(text)) < 10 THEN 'error' ELSE 'ok' END AS status FROM documents")
 def text_only(spark, sf_dir):
     """Too little text is a status, not an exception."""
@@ -68,18 +60,6 @@ def minimal(spark, sf_dir):
     return c.select("conv_id", F.col("page").cast("long").alias("turn"), "chars", F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("page").cast("int"))).alias("place"))
 
 
-@CATALOG.add("s01", "SELECT page_id, CASE WHEN octet_length(encode(html)) < 100 THEN 'too_small' WHEN octet_length(encode(html)) > 9000 THEN 'too_large' ELSE 'stored' END AS status FROM pages")
-def ingest_status(spark, sf_dir):
-    n = F.octet_length("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.when(n < 100, "too_small").when(n > 9000, "too_large").otherwise("stored").alias("status"))
-
-
-@CATALOG.add("s13", "SELECT l_orderkey, '{\"document_id\":' || l_orderkey || ',\"total_edits\":' || count(*) || '}' AS ledger FROM lineitem GROUP BY l_orderkey")
-def ledger_json(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("total_edits"))
-    return x.select("l_orderkey", F.to_json(F.struct(F.col("l_orderkey").alias("document_id"), "total_edits")).alias("ledger"))
-
-
 @CATALOG.add("s14", "SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE doc_id % 2 = 0")
 def stored_figures(spark, sf_dir):
     """Images without data are skipped; the others are decoded."""
@@ -118,12 +98,6 @@ def result_urls(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("https://files.example/results/"), F.col("o_orderkey").cast("string"), F.lit("/result.md")).alias("url"))
 
 
-@CATALOG.add("s30", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'issue' ELSE 'edit' END AS kind, quality FROM labels")
-def feedback(spark, sf_dir):
-    """Feedback records by kind."""
-    return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "issue").otherwise("edit").alias("kind"), "quality")
-
-
 def parse_sse(buffers: DataFrame, key: str, column: str) -> DataFrame:
     """(key, n, id, event, data) of the complete events of a buffer, and what is left of it as `rest`; malformed data is dropped."""
     parts = F.split(column, "\n\n", -1)
@@ -143,21 +117,6 @@ def sse_texts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("id: "), F.col("event_id").cast("string"), F.lit("\nevent: "), "event_type", F.lit("\ndata: "), F.to_json(F.struct(F.col("user_id").alias("user"))), F.lit("\n\n")).alias("sse"))
 
 
-@CATALOG.add("s33", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'rejected: xx' ELSE 'queued' END AS outcome FROM pages")
-def submissions(spark, sf_dir):
-    """Unknown language codes are refused, the rest is queued."""
-    langs = F.when(F.col("page_id") % 5 == 0, F.array(F.lit("eng"), F.lit("xx"))).otherwise(F.array(F.lit("eng")))
-    bad = F.array_except(langs, F.array(F.lit("eng"), F.lit("deu")))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.size(bad) > 0, F.concat(F.lit("rejected: "), F.array_join(bad, ","))).otherwise("queued").alias("outcome"))
-
-
-@CATALOG.add("s36", "SELECT event_id, CASE WHEN event_id % 4 = 1 THEN false ELSE event_id % 4 <> 3 END AS retry FROM events")
-def transport_retries(spark, sf_dir):
-    """Unreachable, 503 and other 5xx are tried again; 504 and 4xx never."""
-    code = F.get(F.array(F.lit(503), F.lit(504), F.lit(500), F.lit(404)), (F.col("event_id") % 4).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", ((code >= 500) & (code != 504)).alias("retry"))
-
-
 @CATALOG.add("s37", "SELECT o_orderkey, 'temp/' || o_orderkey || '.pdf' AS deleted FROM orders WHERE o_orderstatus = 'F'")
 def deletions(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.format_string("temp/%d.pdf", "o_orderkey").alias("deleted"))
@@ -185,47 +144,6 @@ def _pages(spark, sf_dir) -> DataFrame:
     return c.select("conv_id", (F.col("turn") + 1).alias("page"), md.alias("markdown"))
 
 
-@CATALOG.add("e01", "SELECT conv_id, turn + 1 AS page, CAST(turn % 3 + 1 AS INTEGER) AS level, role AS text FROM conversations")
-def outlines(spark, sf_dir):
-    return rule_outline(_pages(spark, sf_dir), "conv_id").select("conv_id", "page", "level", "text")
-
-
-@CATALOG.add("e02", "SELECT conv_id, turn + 1 AS page, least(CAST(turn % 3 + 1 AS INTEGER), coalesce(max(CAST(turn % 3 + 1 AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) + 1) AS level FROM conversations")
-def reconciled(spark, sf_dir):
-    """A heading is at most one level below the one before it."""
-    o = rule_outline(_pages(spark, sf_dir), "conv_id")
-    before = F.coalesce(F.lag("level").over(W.partitionBy("conv_id").orderBy("ord")), F.lit(0))
-    return o.select("conv_id", "page", F.least("level", before + 1).alias("level"))
-
-
-@CATALOG.add("e03", "SELECT conv_id, turn + 1 AS page, 1 AS changes, md5(replace(text, ' the ', ' THE ')) AS digest FROM conversations WHERE contains(text, ' the ')")
-def corrected_pages(spark, sf_dir):
-    """Corrections page by page; a page without any keeps its text and has no row here."""
-    c = table(spark, sf_dir, "conversations").withColumn("new", F.replace("text", F.lit(" the "), F.lit(" THE ")))
-    return c.where("new <> text").select("conv_id", (F.col("turn") + 1).alias("page"), F.lit(1).alias("changes"), F.md5("new").alias("digest"))
-
-
-@CATALOG.add("e04", "SELECT conv_id, turn + 1 AS page, CASE WHEN turn % 4 = 3 THEN 'failed, original kept' END AS issue, md5(CASE WHEN turn % 4 = 3 THEN text ELSE replace(text, 'e', 'E') END) AS digest FROM conversations")
-def fanned_out(spark, sf_dir):
-    """A page whose correction failed keeps its text, with an issue."""
-    fail = F.col("turn") % 4 == 3
-    return table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), F.when(fail, "failed, original kept").alias("issue"), F.md5(F.coalesce(F.when(~fail, F.replace("text", F.lit("e"), F.lit("E"))), F.col("text"))).alias("digest"))
-
-
-@CATALOG.add("e07", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'not a poster' ELSE CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END END AS log FROM conversations")
-def rewrites(spark, sf_dir):
-    """Whole pages are rewritten on posters only; the log is cut."""
-    cut = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "not a poster").otherwise(cut).alias("log"))
-
-
-@CATALOG.add("e13", "SELECT conv_id, md5(regexp_replace(string_agg(text, '-' || chr(10) || chr(10) ORDER BY turn), '([a-z])-\\n\\n([a-z])', '\\1\\2', 'g')) AS v2 FROM conversations GROUP BY conv_id")
-def across_pages(spark, sf_dir):
-    """Pages joined in order, then hyphens across their boundaries."""
-    x = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return x.select("conv_id", F.md5(T.join_hyphens(F.array_join(F.transform("t", lambda v: v["text"]), "-\n\n"))).alias("v2"))
-
-
 @CATALOG.add("e14", f"SELECT doc_id, {SQUEEZE_SQL.format(x=COLLAPSE_SQL.format(x=FOLD_SQL))} <> {FOLD_SQL} AS changed FROM documents")
 def cleaned_up(spark, sf_dir):
     """The final cleanup logs one change if it changed anything."""
@@ -233,51 +151,15 @@ def cleaned_up(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (clean_final(text) != text).alias("changed"))
 
 
-@CATALOG.add("e15", "SELECT DISTINCT l_returnflag AS tier, CASE l_returnflag WHEN 'A' THEN 'small' WHEN 'R' THEN 'large' ELSE 'default' END AS model FROM lineitem")
-def tiers(spark, sf_dir):
-    f = F.col("l_returnflag")
-    return table(spark, sf_dir, "lineitem").select(f.alias("tier"), F.when(f == "A", "small").when(f == "R", "large").otherwise("default").alias("model")).distinct()
-
-
-@CATALOG.add("e17", "SELECT event_id, least(1 + event_id % 5, 3) AS attempts, event_id % 5 < 3 AS succeeded FROM events")
-def retried(spark, sf_dir):
-    """Three attempts at most."""
-    fails = F.col("event_id") % 5
-    return table(spark, sf_dir, "events").select("event_id", F.least(fails + 1, F.lit(3)).alias("attempts"), (fails < 3).alias("succeeded"))
-
-
 # --- what the other families still lack -----------------------------------------------------------------------------------
 
 
-@CATALOG.add("p03", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'a b' END AS caption FROM pages")
-def captions(spark, sf_dir):
-    """The direct text, else the captions joined."""
-    direct = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("")
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.nullif(direct, F.lit("")), F.concat_ws(" ", F.filter(F.array(F.lit("a"), F.lit(""), F.lit("b")), lambda c: c != ""))).alias("caption"))
-
-
-@CATALOG.add("p04", "SELECT page_id, 't' || (page_id % 2) AS text FROM pages")
-def pointers(spark, sf_dir):
-    """`#/texts/1` into the record."""
-    json = F.expr("parse_json('{\"texts\":[{\"text\":\"t0\"},{\"text\":\"t1\"}]}')")
-    ref = F.concat(F.lit("#/texts/"), (F.col("page_id") % 2).cast("string"))
-    path = F.concat(F.lit("$"), F.regexp_replace(F.regexp_replace(F.substring(ref, F.lit(2), F.length(ref)), r"/([0-9]+)", "[$1]"), "/", "."), F.lit(".text"))
-    return table(spark, sf_dir, "pages").select("page_id", F.try_variant_get(json, path, "string").alias("text"))
-
-
 @CATALOG.add("p26", "SELECT doc_id, lang, '' AS text FROM documents")
 def slim(spark, sf_dir):
     """Payloads without their heavy column, which the scan then never reads."""
     return table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit("").alias("text"))
 
 
-@CATALOG.add("p39", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'encrypted: password' WHEN 1 THEN 'encrypted: corrupt' ELSE 'ok' END AS verdict FROM pages")
-def orchestrated(spark, sf_dir):
-    """Unreadable files are told apart by their error's text, though both carry the same code."""
-    err = F.when(F.col("page_id") % 3 == 0, "Incorrect PASSWORD error").when(F.col("page_id") % 3 == 1, "Data format error")
-    return table(spark, sf_dir, "pages").select("page_id", F.when(err.isNull(), "ok").when(F.contains(F.lower(err), F.lit("password")), "encrypted: password").otherwise("encrypted: corrupt").alias("verdict"))
-
-
 @CATALOG.add("p40", "SELECT o_orderkey, CASE WHEN o_orderdate + INTERVAL 4 HOUR > TIMESTAMP '1996-01-01' THEN 200 ELSE 404 END AS code FROM orders")
 def review_details(spark, sf_dir):
     live = F.expr("o_orderdate + INTERVAL 4 HOURS > TIMESTAMP_NTZ '1996-01-01'")
@@ -289,28 +171,6 @@ def traces(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("agent"), F.length("text").alias("duration"))
 
 
-@CATALOG.add("p45", "SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'tables' ELSE '' END AS fragment FROM region")
-def fragments(spark, sf_dir):
-    """A fragment that is not there reads as ''."""
-    known = spark.range(1).select(F.col("id").cast("int").alias("r_regionkey"), F.lit("tables").alias("f"))
-    return table(spark, sf_dir, "region").join(F.broadcast(known), "r_regionkey", "left").select("r_regionkey", F.coalesce("f", F.lit("")).alias("fragment"))
-
-
-@CATALOG.add("a10", "SELECT l_orderkey, CASE WHEN count(*) < 4 THEN 'unknown' ELSE 'known' END AS layout FROM lineitem GROUP BY 1")
-def layout_known(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.when(F.count("*") < 4, "unknown").otherwise("known").alias("layout"))
-
-
-@CATALOG.add("a21", "SELECT conv_id, sum(length(text)) AS ms, count(*) AS steps FROM conversations GROUP BY 1")
-def totals(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("ms"), F.count("*").alias("steps"))
-
-
-@CATALOG.add("a31", "SELECT user_id, count(*) AS rounds, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS issues FROM events GROUP BY 1")
-def rounds(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("rounds"), F.sum((F.col("event_type") == "error").cast("long")).alias("issues"))
-
-
 @CATALOG.add("o05", "SELECT p_brand, min(p_partkey) AS best FROM part p WHERE p_size = (SELECT max(p_size) FROM part q WHERE q.p_brand = p.p_brand) GROUP BY 1")
 def best_first(spark, sf_dir):
     """The best, and the first of ties."""
@@ -325,13 +185,6 @@ def call_limits(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 5").select("l_orderkey", "l_linenumber")
 
 
-@CATALOG.add("m16", "SELECT lang, string_agg('- ' || source || ' (' || n || ')', chr(10) ORDER BY n DESC, source) AS report FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY lang")
-def formatted_flags(spark, sf_dir):
-    """Flags as an ordered list."""
-    x = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "source"))).alias("s"))
-    return x.select("lang", F.array_join(F.transform("s", lambda v: F.concat(F.lit("- "), v["source"], F.lit(" ("), (-v["m"]).cast("string"), F.lit(")"))), "\n").alias("report"))
-
-
 @CATALOG.add("m07")
 def applied_blocks(spark, sf_dir):
     """All code blocks, in order, on the newest version."""
@@ -343,14 +196,6 @@ def applied_blocks(spark, sf_dir):
     return mark_code(c.select("conv_id", newest.alias("markdown"), blocks.alias("blocks")), "conv_id")
 
 
-@CATALOG.add("x02", "SELECT w AS word, CASE WHEN contains(w, 'rn') THEN 0.95 WHEN contains(w, 'll') OR contains(w, 'vv') THEN 0.7 END AS confidence FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark) WHERE contains(w, 'rn') OR contains(w, 'll') OR contains(w, 'vv')")
-def recognition_check(spark, sf_dir):
-    """Variants of terms first, then suspicious pairs of letters."""
-    w = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
-    c = F.when(F.contains("word", F.lit("rn")), 0.95).when(F.contains("word", F.lit("ll")) | F.contains("word", F.lit("vv")), 0.7)
-    return w.withColumn("confidence", c).where("confidence IS NOT NULL")
-
-
 @CATALOG.add("x11", "SELECT n_nationkey, 'k=' || n_name || '{{x}}' AS context FROM nation")
 def context_maps(spark, sf_dir):
     from folio.operators.cleanup import MARKERS
@@ -373,48 +218,7 @@ def highlight_boxes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *_box(F.col("p_size"), 2.0))
 
 
-@CATALOG.add("t02")
-def two_tier_limit(spark, sf_dir):
-    """A limit per user and one for all; the user's slot is spent even when the global one refuses.
-
-    The global tier is one log by definition; only requests that pass the first tier reach it, keyed by day.
-    """
-    from folio.operators.telemetry import events
-    from folio.streaming.limits import sliding_log
-
-    e = events(spark, sf_dir)
-    own = sliding_log(e, "user_id", "event_id", "us", 86_400_000_000, 2).where("admitted").select("event_id")
-    passed = e.join(own, "event_id").withColumn("day", F.expr("us DIV 86400000000"))
-    everyone = sliding_log(passed, "day", "event_id", "us", 86_400_000_000, 20)
-    return everyone.select("event_id", "admitted")
-
-
-@CATALOG.add("t03", "SELECT user_id, count(*) <= 100 AS within FROM events GROUP BY 1")
-def status_limit(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") <= 100).alias("within"))
-
-
-@CATALOG.add("t20", "SELECT user_id, CASE WHEN min(CASE WHEN event_type = 'purchase' THEN ts END) <= min(ts) + INTERVAL 600 SECOND THEN 'approved' ELSE 'denied' END AS decision FROM events GROUP BY 1")
-def gate(spark, sf_dir):
-    """No decision within ten minutes is a denial."""
-    first = F.min(F.when(F.col("event_type") == "purchase", F.col("ts")))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.when(first <= F.min("ts") + F.expr("INTERVAL 600 SECONDS"), "approved").otherwise("denied").alias("decision"))
-
-
 @CATALOG.add("t21", "SELECT user_id, max(ts) - min(ts) > INTERVAL 1800 SECOND AS timed_out FROM events GROUP BY 1")
 def timeouts(spark, sf_dir):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").groupBy("user_id").agg((F.max(us) - F.min(us) > 1_800_000_000).alias("timed_out"))
-
-
-@CATALOG.add("t22", "SELECT event_id, event_id % 60 = 0 AS run_cleanup, event_id % 5 = 0 AS run_timeouts FROM events")
-def schedule(spark, sf_dir):
-    """Which periodic tasks are due at a tick."""
-    i = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", (i % 60 == 0).alias("run_cleanup"), (i % 5 == 0).alias("run_timeouts"))
-
-
-@CATALOG.add("t32", "SELECT user_id, min(event_id) AS session_event, 0 AS number FROM events GROUP BY 1")
-def opened_sessions(spark, sf_dir):
-    """A session begins with its event 0."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("session_event")).withColumn("number", F.lit(0))

@@ -66,11 +66,6 @@ def transitions(spark, sf_dir):
     return jobs(spark, sf_dir).select("job_id", can_move(F.col("status"), new).alias("allowed"))
 
 
-@CATALOG.add("p19", "SELECT event_id, event_type IN ('click', 'view') AS valid FROM events")
-def substatuses(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").isin("click", "view").alias("valid"))
-
-
 @CATALOG.add("t05", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS popped, count(*) OVER (PARTITION BY event_type) AS depth FROM events")
 def queue_order(spark, sf_dir):
     """First in, first out, by queue."""
@@ -171,11 +166,6 @@ def access_log(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"))).alias("line"))
 
 
-@CATALOG.add("t28", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'closed' ELSE 'open' END AS status FROM labels")
-def one_shot(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "closed").otherwise("open").alias("status"))
-
-
 @CATALOG.add("t29", "SELECT count(*) AS live FROM (SELECT user_id, max(ts) AS m FROM events GROUP BY 1) WHERE m > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def live_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -188,12 +178,6 @@ def issued_tokens(spark, sf_dir):
     return jobs(spark, sf_dir).select("job_id", F.sha2(F.concat(F.lit("stream:"), F.col("job_id").cast("string")), 256).alias("token"), (F.col("created_at") + F.expr("INTERVAL 300 SECONDS")).alias("expires_at"))
 
 
-@CATALOG.add("t31", "SELECT event_id, CASE event_type WHEN 'error' THEN 30 WHEN 'purchase' THEN 7 ELSE 1 END AS ttl_days FROM events")
-def routed(spark, sf_dir):
-    t = F.col("event_type")
-    return table(spark, sf_dir, "events").select("event_id", F.when(t == "error", 30).when(t == "purchase", 7).otherwise(1).alias("ttl_days"))
-
-
 @CATALOG.add("n01", "SELECT event_id, epoch_us(ts) AS us FROM events")
 def iso_times(spark, sf_dir):
     """ISO texts with Z; naive ones are UTC."""
@@ -247,14 +231,6 @@ def secure_tokens(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", F.uuid().alias("token"))
 
 
-@CATALOG.add("n10", f"SELECT o_orderkey AS job_id, CASE {STATUS_SQL} WHEN 'completed' THEN 7 ELSE 7 END AS days FROM orders")
-def keep_days(spark, sf_dir):
-    days = F.lit(7)
-    for k, v in KEEP_DAYS.items():
-        days = F.when(F.col("status") == k, v).otherwise(days)
-    return jobs(spark, sf_dir).select("job_id", days.alias("days"))
-
-
 def crop_box(left: Column, top: Column, right: Column, bottom: Column, page_w: Column, page_h: Column, image_w: Column, image_h: Column, pad: float = 0.02) -> list[Column]:
     """A box in points with its origin at the bottom as pixels from the top, padded and clamped."""
     sx, sy = image_w / page_w, image_h / page_h
@@ -287,12 +263,6 @@ def scales(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.greatest(F.lit(1.0), F.least(F.lit(3.0), F.col("p_size") / 10.0)).alias("scale"))
 
 
-@CATALOG.add("n17", "SELECT item_id, 'Item ' || item_id || chr(10) || CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END AS prompt FROM benchmark")
-def messages(spark, sf_dir):
-    cut = F.when(F.length("text") > 120, F.concat(F.substring("text", 1, 117), F.lit("..."))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws("\n", F.concat(F.lit("Item "), F.col("item_id").cast("string")), cut).alias("prompt"))
-
-
 @CATALOG.add("n18", "SELECT doc_id, md5(substr(text, greatest(p - 200, 1), p + 400 - greatest(p - 200, 1))) AS around FROM (SELECT doc_id, text, strpos(text, 'tion') AS p FROM documents) WHERE p > 0")
 def surroundings(spark, sf_dir):
     x = table(spark, sf_dir, "documents").select("doc_id", "text", F.instr("text", "tion").alias("p")).where("p > 0")

@@ -66,14 +66,6 @@ def shared_sections(spark, sf_dir):
     return x.select("conv_id", "turn", F.get(F.array_intersect("before", "after"), F.lit(0)).alias("shared"))
 
 
-@CATALOG.add("j12", "SELECT a.c_custkey, a.c_nationkey AS old, b.c_nationkey AS new FROM customer a JOIN (SELECT c_custkey, (c_nationkey + c_custkey % 2) AS c_nationkey FROM customer) b ON a.c_custkey = b.c_custkey AND a.c_nationkey <> b.c_nationkey")
-def outline_differences(spark, sf_dir):
-    """Entries whose level changed; of repeated keys the last one counts."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("old"))
-    new = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") + F.col("c_custkey") % 2).alias("new"))
-    return c.join(new, "c_custkey").where("old <> new")
-
-
 @CATALOG.add("j13", "SELECT d.doc_id, coalesce(CASE WHEN l.quality IS NULL THEN 'unknown' WHEN l.quality = 1 THEN 'good' ELSE 'bad' END, 'unknown') AS review FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic IS NULL OR l.toxic <> 1")
 def reviews(spark, sf_dir):
     """Items with their observation; closed ones go, unmatched ones stay as unknown."""
@@ -114,13 +106,6 @@ def unknown_words(spark, sf_dir):
     return words(table(spark, sf_dir, "benchmark")).join(words(table(spark, sf_dir, "documents").where("lang = 'en'")), "word", "left_anti")
 
 
-@CATALOG.add("j19", "SELECT a.w AS word, b.w AS term FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark) a JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark) b ON a.w = replace(b.w, 'th', 'ed') AND a.w <> b.w")
-def variants_of_terms(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).distinct()
-    terms = words.select(F.col("word").alias("term"), F.replace("word", F.lit("th"), F.lit("ed")).alias("word")).where("word <> term")
-    return words.join(terms, "word")
-
-
 @CATALOG.add("j20", "SELECT a.w AS word, b.w AS near FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '\\b[a-z]{4,6}\\b')) AS w FROM benchmark) a JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '\\b[a-z]{4,6}\\b')) AS w FROM benchmark) b ON a.w < b.w AND levenshtein(a.w, b.w) = 1")
 def near_words(spark, sf_dir):
     """Words one edit apart, found by an equi-join on words with one letter taken out, then verified."""

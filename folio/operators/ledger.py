@@ -94,13 +94,6 @@ def orientations(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.countDistinct(F.col("l_quantity") > 25) > 1).alias("mixed"))
 
 
-@CATALOG.add("a13", "SELECT coalesce(l_returnflag, '*') AS category, coalesce(l_linestatus, '*') AS agent, count(*) AS n, sum(CASE WHEN l_tax > 0.05 THEN 1 ELSE 0 END) AS critical FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
-def checklist(spark, sf_dir):
-    """Roll-ups by category and by agent at once."""
-    table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_tax").createOrReplaceTempView("folio_checklist")
-    return spark.sql("SELECT coalesce(l_returnflag, '*') AS category, coalesce(l_linestatus, '*') AS agent, count(*) AS n, sum(CASE WHEN l_tax > 0.05 THEN 1 ELSE 0 END) AS critical FROM folio_checklist GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
-
-
 @CATALOG.add("a14", "SELECT conv_id, string_agg(n || ' ' || role, ', ' ORDER BY first_turn) AS summary FROM (SELECT conv_id, role, count(*) AS n, min(turn) AS first_turn FROM conversations GROUP BY 1, 2) GROUP BY conv_id")
 def summaries(spark, sf_dir):
     """Counts by agent in the order of first appearance."""
@@ -118,13 +111,6 @@ def status_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@CATALOG.add("a17", "SELECT doc_id, len(m) AS n, CASE WHEN len(m) > 0 THEN 1 ELSE 0 END AS types FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS m FROM documents) WHERE len(m) > 0")
-def personal_summary(spark, sf_dir):
-    from folio.operators.classify import personal_data
-
-    return personal_data(table(spark, sf_dir, "documents")).where("entity_type = 'EMAIL_ADDRESS'").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("entity_type").cast("int").alias("types"))
-
-
 @CATALOG.add("a18", "SELECT event_type, n, CAST(row_number() OVER (ORDER BY n DESC, event_type) AS INTEGER) AS place FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def by_type_descending(spark, sf_dir):
     x = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
@@ -169,18 +155,6 @@ def cost_per_page(spark, sf_dir):
     return o.groupBy("o_orderstatus").agg(F.median(F.bround("o_totalprice", 0).cast("long") / (F.col("o_orderkey") % 5)).alias("med"))
 
 
-@CATALOG.add("a33", "SELECT event_id, 'props.k' AS path, regexp_extract(props, '\"k\": *(\\d+)', 1) AS value FROM events WHERE regexp_matches(props, '\"k\": *\\d+')")
-def dotted_paths(spark, sf_dir):
-    """Values of open records with their dotted paths."""
-    e = table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
-    return e.where("key = 'k'").select("event_id", F.concat(F.lit("props."), F.col("key")).alias("path"), "value")
-
-
-@CATALOG.add("a34", "SELECT source, count(*) AS files, sum(n_chars) AS bytes FROM documents WHERE doc_id % 10 = 0 GROUP BY 1")
-def cleanup_totals(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id % 10 = 0").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"))
-
-
 @CATALOG.add("o01", "SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS pages FROM conversations GROUP BY 1")
 def numeric_page_order(spark, sf_dir):
     x = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.col("turn").cast("string").cast("int"))).alias("p"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators.cleanup import near_keys, prose_words
 from folio.plans.catalog import Catalog
 from folio.sources.tables import table
 
@@ -85,15 +86,6 @@ def exact_greedy_matches(spark, sf_dir):
     return c.select("conv_id", "role", F.col("turn").alias("h"), r.alias("k")).join(c.select("conv_id", "role", F.col("turn").alias("o"), r.alias("k")), ["conv_id", "role", "k"]).select("conv_id", "h", "o")
 
 
-@CATALOG.add("j07")
-def line_search(spark, sf_dir):
-    """The line most like a wanted one, the first of ties."""
-    c = table(spark, sf_dir, "conversations")
-    lines = c.select("conv_id", F.lit(0).alias("h"), F.posexplode(F.split("text", "\n")).alias("o", "title")).withColumn("level", F.lit(1))
-    want = c.where("turn = 0").select("conv_id", F.lit(0).alias("h0"), F.get(F.split("text", "\n"), F.lit(0)).alias("text")).withColumnRenamed("h0", "h")
-    return best_in_page(want, lines.drop("h"), ["conv_id"], LINE).select("conv_id", "o", "ratio")
-
-
 @CATALOG.add("x15")
 def similarities(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
@@ -101,14 +93,6 @@ def similarities(spark, sf_dir):
     return c.select("conv_id", "turn", T.similarity(F.col("text"), nxt).alias("ratio"))
 
 
-@CATALOG.add("m04", "SELECT conv_id, turn, repeat('#', CASE role WHEN 'user' THEN 2 ELSE 1 END) || ' ' || role AS line, role = 'user' AS changed FROM conversations")
-def heading_levels(spark, sf_dir):
-    """Levels of matched headings rewritten, with a log of what changed."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("# "), "role").alias("line"), F.when(F.col("role") == "user", 2).otherwise(1).alias("level"))
-    new = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.regexp_extract("line", T.HEADING, 2))
-    return c.select("conv_id", "turn", new.alias("line"), (new != F.col("line")).alias("changed"))
-
-
 def mark_code(pages: DataFrame, key: str) -> DataFrame:
     """Code blocks applied in order to each page.  pages: key, markdown, blocks array<struct<language, first_line, last_line>>.
 
@@ -194,21 +178,22 @@ def flag_spelling(docs: DataFrame, known: int = 20, most: int = 50) -> DataFrame
     return first.select(F.explode("ids").alias("doc_id"), "place", "w", F.transform("s", lambda x: x["suggestion"]).alias("suggestions"))
 
 
-@CATALOG.add("m14")
-def spelling_flags(spark, sf_dir):
-    return flag_spelling(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"))
-
+def flag_spelling(docs: DataFrame, known: int = 20, most: int = 50, terms: DataFrame | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, place, w, word, line, context, suggestions): of each text's prose words of three letters or more the first `most` that are unknown
+    and have suggestions (w in lower case); capitalised ones only at the beginning of a line; every word once.
 
-@CATALOG.add("x13")
-def footnote_bodies(spark, sf_dir):
-    """The line that begins with the footnote's number and resembles its text."""
-    c = table(spark, sf_dir, "conversations")
-    lines = c.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    want = F.substring(F.col("line"), 1, 60)
-    x = lines.withColumn("ratio", T.similarity(F.concat(F.lit("1 "), want), want)).where("ratio >= 0.6")
-    return x.groupBy("conv_id", "turn").agg(F.max(F.struct(F.col("ratio"), (-F.col("n")).alias("m"))).alias("b")).select("conv_id", "turn", (-F.col("b.m")).alias("n"))
-
-
-@CATALOG.add("x14", "SELECT conv_id, turn, regexp_matches(text || ' word1. end', '[A-Za-z]1[^0-9]') AS marked FROM conversations")
-def footnote_markers(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" word1. end")).rlike("[A-Za-z]1[^0-9]").alias("marked"))
+    The dictionary is what `known` different texts or more use, besides `terms` (term); suggestions are its words at one edit, most common first.
+    """
+    texts = docs.groupBy(F.col(column).alias("text")).agg(F.collect_list(key).alias("ids")).select("ids", F.sha2("text", 256).alias("t"), "text")
+    words = prose_words(texts, "t", "text").where(F.length("word") >= 3).withColumn("w", F.lower("word"))
+    n = words.groupBy("w").agg(F.countDistinct("t").alias("n"))
+    if terms is not None:
+        n = n.join(terms.select(F.lower("term").alias("w")).distinct().withColumn("term", F.lit(True)), "w", "left").withColumn("n", F.when(F.col("term"), F.lit(known)).otherwise(F.col("n"))).drop("term")
+    rare, common = n.where(F.col("n") < known).select("w", F.explode(near_keys("w")).alias("k")), n.where(F.col("n") >= known).select(F.col("w").alias("suggestion"), F.col("n").alias("common"), F.explode(near_keys("w")).alias("k"))
+    hits = rare.join(common, "k").where(F.levenshtein("w", "suggestion", 1) == 1).select("w", "suggestion", "common").distinct()
+    best = hits.withColumn("r", F.row_number().over(W.partitionBy("w").orderBy(F.col("common").desc(), "suggestion"))).where("r <= 3")
+    best = best.groupBy("w").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "suggestion"))), lambda x: x["suggestion"]).alias("suggestions"))
+    plain = words.where(F.col("word").rlike("^[a-z]") | F.expr("startswith(context, word)"))
+    first = plain.groupBy("t", "w").agg(F.min(F.struct("line", "at", "word", "context")).alias("m")).join(best, "w")
+    first = first.withColumn("place", F.row_number().over(W.partitionBy("t").orderBy("m.line", "m.at"))).where(F.col("place") <= most)
+    return texts.select("t", F.explode("ids").alias(key)).join(first, "t").select(key, "place", "w", "m.word", "m.line", "m.context", "suggestions")

@@ -139,13 +139,6 @@ def resumed(spark, sf_dir):
     return x.where("number >= 3").groupBy("user_id").agg(F.count("*").alias("replayed"))
 
 
-@CATALOG.add("t18", "SELECT user_id, max_by(event_type, event_id) AS last_type, count(*) AS n FROM events GROUP BY 1")
-def folded_state(spark, sf_dir):
-    """Events folded into the latest state."""
-    x = events(spark, sf_dir).groupBy("user_id").agg(F.max(F.struct("event_id", "event_type")).alias("m"), F.count("*").alias("n"))
-    return x.select("user_id", F.col("m.event_type").alias("last_type"), "n")
-
-
 @CATALOG.add("t19", "SELECT user_id, min(ts) AS started, max(ts) AS touched, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, s")
 def sessions(spark, sf_dir):
     """Sessions end after an hour without any touch."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from folio.operators import classify, cleanup, exchange, joins, jobs, ledger, outline, structure, telemetry
+    from folio.operators import classify, cleanup, exchange, joins, jobs, ledger, lifecycle, outline, review, stores, structure, telemetry
 
-    return [cleanup, classify, structure, outline, joins, ledger, jobs, telemetry, exchange]
+    return [cleanup, classify, structure, outline, joins, ledger, jobs, telemetry, exchange, review, lifecycle, stores]
 
 
 def queries() -> dict:

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: list[str] = []
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only for a local master without that setting."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="folio-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,3 +78,9 @@ def existing(keys: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """The keys that the folder holds."""
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.substring_index("path", "/", -1).alias("name"))
     return keys.join(there, F.substring_index("key", "/", -1) == F.col("name"), "left_semi")
+
+
+def existing_prefixes(keys: DataFrame, spark: SparkSession, path: str, key: str = "key") -> DataFrame:
+    """The keys that some file of the folder lies under."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.explode(F.split("path", "/")).alias(key)).distinct()
+    return keys.join(there, key, "left_semi")
