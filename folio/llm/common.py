@@ -15,23 +15,24 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: str | None = None
 
-#: Odd multipliers of the polynomial and shingle hashes (any odd values do).
-BASE = 0x9E3779B97F4A7C15
+#: Odd multipliers of the word and shingle hashes (any odd values do).
 MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset under a local master (tests)."""
     global _OWN_DIR
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="folio-")
         atexit.register(shutil.rmtree, _OWN_DIR, ignore_errors=True)
@@ -108,6 +109,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def even_labels(spark: SparkSession, n: int) -> list[int]:
+    """n integers that hash partitioning (an int column, n partitions) deals to n different partitions, in their order."""
+    found: dict[int, int] = {}
+    most = 8 * n + 64
+    while len(found) < n:  # about n * log(n) are looked at
+        for r in spark.range(most).select(F.col("id").cast("int").alias("label")).select("label", F.pmod(F.hash("label"), F.lit(n)).alias("at")).groupBy("at").agg(F.min("label").alias("label")).collect():
+            found[r["at"]] = r["label"]
+        most *= 2
+    return [found[k] for k in range(n)]
+
+
+def range_of(col: Column, splits: list) -> Column:
+    """Index of the range of `col` between sorted splits, by a binary search of conditions."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col < F.lit(splits[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(splits))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null text: empty); columns that callers add, whatever their names, stay out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -148,17 +172,6 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64, grown on demand."""
-    if len(_TABLES.get("p", ())) < n:
-        size = max(n, 1 << 16)
-        _TABLES["p"], _TABLES["q"] = _powers(BASE, size), _powers(pow(BASE, -1, 1 << 64), size)
-    return _TABLES["p"][:n], _TABLES["q"][:n]
-
-
 #: A-Z to a-z, all other bytes as they are; white space as [\x20\x09-\x0D].
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -175,14 +188,11 @@ def doc_chunks(offs: np.ndarray, most: int = 1 << 20):
         i = j
 
 
-def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of each document, A-Z lower-cased.
-
-    Returns hash, first byte and end byte of each word, and the word offsets of the documents.
-    """
+def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of the words `[^\\x20\\x09-\\x0D]+` of all documents."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = ~SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -191,14 +201,43 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = solid.copy()
     last[:-1] &= ~solid[1:]
     last[edges - 1] = solid[edges - 1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p, q = power_tables(n)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches [s, e), none empty, as numbers of 8 bytes, the last filled up with zeros; and where each begins."""
+    size = (e - s + 7) >> 3
+    first = np.cumsum(size) - size
+    at = np.repeat(s - 8 * first, size) + 8 * np.arange(int(size.sum()), dtype=np.int64)
+    view = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    x = view[at]
+    end = first + size - 1
+    x[end] &= _LOW_BYTES[e - s - 8 * (size - 1)]
+    return x, first
+
+
+#: Key of the word hash.
+_KEY = np.uint64(0x2545F4914F6CDD1D)
+
+
+def hash_eights(x: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches in eights: every eight is mixed with its place before the sum, so no sum over places cancels out by construction."""
     with np.errstate(over="ignore"):
-        c = np.empty(n + 1, np.uint64)
-        c[0] = 0
-        np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * p, out=c[1:])
-        h = mix((c[e] - c[s]) * q[s] + (e - s).astype(np.uint64))
-    return h, s, e, np.searchsorted(s, offs, "left")
+        place = np.arange(len(x), dtype=np.int64) - np.repeat(first, np.diff(np.append(first, len(x))))
+        y = mix((x ^ _KEY) * MIX2 + mix(place.astype(np.uint64) * MIX1 + _KEY))
+        return mix(np.add.reduceat(y, first) + length.astype(np.uint64) * MIX1) if len(first) else np.zeros(0, np.uint64)
+
+
+def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of each document, A-Z lower-cased.
+
+    Returns hash, first byte and end byte of each word, and the word offsets of the documents.
+    """
+    s, e = word_bounds(data, offs)
+    return hash_eights(*eights(LOWER[data], s, e), e - s), s, e, np.searchsorted(s, offs, "left")
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Packing along a space-filling curve.
 
 Documents are tokenized, their hashed token counts are projected to a few dimensions, and the place on a
-Hilbert curve through that space is the sort key (ties broken by a hash of doc_id, so that a group of copies
-spreads over ranges).  Ranges of the key are cut at quantiles; the token total of each range gives the place at
+Hilbert curve through that space is the sort key (ties broken by a hash of the row, then by its number in its task, so
+that a group of copies, of null ids or of repeated rows spreads over ranges; keys are written once, with the ids).  Ranges of the key are cut at quantiles; the token total of each range gives the place at
 which it begins in one long stream, and the stream is cut every `length` tokens.  Neighbours on the
 curve share sequences, all sequences but the very last are full, and no task handles more than its range.
 
@@ -17,10 +17,10 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORKER_MEMORY, doc_chunks, id_text, materialize, partitions, ragged, small_batches, text_bytes, words_of
+from .common import LOWER, SPACE, WORKER_MEMORY, eights, hash_eights, id_text, materialize, partitions, ragged, range_of, small_batches, text_bytes, word_bounds
 
 DIMS, BITS, HASHED = 3, 8, 1024
 # Fixed value: the pattern by which the vocabulary file cuts words.
@@ -45,11 +45,41 @@ class Generations(dict):
         return value
 
 
+#: Words that are encoded in one call.
+JOINED = 4096
+#: Kinds of bytes as the pattern tells them apart: white space, letters, digits, others; 4 for what only whole words can settle.
+KIND = np.full(256, 4, np.uint8)
+KIND[33:127], KIND[48:58], KIND[65:91], KIND[97:123], KIND[39], KIND[SPACE] = 3, 2, 1, 1, 4, 0
+
+
+def pieces_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of the pieces that the vocabulary's pattern cuts: words of printable ASCII without apostrophes and of Latin letters
+    (U+00C0 to U+024F, two bytes each) into letters, single digits and others; all other words stay whole."""
+    s, e = word_bounds(data, offs)
+    if not len(s):
+        return s, e
+    kind = KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    if len(lead):  # signs of multiplication and division, and the one letter whose lower case is two
+        both = data[lead].astype(np.int32) << 8 | data[np.minimum(lead + 1, len(data) - 1)]
+        lead = lead[~np.isin(both, [0xC397, 0xC3B7, 0xC4B0])]
+        kind[lead] = kind[lead + 1] = 1
+    fit = np.zeros(len(data), bool)
+    fit[s[0] :] = np.repeat(np.add.reduceat((kind == 4).astype(np.int32), s) == 0, np.diff(np.append(s, len(data))))
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = fit[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & (kind[:-1] > 0)
+    cut[s] = True
+    first = np.flatnonzero(cut)
+    word = np.searchsorted(s, first, "right") - 1
+    return first, np.minimum(np.append(first[1:], len(data)), e[word])
+
+
 class WordTokenizer:
-    """Ids of whole texts, every distinct white-space separated stretch encoded once.
+    """Ids of whole texts, every distinct piece encoded once.
 
-    The vocabulary drops white space and no token crosses it, so stretches are independent.  A batch's stretches are
-    hashed and told apart in numpy (64 bits); only those that this worker has not met become strings.
+    The vocabulary drops white space and no token crosses it or the borders of its pattern, so pieces are independent.  A
+    batch's pieces are grouped by hash in numpy and compared byte by byte with the first of their group; only the first
+    become bytes, which are the key under which this worker remembers their ids.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -64,7 +94,7 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, self.kind), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -72,49 +102,76 @@ class WordTokenizer:
         return np.array(self.t.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _word(self, w: str) -> bytes:
-        if w.isascii():
-            if not w.isprintable():
-                return self._encode(w)
-            w = w.lower()  # as the vocabulary does, before it looks for 's and the like
-        elif "'" in w or not w.isprintable() or not is_normalized("NFC", w):
+        """The vocabulary composes a word (NFC), lowers it letter by letter and then cuts it; words for which the order may matter go whole."""
+        if not w.isprintable():
             return self._encode(w)
-        return self.pieces[w] if w.isalpha() else b"".join([self.pieces[p] for p in self.find(w)])
-
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
-        for h, raw in zip(hashes, words, strict=True):
-            ids = np.frombuffer(self._word(raw.decode()), self.kind)
-            k = len(self.slots)
-            if k == len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.slots[h] = k
+        low = w.lower()
+        if not w.isascii() and ("'" in w or "\u03a3" in w or len(low) != len(w) or not is_normalized("NFC", w) or not is_normalized("NFC", low)):
+            return self._encode(w)
+        return self.pieces[low] if low.isalpha() else b"".join([self.pieces[p] for p in self.find(low)])
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        lows = [t.lower() for t in texts]
+        plain = [low.isalpha() and (t.isascii() or len(low) == len(t) and "\u03a3" not in t and is_normalized("NFC", t) and is_normalized("NFC", low)) for t, low in zip(texts, lows, strict=True)]
+        alone = [k for k, p in enumerate(plain) if p]
+        for at in range(0, len(alone), JOINED):  # letters alone are one piece each, so many are encoded together
+            some = alone[at : at + JOINED]
+            e = self.t.encode(" ".join([lows[k] for k in some]), add_special_tokens=False)
+            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+            if len(n) != len(some) or not n.all():
+                raise ValueError("the vocabulary cuts letters where its pattern does not")
+            self._keep([words[k] for k in some], np.array(e.ids, self.kind), n)
+        rest = [(words[k], np.frombuffer(self._word(texts[k]), self.kind)) for k, p in enumerate(plain) if not p]
+        if rest:
+            self._keep([w for w, _ in rest], np.concatenate([x for _, x in rest]), np.array([len(x) for _, x in rest], np.int64))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        k = len(self.slots)
+        while k + len(words) > len(self.start):
+            self.start, self.length = (np.resize(x, 2 * len(x)) for x in (self.start, self.length))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k : k + len(words)], self.length[k : k + len(words)] = self.used + np.cumsum(n) - n, n
+        self.used += len(ids)
+        self.slots.update(zip(words, range(k, k + len(words)), strict=True))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them)."""
         import pandas as pd
 
-        parts = [(*words_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), offs[i]) for i, j in doc_chunks(offs)]
-        h = np.concatenate([x[0] for x in parts] or [np.zeros(0, np.uint64)])
-        first, last = (np.concatenate([x[k] + x[4] for x in parts] or [np.zeros(0, np.int64)]) for k in (1, 2))
-        words = np.concatenate([[0], *[np.diff(x[3]) for x in parts]]).cumsum()
-        codes, distinct = pd.factorize(h)
+        s, e = pieces_of(data, offs)
+        if (data >= 128).any():  # words of ASCII alone may be lowered first; in others a letter's marks would compose otherwise
+            wide = np.flatnonzero(np.diff(np.cumsum(np.append(0, data >= 128))[np.stack([s, e])], axis=0)[0]) if len(s) else s
+            own = ragged(s[wide], (e - s)[wide])
+            low = LOWER[data]
+            low[own] = data[own]
+            data = low
+        else:
+            data = LOWER[data]
+        x, at = eights(data, s, e)
+        codes, distinct = pd.factorize(hash_eights(x, at, e - s))
+        first = np.zeros(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        like, size = first[codes], np.diff(np.append(at, len(x)))
+        other = e - s != (e - s)[like]
+        same = np.flatnonzero(~other)
+        differ = x[ragged(at[same], size[same])] != x[ragged(at[like[same]], size[same])]
+        other[np.repeat(same, size[same])[differ]] = True
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
+        if other.any():  # another word with the hash of the first of its group
+            found: dict[bytes, int] = {}
+            for k in np.flatnonzero(other).tolist():
+                codes[k] = found.setdefault(raw[s[k] : e[k]], len(words) + len(found))
+            words += list(found)
         if len(self.slots) > self.most:
             self._clear()
-        known = distinct.tolist()
-        new = [k for k, v in enumerate(known) if v not in self.slots]
-        if new:
-            where = np.zeros(len(distinct), np.int64)
-            where[codes[::-1]] = np.arange(len(codes))[::-1]
-            at = where[new]
-            raw = data.tobytes()
-            self._learn([known[k] for k in new], [raw[a:b] for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)])
-        slot = np.fromiter(map(self.slots.__getitem__, known), np.int64, len(known))[codes]
-        size = self.length[slot]
-        return self.flat[ragged(self.start[slot], size)], np.append(0, size.cumsum())[words]
+        self._learn([w for w in dict.fromkeys(words) if w not in self.slots])
+        slot = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))[codes]
+        n = self.length[slot]
+        return self.flat[ragged(self.start[slot], n)], np.append(0, n.cumsum())[np.searchsorted(s, offs, "left")]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -164,12 +221,14 @@ def curve_points(ids: list[np.ndarray], seed: int = 11) -> np.ndarray:
     return np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
+#: Ranges of the curve for each task: documents differ much in length, so tasks take ranges by their tokens.
+FINE = 4
 #: Bytes of text that are tokenized together.
 BATCH_BYTES = 4 << 20
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, key, ids): ids as packed little-endian integers, key the place on the curve and a hash of doc_id."""
+    """(doc_id, n, key, ids): ids as packed little-endian integers, key the place on the curve, a hash of the row and the row's number in its task."""
     small_batches(docs.sparkSession)
 
     def finish(t: WordTokenizer, held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -191,34 +250,26 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
         if held:
             yield finish(t, held)
 
-    x = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("doc_id").bitwiseAND((1 << 36) - 1))
+    x = id_text(docs, id_col, text_col)
+    own, row = F.xxhash64("doc_id", "text").bitwiseAND((1 << 24) - 1), F.monotonically_increasing_id().bitwiseAND((1 << 12) - 1)
+    x = x.withColumn("tie", F.shiftleft(own, 12).bitwiseOR(row))
     return x.mapInArrow(run, "doc_id long, n long, key long, ids binary")
 
 
-def range_of(col: Column, splits: list) -> Column:
-    """Index of the range of `col` between sorted splits, by a binary search of conditions."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(splits[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(splits))
-
-
 def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents."""
     spark = docs.sparkSession
     wide = tokenizer_is_wide(path)
     tokens = materialize(tokenize(docs, path, end_id, id_col, text_col), "tokens")
     n = max(2, partitions(spark))
-    cuts = tokens.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n).alias("p")).first()["p"] or []
+    fine = FINE * n
+    cuts = tokens.agg(F.percentile_approx("key", [i / fine for i in range(1, fine)], 20 * fine).alias("p")).first()["p"] or []
     bucket = range_of(F.col("key"), sorted(set(cuts)))
     totals = {r["b"]: r["n"] for r in tokens.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}
-    base, at = {}, 0
-    for b in sorted(totals):
-        base[b], at = at, at + totals[b]
+    whole = max(1, sum(totals.values()))
+    base, part, at = {}, [0] * (len(set(cuts)) + 1), 0
+    for b in sorted(totals):  # neighbouring ranges go to one task until it has its share of the tokens
+        base[b], part[b], at = at, (2 * at + totals[b]) * n // (2 * whole), at + totals[b]
     kind = np.dtype("<u4" if wide else "<u2")
 
     def cut(batches):
@@ -238,7 +289,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int =
                     start, place = start + size, place + size
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = tokens.select(bucket.alias("b"), "key", "doc_id", "ids").repartition(n, "b").sortWithinPartitions("b", "key", "doc_id", "ids")
+    dealt = tokens.select(bucket.alias("b"), "key", "doc_id", "ids").repartitionById(n, F.get(F.lit(part), F.col("b"))).sortWithinPartitions("b", "key", "doc_id", "ids")
     return dealt.select("b", "doc_id", "ids").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
