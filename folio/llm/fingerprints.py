@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_text, partitions
+from .common import id_text, partitions, range_of
 
 
 def _let(value: Column, f) -> Column:
@@ -79,7 +79,7 @@ def order_minhash(text: Column, k: int = 5, slots: int = 32, tuple_size: int = 2
             return F.when(F.size(part) == 0, F.lit(0)).otherwise(F.greatest(h, F.lit(1)))
 
         every = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda b: tupled(F.slice(sel, b * tuple_size + 1, tuple_size)))
-        by_bin = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda b: tupled(F.filter(sel, lambda x: F.shiftrightunsigned(x["g"], 64 - bits) == b)))
+        by_bin = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda b: tupled(F.filter(sel, lambda x: F.shiftrightunsigned(x["g"], 64 - bits) == (b + slots // 2) % slots)))  # as signed numbers sort
         return F.when(F.size(sel) == slots * tuple_size, every).otherwise(by_bin)
 
     return _let(_let(_let(_let(hashes, kmers), _occurrences), chosen), signature)
@@ -111,10 +111,7 @@ def with_next(rows: DataFrame, key: str, carried: list[str], computed: dict[str,
     ranges = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10000).alias("p")).first()["p"] or []
     splits = sorted(set(ranges))
     null_first = F.lit(-1)  # null keys form the lowest range
-    if splits:
-        bucket = F.when(F.col(key).isNull(), null_first).otherwise(F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s <= F.col(key))))
-    else:
-        bucket = F.when(F.col(key).isNull(), null_first).otherwise(F.lit(0))
+    bucket = F.when(F.col(key).isNull(), null_first).otherwise(range_of(F.col(key), splits))
     x = rows.withColumn("__b", bucket)
     order = [F.col(key).desc_nulls_last(), F.col(carried[0]).asc(), *[F.col(c).asc() for c in carried[1:]]]
     tops = x.groupBy("__b").agg(F.max(key).alias("__k"))
