@@ -12,7 +12,8 @@ a page if d(q, centre) - radius is.  Bounds are widened by a rounding margin; sc
 
 Defined results: vectors that are null or empty or hold a null, NaN or infinite component take no part, nor do null ids;
 only vectors of the query's length are its candidates; rows with the query's own id aren't; repeated rows
-are candidates each; ties go to the smaller id; an empty table gives no rows.  Scores must fit 63 bits.
+are candidates each; query rows with one id are one query, whose best are taken over all its vectors; ties go to the
+smaller id; an empty table gives no rows.  Scores must fit 63 bits.
 """
 
 from __future__ import annotations
