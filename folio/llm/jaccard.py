@@ -31,13 +31,15 @@ classes are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _powers, bucketed, doc_chunks, forget, id_text, materialize, mix, partitions, ragged, shingles, small_batches, text_bytes, words_of
+from .common import _powers, bucketed, doc_chunks, even_labels, forget, id_text, materialize, mix, partitions, ragged, shingles, small_batches, text_bytes, words_of
 from .suffix import _pack_block, _unpack_block
 
 BLOCK_BYTES = 4 << 20
@@ -167,17 +169,17 @@ def _blocks(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return id_text(docs, id_col, text_col).mapInArrow(run, "block long, bucket int, payload binary")
 
 
-def _deal(token: np.ndarray, who: np.ndarray, buckets: int, header):
+def _deal(token: np.ndarray, who: np.ndarray, labels: list[int], header):
     """(bucket, payload) rows of 64-bit values with their owners: header(owners) first, then 5 bytes and an owner's place each."""
-    bucket = ((token >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    bucket = ((token >> np.uint64(40)) * np.uint64(len(labels)) >> np.uint64(24)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    cuts = np.searchsorted(bucket[order], np.arange(len(labels) + 1))
     for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         x = order[cuts[b] : cuts[b + 1]]
         owners, of = np.unique(who[x] >> 1, return_inverse=True)
         of = 2 * of + (who[x] & 1)
         kind = np.dtype("<u2" if 2 * len(owners) < 1 << 16 else "<u4")
-        yield b, b"".join([np.array([len(owners), kind.itemsize], np.int64).tobytes(), header(owners), token[x].astype("<u4").tobytes(), (token[x] >> np.uint64(32)).astype(np.uint8).tobytes(), of.astype(kind).tobytes()])
+        yield labels[b], b"".join([np.array([len(owners), kind.itemsize], np.int64).tobytes(), header(owners), token[x].astype("<u4").tobytes(), (token[x] >> np.uint64(32)).astype(np.uint8).tobytes(), of.astype(kind).tobytes()])
 
 
 def _dealt(raw: bytes, header_bytes: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -189,7 +191,7 @@ def _dealt(raw: bytes, header_bytes: int) -> tuple[int, np.ndarray, np.ndarray]:
     return m, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), np.frombuffer(raw, "<u2" if wide == 2 else "<u4", n, at + 5 * n)
 
 
-def _signed(k: int, num: int, den: int, buckets: int):
+def _signed(k: int, num: int, den: int, labels: list[int]):
     """Signatures of the blocks' distinct sets, dealt to buckets."""
 
     def run(batches):
@@ -209,7 +211,7 @@ def _signed(k: int, num: int, den: int, buckets: int):
                             sigs.append(x)
                             of.append(np.full(len(x), 2 * d + below, np.uint32))
                             need[d, below] = least
-                rows = list(_deal(np.concatenate(sigs), np.concatenate(of), buckets, lambda o: cls[o].tobytes() + n[o].tobytes() + need[o].tobytes()))  # noqa: B023
+                rows = list(_deal(np.concatenate(sigs), np.concatenate(of), labels, lambda o: cls[o].tobytes() + n[o].tobytes() + need[o].tobytes()))  # noqa: B023
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["bucket", "payload"])
 
     return run
@@ -263,7 +265,7 @@ def _lists(table: pa.Table) -> pa.Table:
     return pa.table({"digest": pa.array(digest[keep].view(np.int64)), "size": pa.array(lens.astype(np.int32)), "shared": pa.array(shared.astype(np.int64)), "cls": as_list(c), "n": as_list(n), "need": as_list(least), "below": as_list(down)})
 
 
-def _elsewhere(table: pa.Table, parts: int) -> pa.Table:
+def _elsewhere(table: pa.Table, labels: list[int]) -> pa.Table:
     """Of one bucket of tokens: how many of each class's tokens another component has too, packed by parts of the classes."""
     token, cls, comp = [], [], []
     for raw in table.column("payload").to_pylist():
@@ -277,8 +279,8 @@ def _elsewhere(table: pa.Table, parts: int) -> pa.Table:
     first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     mixed = np.repeat(np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first), np.diff(np.append(first, len(t))))
     who, n = np.unique(cls[order][mixed], return_counts=True)
-    part = (mix(who.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    found = [(p, np.concatenate([who[part == p], n[part == p]]).tobytes()) for p in np.unique(part).tolist()]
+    part = (mix(who.view(np.uint64)) % np.uint64(len(labels))).astype(np.int64)
+    found = [(labels[p], np.concatenate([who[part == p], n[part == p]]).tobytes()) for p in np.unique(part).tolist()]
     return pa.table({"part": pa.array([p for p, _ in found], pa.int32()), "payload": pa.array([x for _, x in found], pa.binary())})
 
 
@@ -291,15 +293,22 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"cls": pa.array(cls), "there": pa.array(there)})
 
 
-def _verifier(num: int, den: int):
+def _set_of(raw, k: int) -> np.ndarray:
+    text = np.frombuffer(raw, np.uint8)
+    return next(sets_of(text, np.array([0, len(text)], np.int64), k))
+
+
+def _verifier(k: int, num: int, den: int):
+    """Of one pivot and some others, as texts: those whose sets are similar to the pivot's."""
+
     def check(table: pa.Table) -> pa.Table:
-        mine = np.asarray(table.column("pivot_row"))
-        sets = table.column("tokens").to_pylist()
-        pivot = np.frombuffer(sets[int(np.flatnonzero(mine)[0])], np.uint64)
+        mine = table.column("pivot_row").to_pylist()
+        raw = table.column("text")
+        pivot = _set_of(raw[mine.index(True)].as_py(), k)
         a, out = table.column("a")[0].as_py(), []
-        for is_pivot, cls, raw in zip(mine.tolist(), table.column("cls").to_pylist(), sets, strict=True):
+        for at, (is_pivot, cls) in enumerate(zip(mine, table.column("cls").to_pylist(), strict=True)):
             if not is_pivot:
-                x = np.frombuffer(raw, np.uint64)
+                x = _set_of(raw[at].as_py(), k)
                 common = int((pivot[np.minimum(np.searchsorted(pivot, x), len(pivot) - 1)] == x).sum())
                 if den * common >= num * (len(x) + len(pivot) - common):
                     out.append(cls)
@@ -308,11 +317,11 @@ def _verifier(num: int, den: int):
     return check
 
 
-def _joiner(num: int, den: int):
+def _joiner(k: int, num: int, den: int):
     """Links between two parts of a group of candidates, as few as join the same components."""
 
     def join(table: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        raw = [_set_of(x, k) for x in table.column("text").to_pylist()]
         cls, comp = np.asarray(table.column("cls").combine_chunks()), table.column("comp").to_pylist()
         first, second = (np.flatnonzero(np.asarray(table.column(c).combine_chunks())) for c in ("first", "second"))
         n = np.array([len(x) for x in raw], np.int64)
@@ -364,6 +373,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+def _texts_at(block: pa.Table, places: list[int]):
+    """The texts of some documents of a block, in the order asked."""
+    _, offs, _, data = _unpack_block(block.column("payload")[0].as_py())
+    for pos in places:
+        yield data[offs[pos] : offs[pos + 1]].tobytes()
+
+
 def _sets_at(block: pa.Table, places: list[int], k: int):
     """The sets of some documents of a block, in the order asked."""
     _, offs, _, data = _unpack_block(block.column("payload")[0].as_py())
@@ -410,10 +426,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     """(doc_id, n_shingles, component_id) of every row: documents link when den * |A n B| >= num * |A u B|."""
     spark = docs.sparkSession
     buckets = max(1, partitions(spark))
+    even = even_labels(spark, buckets)
     kept = bucketed(_blocks(docs, k, id_col, text_col), "jaccard", buckets, "block")
     texts = kept.where("bucket = -1").select("block", "payload")
     rows = kept.where("bucket = -2").select("block", "payload").mapInArrow(_documents, "block long, pos long, doc_id long, n long, cls long")
-    lists = texts.select("payload").mapInArrow(_signed(k, num, den, buckets), "bucket int, payload binary").groupBy("bucket").applyInArrow(_lists, "digest long, size int, shared long, cls array<long>, n array<long>, need array<int>, below array<boolean>")
+    lists = texts.select("payload").mapInArrow(_signed(k, num, den, even), "bucket int, payload binary").groupBy("bucket").applyInArrow(_lists, "digest long, size int, shared long, cls array<long>, n array<long>, need array<int>, below array<boolean>")
     lists = lists.groupBy("digest", "size").agg(F.sum("shared").alias("shared"), F.first(F.arrays_zip("cls", "n", "need", "below")).alias("m"))
     member = materialize(lists.select("digest", "size", "shared", F.explode("m").alias("m")).select("digest", "size", "shared", "m.cls", "m.n", "m.need", "m.below"), "member")
     for _ in range(2):
@@ -429,10 +446,10 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             asked: dict[int, list] = {}
             for r in right.to_pylist():
                 asked.setdefault(r["pos"], []).append(r)
-            for wanted, tokens in zip(asked.values(), _sets_at(left, list(asked), k), strict=True):
-                out += [(r["a"], r["salt"], r["pivot_row"], r["cls"], tokens.tobytes()) for r in wanted]
+            for wanted, text in zip(asked.values(), _texts_at(left, list(asked)), strict=True):
+                out += [(r["a"], r["salt"], r["pivot_row"], r["cls"], text) for r in wanted]
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["a", "salt", "pivot_row", "cls", "tokens"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["a", "salt", "pivot_row", "cls", "text"])
 
     def verify(pairs: DataFrame, what: str) -> DataFrame:
         """The pairs (a, b) that are similar; many partners of one pivot are dealt to several groups."""
@@ -440,8 +457,8 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
         others = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("cls"))
         pivots = others.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("cls"), F.lit(True).alias("pivot_row"))
         asked = others.withColumn("pivot_row", F.lit(False)).unionByName(pivots).join(places, "cls")
-        sent = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(send, "a long, salt int, pivot_row boolean, cls long, tokens binary")
-        return materialize(sent.groupBy("a", "salt").applyInArrow(_verifier(num, den), "a long, b long"), what)
+        sent = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(send, "a long, salt int, pivot_row boolean, cls long, text binary")
+        return materialize(sent.groupBy("a", "salt").applyInArrow(_verifier(k, num, den), "a long, b long"), what)
 
     # each class against one pivot, then those that are still apart against another
     tried = materialize(_stars(member, close), "stars")
@@ -463,11 +480,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             cls, comp = np.asarray(asked.column("cls").combine_chunks()), np.asarray(asked.column("comp").combine_chunks())
             sets = list(_sets_at(left, asked.column("pos").to_pylist(), k))
             who = np.repeat(2 * np.arange(len(sets), dtype=np.int64), [len(x) for x in sets])
-            rows = list(_deal(np.concatenate(sets), who, buckets, lambda o: cls[o].tobytes() + comp[o].tobytes()))
+            rows = list(_deal(np.concatenate(sets), who, even, lambda o: cls[o].tobytes() + comp[o].tobytes()))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
     def elsewhere(table: pa.Table) -> pa.Table:
-        return _elsewhere(table, buckets)
+        return _elsewhere(table, even)
 
     for _ in range(2):
         dealt = texts.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(deal, "bucket int, payload binary")
@@ -486,13 +503,14 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     ranked = tokens.join(often, "token").withColumn("place", F.row_number().over(W.partitionBy("cls").orderBy("df", "token")))
     shown = materialize(ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1) & (F.col("x") != F.col("y"))).select("token", "cls", "comp", "n"), "shown")
-    hubs = shown.withColumn("a", F.min("cls").over(W.partitionBy("token"))).select("a", F.col("cls").alias("b")).where("a <> b").distinct()
+    hubs = shown.join(shown.groupBy("token").agg(F.min("cls").alias("a")), "token").select("a", F.col("cls").alias("b")).where("a <> b").distinct()
     hubs = materialize(hubs, "hubs")
     if hubs.limit(1).count():
         group = components(hubs, shown.select("cls").distinct()).withColumnRenamed("comp", "grp")
-        own = W.partitionBy("grp")
-        part = rest.join(group, "cls").withColumns({"part": F.floor((F.row_number().over(own.orderBy("cls")) - 1) / F.lit(GROUP)).cast("int"), "size": F.count("*").over(own)}).where("size > 1")
-        part = part.withColumn("with", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / F.lit(GROUP)).cast("int"))))
+        part = rest.join(group, "cls")
+        size = part.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("parts"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp", "parts")
+        part = part.join(size, "grp").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        part = part.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         asked = part.select("block", "pos", "cls", "comp", "grp", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), (F.col("part") <= F.col("with")).alias("first"), (F.col("part") >= F.col("with")).alias("second"))
 
         def lend(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -501,14 +519,13 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
                 wanted: dict[int, list] = {}
                 for r in right.to_pylist():
                     wanted.setdefault(r["pos"], []).append(r)
-                for ask, x in zip(wanted.values(), _sets_at(left, list(wanted), k), strict=True):
-                    raw = x.tobytes()
+                for ask, raw in zip(wanted.values(), _texts_at(left, list(wanted)), strict=True):
                     out += [(r["grp"], r["lo"], r["hi"], r["first"], r["second"], r["cls"], r["comp"], raw) for r in ask]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-            return pa.table([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=["grp", "lo", "hi", "first", "second", "cls", "comp", "tokens"])
+            return pa.table([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=["grp", "lo", "hi", "first", "second", "cls", "comp", "text"])
 
-        lent = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lend, "grp long, lo int, hi int, first boolean, second boolean, cls long, comp long, tokens binary")
-        late = materialize(lent.groupBy("grp", "lo", "hi").applyInArrow(_joiner(num, den), "a long, b long"), "links")
+        lent = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lend, "grp long, lo int, hi int, first boolean, second boolean, cls long, comp long, text binary")
+        late = materialize(lent.groupBy("grp", "lo", "hi").applyInArrow(_joiner(k, num, den), "a long, b long"), "links")
         labels = components(links.unionByName(late), nodes)
 
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -519,8 +536,12 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that with the least id; rows with a null id stay."""
+    """docs with one document of each component, that with the least id; of rows with equal id and text one stays, and of rows with a null id
+    one of each text."""
     found = similar_components(docs, k, num, den, id_col, text_col)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(stay, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    key = f"keep_{uuid.uuid4().hex}"
+    stay = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg((F.count("*") > 1).alias(f"{key}_many"))
+    own = F.col(id_col).cast("long")
+    once = docs.join(stay.where(~F.col(f"{key}_many")).select(key), own == F.col(key), "left_semi")
+    again = docs.join(stay.where(f"{key}_many").select(key), own == F.col(key), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    return once.unionByName(again.dropDuplicates([id_col, text_col]))
