@@ -268,7 +268,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", column: str = "text", le
         return F.when(F.col(column).rlike(pattern), pieces).otherwise(F.array().cast("array<struct<entity_type:string,gap:int,text:string,score:double,i:int>>"))
 
     every = F.concat(*[spans(*e) for e in ENTITIES if e[2] >= least])
-    x = docs.select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), F.explode(every).alias("f")).select("__key", "__row", "f.*")
+    x = docs.withColumn("__row", F.monotonically_increasing_id()).select(F.col(key).alias("__key"), "__row", F.explode(every).alias("f")).select("__key", "__row", "f.*")
     x = x.withColumn("end", F.sum(F.col("gap") + F.length("text")).over(W.partitionBy("__row", "entity_type").orderBy("i")).cast("int"))
     real = F.lit(True)
     for kind, _, _ in ENTITIES:

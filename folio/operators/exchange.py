@@ -190,10 +190,10 @@ def applied_blocks(spark, sf_dir):
     """All code blocks, in order, on the newest version."""
     from folio.operators.outline import mark_code
 
-    c = table(spark, sf_dir, "conversations").where("turn = 0")
+    c = table(spark, sf_dir, "conversations").withColumn("page_key", F.concat_ws("/", "conv_id", "turn"))
     blocks = F.array(*[F.struct(F.lit(lang).alias("language"), F.lit(a).alias("first_line"), F.lit("").alias("last_line")) for lang, a in (("sql", "SELECT 1"), ("sh", "ls -l"))])
     newest = F.coalesce(F.nullif(F.when(F.col("conv_id") % 2 == 0, "v1\nSELECT 1\nls -l").otherwise(""), F.lit("")), F.lit("v0\nls -l"))
-    return mark_code(c.select("conv_id", newest.alias("markdown"), blocks.alias("blocks")), "conv_id")
+    return mark_code(c.select("page_key", newest.alias("markdown"), blocks.alias("blocks")), "page_key")
 
 
 @CATALOG.add("x11", "SELECT n_nationkey, 'k=' || n_name || '{{x}}' AS context FROM nation")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.functions.ranks import numbered
 from folio.plans.catalog import Catalog
 from folio.sources.tables import table
 
@@ -69,8 +70,8 @@ def transitions(spark, sf_dir):
 @CATALOG.add("t05", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS popped, count(*) OVER (PARTITION BY event_type) AS depth FROM events")
 def queue_order(spark, sf_dir):
     """First in, first out, by queue."""
-    w = W.partitionBy("event_type")
-    return table(spark, sf_dir, "events").select("event_type", "event_id", F.row_number().over(w.orderBy("ts", "event_id")).cast("long").alias("popped"), F.count("*").over(w).alias("depth"))
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return numbered(e, "event_type", ["us", "event_id"], "popped", "depth").select("event_type", "event_id", "popped", "depth")
 
 
 @CATALOG.add("t06", f"SELECT l_orderkey, count(*) AS expired FROM lineitem WHERE l_shipdate <= TIMESTAMP '{NOW}' GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.functions.ranks import numbered
 from folio.plans.catalog import Catalog
 from folio.sources.tables import table
 
@@ -144,15 +145,21 @@ def batch_totals(spark, sf_dir):
 def elapsed(spark, sf_dir):
     """The median, and p95 as the element at int(n * 0.95) of the sorted values, found by rank rather than by collecting them."""
     o = table(spark, sf_dir, "orders").select("o_orderpriority", F.bround("o_totalprice", 0).cast("long").alias("v"))
-    w = W.partitionBy("o_orderpriority")
-    ranked = o.withColumns({"r": F.row_number().over(w.orderBy("v")) - 1, "n": F.count("*").over(w)})
-    return ranked.groupBy("o_orderpriority").agg(F.median("v").alias("med"), F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.95), F.col("v"))).alias("p95"))
+    x = numbered(o, "o_orderpriority", ["v"], "r", "n")
+    return x.groupBy("o_orderpriority").agg(middle("v", "r", "n").alias("med"), F.max(F.when(F.col("r") - 1 == F.floor(F.col("n") * 0.95), F.col("v"))).alias("p95"))
+
+
+def middle(value: str, rank: str, total: str) -> Column:
+    """The median of ranked values, as an aggregate."""
+    r, n = F.col(rank), F.col(total)
+    return F.avg(F.when((r == F.floor((n + 1) / 2)) | (r == F.floor((n + 2) / 2)), F.col(value).cast("double")))
 
 
 @CATALOG.add("a25", "SELECT o_orderstatus, median(c) AS med FROM (SELECT o_orderstatus, CAST(o_totalprice AS BIGINT) * 1.0::DOUBLE / (o_orderkey % 5) AS c FROM orders WHERE o_orderkey % 5 > 0) GROUP BY 1")
 def cost_per_page(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 > 0")
-    return o.groupBy("o_orderstatus").agg(F.median(F.bround("o_totalprice", 0).cast("long") / (F.col("o_orderkey") % 5)).alias("med"))
+    """The median over documents that have pages."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 > 0").select("o_orderstatus", (F.bround("o_totalprice", 0).cast("long") / (F.col("o_orderkey") % 5)).alias("v"))
+    return numbered(o, "o_orderstatus", ["v"], "r", "n").groupBy("o_orderstatus").agg(middle("v", "r", "n").alias("med"))
 
 
 @CATALOG.add("o01", "SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS pages FROM conversations GROUP BY 1")
@@ -170,7 +177,9 @@ def lexical_refs(spark, sf_dir):
 
 @CATALOG.add("o03", "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS INTEGER) AS place FROM documents")
 def by_size(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(W.partitionBy("source").orderBy("n_chars", "doc_id")).alias("place"))
+    """Inputs by ascending size, by prefix."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return numbered(d, "source", ["n_chars", "doc_id"]).select("source", "doc_id", F.col("place").cast("int").alias("place"))
 
 
 @CATALOG.add("o04", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 3")

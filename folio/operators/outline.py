@@ -138,10 +138,10 @@ def mark_code(pages: DataFrame, key: str) -> DataFrame:
 
 @CATALOG.add("m06")
 def code_blocks(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("turn = 0")
+    c = table(spark, sf_dir, "conversations").withColumn("page_key", F.concat_ws("/", "conv_id", "turn"))
     block = F.struct(F.lit("python").alias("language"), F.lit("x = 1").alias("first_line"), F.lit("print(x)").alias("last_line"))
-    pages = c.select("conv_id", F.concat(F.col("role"), F.lit("\nx = 1\ny = 2\nprint(x)\nend")).alias("markdown"), F.array(block).alias("blocks"))
-    return mark_code(pages, "conv_id")
+    pages = c.select("page_key", F.concat(F.col("role"), F.lit("\nx = 1\ny = 2\nprint(x)\nend")).alias("markdown"), F.array(block).alias("blocks"))
+    return mark_code(pages, "page_key")
 
 
 def section_map(lines: DataFrame, key: str) -> DataFrame:
