@@ -2,8 +2,13 @@
 
 Components become integers floor(scale * x).  One more coordinate, sqrt(M2 - |x|2) with M2 the largest squared
 norm, gives all candidates the same norm, so the greatest inner product is the least Euclidean distance and
-metric bounds apply.  Candidates are dealt to trees and queries to blocks by hashes of their ids; each
-(tree, block) pair is one task group, and the best k of all trees are merged at the end.
+metric bounds apply.
+
+1. Cells: every vector belongs to the nearest of up to PIVOTS sampled vectors; a cell has its pivot as centre and a
+   covering radius.  A cell's vectors are dealt to trees of up to `tree_rows` by a hash, so a cell of any size is split.
+2. A query first searches the trees of its own cell.  Its k-th best there bounds the distance, and only cells that
+   reach into that distance are searched next, with that bound from the start.
+3. The best k of all are merged.
 
 A tree is paged: an inner entry stores a centre, its covering radius and its distance to the centre above, a leaf
 entry its distance to the leaf's centre.  The search takes pages best first.  An entry is passed over without
@@ -26,7 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize, ragged
+
 PAGE = 64
+#: Cells at most, and vectors that a cell has on average until there are so many.
+PIVOTS, CELL_ROWS = 64, 2048
 
 
 class MTree:
@@ -67,12 +76,12 @@ class MTree:
         self.nodes[me] = ("inner", centres, radii, above, children)
         return me
 
-    def search(self, own_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) by score descending, id ascending; entries with own_id don't count."""
+    def search(self, own_id: int, q: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id) by score descending, id ascending, of scores of `least` at least; entries with own_id don't count."""
         point = np.append(q.astype(np.float64), 0.0)
         q2 = float((q.astype(np.float64) ** 2).sum())
         best: list[tuple[int, int]] = []
-        limit = np.inf
+        limit = np.inf if least is None else float(np.sqrt(max(0.0, q2 + self.m2 - 2.0 * least))) + self.margin
         start = float(np.sqrt(((point - self.root_centre) ** 2).sum()))
         queue = [(0.0, self.root, start)]
         while queue:
@@ -96,7 +105,7 @@ class MTree:
                 if len(ids):
                     best = sorted(best + list(zip(score.tolist(), ids.tolist(), strict=True)), key=lambda x: (-x[0], x[1]))[:k]
                     if len(best) == k:
-                        limit = float(np.sqrt(max(0.0, q2 + self.m2 - 2.0 * best[-1][0]))) + self.margin
+                        limit = min(limit, float(np.sqrt(max(0.0, q2 + self.m2 - 2.0 * best[-1][0]))) + self.margin)
             else:
                 _, centres, radii, above, children = page
                 near = np.flatnonzero(np.abs(d - above) - radii <= limit)
@@ -115,30 +124,103 @@ def as_integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Da
     return x.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
+def _by_length(col: pa.Array):
+    """Yields (rows, matrix of integers) of the vectors of each length of an Arrow list column."""
+    offs = np.asarray(col.offsets).astype(np.int64)
+    flat, n = np.asarray(col.values), np.diff(offs)
+    for size in np.unique(n).tolist():
+        rows = np.flatnonzero(n == size)
+        yield rows, flat[ragged(offs[rows], n[rows])].reshape(len(rows), size).astype(np.int64)
+
+
+class Cells:
+    """Pivots of each vector length with their cell numbers; a length without a pivot is one cell of its own, numbered below 0."""
+
+    def __init__(self, pivots: list[list[int]], m2: float):
+        self.m2, self.of = m2, {}
+        for size in {len(v) for v in pivots}:
+            at = [k for k, v in enumerate(pivots) if len(v) == size]
+            self.of[size] = (np.array(at), self.raised(np.array([pivots[k] for k in at], np.int64)))
+
+    def raised(self, ints: np.ndarray, query: bool = False) -> np.ndarray:
+        x = ints.astype(np.float64)
+        more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.m2 - (x**2).sum(1)))
+        return np.column_stack([x, more])
+
+    def distances(self, ints: np.ndarray, query: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, distances of each vector to their centres)."""
+        at, centres = self.of.get(ints.shape[1], (None, None))
+        if at is None:
+            return np.array([-ints.shape[1]]), np.zeros((len(ints), 1))
+        x = self.raised(ints, query)
+        return at, np.sqrt(np.maximum(0.0, ((x[:, None, :] - centres[None]) ** 2).sum(2))) if len(x) * centres.size < 1 << 22 else np.vstack([np.sqrt(((v - centres) ** 2).sum(1)) for v in x])
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", tree_rows: int = 16384, query_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k greatest integer inner products of each query over all other vectors."""
-    x = as_integers(vectors, id_col, vec_col, scale).withColumn("q", is_query)
-    seen = x.agg(F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("q"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, b: a + b * b)).alias("m2")).first()
-    trees, blocks = max(1, -(-seen["n"] // tree_rows)), max(1, -(-(seen["q"] or 0) // query_rows))
+    spark = vectors.sparkSession
+    x = as_integers(vectors, id_col, vec_col, scale).withColumn("q", F.coalesce(is_query, F.lit(False)))
+    seen = x.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, b: a + b * b)).alias("m2")).first()
     m2 = float(seen["m2"] or 0)
-    tree_of = F.pmod(F.xxhash64(F.lit("tree"), "vec_id"), F.lit(trees)).cast("int")
-    block_of = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    members = x.select("vec_id", "v", tree_of.alias("tree"), each(blocks).alias("block"))
-    asked = x.where("q").dropDuplicates(["vec_id", "v"]).select("vec_id", "v", block_of.alias("block"), each(trees).alias("tree"))
+    some = x.select("vec_id", "v").orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id", "v").limit(min(PIVOTS, -(-seen["n"] // CELL_ROWS))).collect()
+    cells, margin = Cells([r["v"] for r in some], m2), 1e-7 * (np.sqrt(m2) + 1)
+
+    def place(batches):
+        for b in batches:
+            cell, far = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            for rows, ints in _by_length(b.column("v")):
+                at, d = cells.distances(ints)
+                near = d.argmin(1)
+                cell[rows], far[rows] = at[near], d[np.arange(len(rows)), near]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("q"), pa.array(cell, pa.int32()), pa.array(far)], ["vec_id", "v", "q", "cell", "far"])
+
+    placed = materialize(x.mapInArrow(place, "vec_id long, v array<long>, q boolean, cell int, far double"), "vectors")
+    stats = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # PIVOTS and lengths at most
+    asked = placed.where("q").dropDuplicates(["vec_id", "v"]).select("vec_id", "v", "cell")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        by_length: dict[int, list] = {}
         if left.num_rows and right.num_rows:
+            by_length: dict[int, list] = {}
             for i, v in zip(left.column("vec_id").to_pylist(), left.column("v").to_pylist(), strict=True):
                 by_length.setdefault(len(v), []).append((i, v))
             grown = {n: MTree(np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.int64), m2) for n, rows in by_length.items()}
-            for i, v in zip(right.column("vec_id").to_pylist(), right.column("v").to_pylist(), strict=True):
+            for i, v, least in zip(right.column("vec_id").to_pylist(), right.column("v").to_pylist(), right.column("least").to_pylist(), strict=True):
                 if len(v) in grown:
-                    out += [(i, j, s) for s, j in grown[len(v)].search(i, np.array(v, np.int64), k)]
+                    out += [(i, j, s) for s, j in grown[len(v)].search(i, np.array(v, np.int64), k, least)]
         return pa.table({n: pa.array([r[c] for r in out], pa.int64()) for c, n in enumerate(("query_id", "vec_id", "score"))})
 
-    found = members.groupBy("tree", "block").cogroup(asked.groupBy("tree", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
+    def searched(asks: DataFrame) -> DataFrame:
+        """The best of each query (vec_id, v, cell, least) in the trees of a cell; trees meet queries in blocks of query_rows."""
+        counts = {r["cell"]: r["n"] for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        plan = [(c, -(-stats[c][0] // tree_rows), -(-n // query_rows)) for c, n in counts.items() if c in stats]
+        plan = F.broadcast(spark.createDataFrame(plan, "cell int, trees int, blocks int"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = lambda what, n: F.pmod(F.xxhash64(F.lit(what), "vec_id"), F.col(n)).cast("int")
+        members = placed.join(plan, "cell").select("vec_id", "v", "cell", dealt("tree", "trees").alias("tree"), each("blocks").alias("block"))
+        questions = asks.join(plan, "cell").select(*[F.col(c).alias(c) for c in ("vec_id", "v", "least", "cell")], dealt("block", "blocks").alias("block"), each("trees").alias("tree"))
+        return members.groupBy("cell", "tree", "block").cogroup(questions.groupBy("cell", "tree", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
+
+    first = materialize(searched(asked.withColumn("least", F.lit(None).cast("long"))), "near")
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    kth = first.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+
+    def others(batches):
+        """The further cells that hold vectors within the distance of a query's k-th best."""
+        for b in batches:
+            least, own = b.column("least").to_pylist(), np.asarray(b.column("cell"))
+            rows_out, cells_out = [], []
+            for rows, ints in _by_length(b.column("v")):
+                at, d = cells.distances(ints, True)
+                reach = np.array([stats.get(c, (0, -np.inf))[1] for c in at.tolist()])
+                q2 = (ints.astype(np.float64) ** 2).sum(1)
+                bound = np.array([np.inf if least[r] is None else np.sqrt(max(0.0, q2[n] + m2 - 2.0 * least[r])) for n, r in enumerate(rows.tolist())])
+                r, c = np.nonzero((d - reach[None] <= bound[:, None] + margin) & (at[None] != own[rows][:, None]) & (reach[None] > -np.inf))
+                rows_out.append(rows[r])
+                cells_out.append(at[c])
+            take = np.concatenate(rows_out) if rows_out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(take)) for c in ("vec_id", "v", "least")] + [pa.array(np.concatenate(cells_out) if cells_out else take, pa.int32())], ["vec_id", "v", "least", "cell"])
+
+    more = asked.join(kth, "vec_id", "left").mapInArrow(others, "vec_id long, v array<long>, least long, cell int")
+    found = first.unionByName(searched(materialize(more, "further")))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
