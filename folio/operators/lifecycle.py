@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from folio.operators.classify import FOUND_IN_SQL, PERSONAL_SQL, _personal, has_personal_data, personal_data
 from folio.operators.jobs import STATUS_SQL, jobs
-from folio.operators.telemetry import events
+from folio.operators.telemetry import EVENTS_SQL, events, log_sql
 from folio.plans.catalog import Catalog
 from folio.sources.tables import table
-from folio.streaming.limits import admit, sliding_log
+from folio.streaming.limits import sliding_log
 
 CATALOG = Catalog()
 
@@ -247,34 +247,33 @@ def requeued(spark, sf_dir):
 def two_tier(requests: DataFrame, client: str, order: str, at: str, own: int = 35, own_us: int = HOUR, everyone: int = 1000, everyone_us: int = DAY) -> DataFrame:
     """A sliding log per client, then one for all; a client's slot is spent even where the second refuses.
 
-    The second log is one sequence by definition: what passes the first goes through one task in order, which holds no more than the log
-    of a window (`everyone` times) and one Arrow batch.
+    The second log is one sequence, but it is cut wherever traffic is light or pauses; only a stretch under constant load is one run.
     """
     first = sliding_log(requests, client, order, at, own_us, own).where("admitted").select(order)
-    passed = requests.join(first, order).select(order, at).repartition(1).sortWithinPartitions(at, order)
+    passed = requests.join(first, order).select(order, at, F.lit(0).cast("long").alias("__all"))
+    second = sliding_log(passed, "__all", order, at, everyone_us, everyone).select(order, "admitted")
+    return requests.select(order).join(second, order, "left").select(order, F.when(F.col("admitted").isNull(), "client").when(F.col("admitted"), "admitted").otherwise("everyone").alias("verdict"))
 
-    def fold(frames):
-        log: list[int] = []
-        for frame in frames:
-            out = []
-            for now in frame[at]:
-                ok, log, _ = admit(log, int(now), everyone_us, everyone)
-                out.append(ok)
-            yield frame[[order]].assign(admitted=out)
 
-    return requests.select(order).join(passed.mapInPandas(fold, f"{order} long, admitted boolean"), order, "left").select(order, F.when(F.col("admitted").isNull(), "client").when(F.col("admitted"), "admitted").otherwise("everyone").alias("verdict"))
+_OWN_SQL = log_sql(EVENTS_SQL, "user_id", "event_id", "us", DAY, 2)
 
 
-@CATALOG.add("t02")
+@CATALOG.add("t02", f"SELECT e.event_id, CASE WHEN s.ok IS NULL THEN 'client' WHEN s.ok THEN 'admitted' ELSE 'everyone' END AS verdict FROM events e LEFT JOIN ({log_sql(f'SELECT 0 AS everyone, event_id, us FROM ({_OWN_SQL}) WHERE ok', 'everyone', 'event_id', 'us', DAY, 20)}) s ON s.event_id = e.event_id")
 def two_tier_limit(spark, sf_dir):
     """T02 with limits that the events reach: two a day and user, and twenty in all."""
     return two_tier(events(spark, sf_dir), "user_id", "event_id", "us", 2, DAY, 20, DAY)
 
 
-@CATALOG.add("t03")
-def status_limit(spark, sf_dir):
+def status_limit(requests: DataFrame, client: str, order: str, at: str) -> DataFrame:
     """The sliding log with its own limit, 100 an hour and client."""
-    return sliding_log(events(spark, sf_dir), "user_id", "event_id", "us", HOUR, 100).select("event_id", "admitted")
+    return sliding_log(requests, client, order, at, HOUR, 100)
+
+
+@CATALOG.add("t03", f"SELECT event_id, ok AS admitted, 100 - len(log) AS remaining FROM ({log_sql('SELECT event_type, event_id, epoch_us(ts) // 60 AS us FROM events', 'event_type', 'event_id', 'us', HOUR, 100)})")
+def status_limits(spark, sf_dir):
+    """T03 with event types as clients, and a minute of the table as a second, so that the limit is reached."""
+    x = events(spark, sf_dir).withColumn("us", F.expr("us div 60"))
+    return status_limit(x, "event_type", "event_id", "us").select("event_id", "admitted", "remaining")
 
 
 def gate(requests: DataFrame, decisions: DataFrame, key: str, wait: str = "INTERVAL 600 SECONDS") -> tuple[DataFrame, DataFrame]:

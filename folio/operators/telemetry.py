@@ -98,28 +98,47 @@ def label_pattern(spark, sf_dir):
     return table(spark, sf_dir, "events").where(status.rlike("^5..$")).agg(F.count("*").alias("n"))
 
 
-@CATALOG.add("t01", """
-    WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-    r(user_id, event_id, k, ok, log) AS (
-        SELECT user_id, event_id, k, true, [us] FROM e WHERE k = 1
-        UNION ALL
-        SELECT e.user_id, e.event_id, e.k, len(list_filter(r.log, lambda x: x > e.us - 86400000000)) < 2,
-            CASE WHEN len(list_filter(r.log, lambda x: x > e.us - 86400000000)) < 2 THEN list_append(list_filter(r.log, lambda x: x > e.us - 86400000000), e.us) ELSE list_filter(r.log, lambda x: x > e.us - 86400000000) END
-        FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1
-    )
-    SELECT user_id, event_id, ok AS admitted FROM r
-""")
+def log_sql(source: str, key: str, order: str, at: str, window_us: int, limit: int) -> str:
+    """The sliding log in SQL: (key, order, at, ok, log) by one step of recursion per event of a key, from a source of those columns."""
+    live = f"list_filter(r.log, lambda x: x > e.{at} - {window_us})"
+    return f"""
+        WITH RECURSIVE e AS MATERIALIZED (SELECT {key}, {order}, {at}, row_number() OVER (PARTITION BY {key} ORDER BY {at}, {order}) AS k FROM ({source})),
+        r({key}, {order}, {at}, k, ok, log) AS (
+            SELECT {key}, {order}, {at}, k, true, [{at}] FROM e WHERE k = 1
+            UNION ALL
+            SELECT e.{key}, e.{order}, e.{at}, e.k, len({live}) < {limit}, CASE WHEN len({live}) < {limit} THEN list_append({live}, e.{at}) ELSE {live} END
+            FROM r JOIN e ON e.{key} = r.{key} AND e.k = r.k + 1
+        )
+        SELECT {key}, {order}, {at}, ok, log FROM r"""
+
+
+EVENTS_SQL = "SELECT user_id, event_id, epoch_us(ts) AS us FROM events"
+
+
+@CATALOG.add("t01", f"SELECT user_id, event_id, ok AS admitted FROM ({log_sql(EVENTS_SQL, 'user_id', 'event_id', 'us', 86400000000, 2)})")
 def rate_limit(spark, sf_dir):
     """At most two admissions per user in a sliding day; refused requests are not recorded."""
     return limits.sliding_log(events(spark, sf_dir), "user_id", "event_id", "us", window_us=86_400_000_000, limit=2).select("user_id", "event_id", "admitted")
 
 
-@CATALOG.add("t04")
+@CATALOG.add("t04", f"SELECT user_id, event_id, ok AS admitted, 2 - len(log) AS remaining, CASE WHEN ok THEN 0 ELSE log[1] + 86400000000 - us END AS retry_after_us FROM ({log_sql(EVENTS_SQL, 'user_id', 'event_id', 'us', 86400000000, 2)})")
 def remaining_quota(spark, sf_dir):
     return limits.sliding_log(events(spark, sf_dir), "user_id", "event_id", "us", window_us=86_400_000_000, limit=2)
 
 
-@CATALOG.add("t07")
+@CATALOG.add("t07", """
+    WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'error' AS fail, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r(user_id, event_id, k, state, allowed, bad, good, since) AS (
+        SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, 'closed', true, 0, 0, 0::BIGINT FROM e
+        UNION ALL
+        SELECT user_id, event_id, k, CASE WHEN opens THEN 'open' WHEN was = 'half_open' AND NOT fail AND tried + 1 >= 2 THEN 'closed' ELSE was END, was <> 'open',
+            CASE WHEN opens OR (was <> 'open' AND NOT fail) THEN 0 WHEN was <> 'open' THEN bad + 1 ELSE bad END, CASE WHEN was <> 'open' AND NOT fail THEN tried + 1 ELSE tried END, CASE WHEN opens THEN us ELSE since END
+        FROM (SELECT *, was <> 'open' AND fail AND (was = 'half_open' OR bad + 1 >= 2) AS opens FROM (
+            SELECT e.*, r.bad, r.since, CASE WHEN r.state = 'open' AND e.us - r.since >= 3600000000 THEN 'half_open' ELSE r.state END AS was, CASE WHEN r.state = 'open' AND e.us - r.since >= 3600000000 THEN 0 ELSE r.good END AS tried
+            FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+    )
+    SELECT user_id, event_id, state, allowed FROM r WHERE k > 0
+""")
 def circuit_breaker(spark, sf_dir):
     """Closed, open and half-open by failures, waiting time and successes."""
     return limits.breaker(events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error"), "user_id", "event_id", "us", "failed", failures=2, wait_us=3_600_000_000, successes=2)
