@@ -38,7 +38,11 @@ def run_available(stream: DataFrame, checkpoint: str, sink: str, **needs: str) -
 def through_stream(spark: SparkSession, path: str, build) -> DataFrame:
     """The result table of a stream over a folder (or file) of Parquet as it is now; build(stream) gives the processed stream."""
     home = f"{work_dir(spark)}/folio-stream-{uuid.uuid4().hex}"
-    out = build(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():  # streams read folders
+        source, path = source.option("pathGlobFilter", where.getName()), where.getParent().toString()
+    out = build(source.parquet(path))
     run_available(out, f"{home}/checkpoint", f"{home}/rows")
     return spark.read.schema(out.schema).parquet(f"{home}/rows")
 
