@@ -60,20 +60,6 @@ def minimal(spark, sf_dir):
     return c.select("conv_id", F.col("page").cast("long").alias("turn"), "chars", F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("page").cast("int"))).alias("place"))
 
 
-@CATALOG.add("s14", "SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE doc_id % 2 = 0")
-def stored_figures(spark, sf_dir):
-    """Images without data are skipped; the others are decoded."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.base64(F.encode("text", "UTF-8"))).alias("image"))
-    return d.where("image IS NOT NULL").select("doc_id", F.octet_length(F.unbase64("image")).cast("long").alias("n"))
-
-
-@CATALOG.add("s15", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 1 END AS edits FROM events")
-def read_ledger(spark, sf_dir):
-    """Null where the record cannot be read."""
-    raw = F.when(F.col("event_id") % 4 == 0, "{bad").otherwise('{"total_edits":1}')
-    return table(spark, sf_dir, "events").select("event_id", F.from_json(raw, "total_edits int")["total_edits"].alias("edits"))
-
-
 @CATALOG.add("s21", "SELECT item_id, trim(string_split(text || ' # note', '#')[1]) AS entry FROM benchmark")
 def manifest_lines(spark, sf_dir):
     line = F.concat("text", F.lit(" # note"))
@@ -117,11 +103,6 @@ def sse_texts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("id: "), F.col("event_id").cast("string"), F.lit("\nevent: "), "event_type", F.lit("\ndata: "), F.to_json(F.struct(F.col("user_id").alias("user"))), F.lit("\n\n")).alias("sse"))
 
 
-@CATALOG.add("s37", "SELECT o_orderkey, 'temp/' || o_orderkey || '.pdf' AS deleted FROM orders WHERE o_orderstatus = 'F'")
-def deletions(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.format_string("temp/%d.pdf", "o_orderkey").alias("deleted"))
-
-
 @CATALOG.add("s41", "SELECT user_id, event_id, '{\"level\":\"INFO\",\"message\":\"' || event_type || '\"}' AS line FROM events")
 def log_lines(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.to_json(F.struct(F.lit("INFO").alias("level"), F.col("event_type").alias("message"))).alias("line"))

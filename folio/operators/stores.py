@@ -1,4 +1,4 @@
-"""Object stores: what is written is read again, through the readers and writers of folio.sources."""
+"""Object stores: what is written is read again, through the readers and writers of folio.sources."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from folio.functions import text as T
 from folio.operators.classify import LANGUAGES
 from folio.operators.structure import paged_conversations
 from folio.plans.catalog import Catalog
+from folio.functions.ranks import numbered
+from folio.sources import objects as O
 from folio.sources import tables as S
 from folio.sources.tables import table
 
@@ -24,6 +26,12 @@ def _folder(spark, name: str) -> str:
     return f"{S.work_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
 
 
+def result_key(job: Column, suffix: Column | None = None, ending: str = "md") -> Column:
+    """results/<job>/result.md, or result_<suffix>.md."""
+    name = F.lit("result") if suffix is None else F.concat(F.lit("result_"), suffix)
+    return F.concat(F.lit("results/"), job.cast("string"), F.lit("/"), name, F.lit(f".{ending}"))
+
+
 def _texts(spark, sf_dir) -> DataFrame:
     """Nations as jobs with a result text each."""
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("job_id"), F.concat(F.lit("# "), "n_name", F.lit(" "), F.repeat(F.lit("text "), 20)).alias("markdown"))
@@ -48,28 +56,37 @@ def ingested(spark, sf_dir):
 
 @CATALOG.add("s02", f"SELECT job_id, md5(markdown || chr(10)) AS digest, 'stored' AS status FROM ({TEXTS_SQL})")
 def temp_objects(spark, sf_dir):
-    """Temp objects read as binary files, each with a key and a status; a lost task reads its files again."""
+    """Temp objects with a key, their bytes and a status by size; a lost task fetches its objects again."""
     path = _folder(spark, "temp")
-    S.write_text(_texts(spark, sf_dir), path)
-    got = S.ingest(spark, path, "*.txt", LEAST)
-    return got.select(F.regexp_extract("path", "job_id=([0-9]+)", 1).cast("int").alias("job_id"), F.md5("content").alias("digest"), "status")
+    O.put(_texts(spark, sf_dir).select(F.format_string("temp/%d.pdf", "job_id").alias("key"), F.concat("markdown", F.lit("\n")).alias("content")), path)
+    got = O.get(spark, path, _texts(spark, sf_dir).select("job_id", F.format_string("temp/%d.pdf", "job_id").alias("key")))
+    return got.select("job_id", F.md5("content").alias("digest"), admission(F.octet_length("content"), F.col("content_type")).alias("status"))
 
 
 @CATALOG.add("s03", TEXTS_SQL)
 def result_objects(spark, sf_dir):
-    """Final markdown by job, written and read by key."""
+    """Final markdown by job, written and read by key."""
     path = _folder(spark, "results")
-    S.write_text(_texts(spark, sf_dir), path)
-    return spark.read.text(path).select(F.col("job_id").cast("int").alias("job_id"), F.col("value").alias("markdown"))
+    keyed = _texts(spark, sf_dir).withColumn("key", result_key(F.col("job_id")))
+    O.put(keyed.select("key", F.col("markdown").alias("content")), path)
+    return O.get(spark, path, keyed.select("job_id", "key")).select("job_id", F.decode("content", "UTF-8").alias("markdown"))
 
 
 @CATALOG.add("s04", f"SELECT job_id, suffix, md5(markdown || suffix) AS digest FROM ({TEXTS_SQL}), (VALUES ('v1'), ('v2')) AS t(suffix)")
 def suffixed_results(spark, sf_dir):
     """Result texts with a suffix in their key."""
     path = _folder(spark, "suffixed")
-    x = _texts(spark, sf_dir).withColumn("suffix", F.explode(F.array(F.lit("v1"), F.lit("v2"))))
-    x.select("suffix", "job_id", F.concat("markdown", "suffix").alias("value")).write.partitionBy("suffix", "job_id").text(path)
-    return spark.read.text(path).select(F.col("job_id").cast("int").alias("job_id"), "suffix", F.md5("value").alias("digest"))
+    x = _texts(spark, sf_dir).withColumn("suffix", F.explode(F.array(F.lit("v1"), F.lit("v2")))).withColumn("key", result_key(F.col("job_id"), F.col("suffix")))
+    O.put(x.select("key", F.concat("markdown", "suffix").alias("content")), path)
+    return O.read(spark, path).select(F.regexp_extract("key", "results/([0-9]+)/", 1).cast("int").alias("job_id"), F.regexp_extract("key", "_(v[12])[.]md$", 1).alias("suffix"), F.md5("content").alias("digest"))
+
+
+def figure_objects(images: DataFrame, key: str, folder: str) -> DataFrame:
+    """(key, content) of images (key column, ref_id, image_base64: plain, or a data: address); rows without data, or whose
+    data isn't base64, are skipped."""
+    raw = F.try_to_binary(F.regexp_replace("image_base64", "^data:[^,]*,", ""), F.lit("base64"))
+    x = images.select(F.concat(F.lit("results/"), F.col(key).cast("string"), F.lit(f"/{folder}/"), "ref_id", F.lit(".png")).alias("key"), raw.alias("content"))
+    return x.where(F.octet_length("content") > 0)
 
 
 def _images(spark, sf_dir) -> DataFrame:
@@ -79,26 +96,26 @@ def _images(spark, sf_dir) -> DataFrame:
 
 @CATALOG.add("s05", "SELECT n_nationkey AS job_id, octet_length(encode(n_name)) AS n FROM nation WHERE n_nationkey % 3 <> 1")
 def figure_images(spark, sf_dir):
-    """Images are decoded and written; those without data are skipped."""
+    """Images are decoded and put under their job's key; those without data are skipped."""
     path = _folder(spark, "figures")
-    S.write_images(_images(spark, sf_dir), path)
-    return spark.read.parquet(path).select(F.col("job_id").cast("int").alias("job_id"), F.octet_length("image").alias("n"))
+    O.put(figure_objects(_images(spark, sf_dir).withColumn("ref_id", F.lit("figure-1")), "job_id", "figures"), path)
+    return O.listing(spark, path).select(F.regexp_extract("key", "results/([0-9]+)/", 1).cast("int").alias("job_id"), F.col("size").cast("int").alias("n"))
 
 
 @CATALOG.add("s06", "SELECT n_nationkey AS job_id, n_name AS image, 'image/png' AS content_type FROM nation WHERE n_nationkey % 3 <> 1")
 def page_images(spark, sf_dir):
     path = _folder(spark, "pages")
-    S.write_images(_images(spark, sf_dir).withColumn("content_type", F.lit("image/png")), path)
-    return spark.read.parquet(path).select(F.col("job_id").cast("int").alias("job_id"), F.decode("image", "UTF-8").alias("image"), "content_type")
+    O.put(figure_objects(_images(spark, sf_dir).withColumn("ref_id", F.lit("page-1")), "job_id", "pages"), path)
+    return O.read(spark, path).select(F.regexp_extract("key", "results/([0-9]+)/", 1).cast("int").alias("job_id"), F.decode("content", "UTF-8").alias("image"), "content_type")
 
 
 @CATALOG.add("s07", "SELECT 'job_id=' || n_nationkey AS key FROM nation WHERE n_nationkey % 2 = 0")
 def existing_keys(spark, sf_dir):
-    """Of all keys, those that the store lists."""
+    """Of all keys, those that the store holds."""
     path = _folder(spark, "half")
-    S.write_text(_texts(spark, sf_dir).where("job_id % 2 = 0"), path)
-    keys = _texts(spark, sf_dir).select(F.concat(F.lit("job_id="), F.col("job_id").cast("string")).alias("key"))
-    return S.existing_prefixes(keys, spark, path)
+    key = F.format_string("job_id=%d", "job_id").alias("key")
+    O.put(_texts(spark, sf_dir).where("job_id % 2 = 0").select(key, F.col("markdown").alias("content")), path)
+    return O.exists(spark, path, _texts(spark, sf_dir).select(key))
 
 
 def _results(spark, sf_dir) -> DataFrame:
@@ -125,18 +142,18 @@ def saved_results(spark, sf_dir):
 @CATALOG.add("s10", f"SELECT job_id, length(markdown) AS n FROM ({TEXTS_SQL})")
 def final_markdown(spark, sf_dir):
     path = _folder(spark, "final")
-    S.write_text(_texts(spark, sf_dir), path)
-    return spark.read.option("wholetext", "true").text(path).select(F.col("job_id").cast("int").alias("job_id"), F.length(F.regexp_replace("value", "\n$", "")).alias("n"))
+    keyed = _texts(spark, sf_dir).withColumn("key", result_key(F.col("job_id")))
+    O.put(keyed.select("key", F.col("markdown").alias("content")), path)
+    return O.get(spark, path, keyed.select("job_id", "key")).select("job_id", F.length(F.decode("content", "UTF-8")).alias("n"))
 
 
-CONTENT_TYPES = {"md": "text/markdown", "json": "application/json", "png": "image/png", "pdf": "application/pdf"}
-
-
-def content_type(key: Column) -> Column:
-    out = F.lit("application/octet-stream")
-    for k, v in CONTENT_TYPES.items():
-        out = F.when(F.lower(F.substring_index(key, ".", -1)) == k, v).otherwise(out)
-    return out
+@CATALOG.add("s12", "SELECT o_orderkey AS job_id, 'results/' || o_orderkey || '/result.md' AS key, 'text/markdown' AS content_type, md5('# ' || o_orderpriority || ' ' || o_orderstatus) AS digest FROM orders")
+def stored_markdown(spark, sf_dir):
+    """The final markdown of every order under results/<job>/result.md: as many objects, a few files."""
+    path = _folder(spark, "markdown")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), result_key(F.col("o_orderkey")).alias("key"), F.concat(F.lit("# "), "o_orderpriority", F.lit(" "), "o_orderstatus").alias("content"))
+    O.put(o.select("key", "content"), path)
+    return O.get(spark, path, o.select("job_id", "key")).select("job_id", "key", "content_type", F.md5("content").alias("digest"))
 
 
 @CATALOG.add("s11", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'application/json' WHEN 2 THEN 'image/png' ELSE 'application/octet-stream' END AS content_type, octet_length(encode(p_name)) AS n FROM part")
@@ -145,8 +162,8 @@ def puts(spark, sf_dir):
     path = _folder(spark, "puts")
     k = F.col("p_partkey") % 4
     key = F.concat(F.lit("results/"), F.col("p_partkey").cast("string"), F.when(k == 0, ".md").when(k == 1, ".JSON").when(k == 2, ".png").otherwise(".x"))
-    table(spark, sf_dir, "part").select("p_partkey", key.alias("key"), content_type(key).alias("content_type"), F.encode("p_name", "UTF-8").alias("content")).write.partitionBy("content_type").parquet(path)
-    return spark.read.parquet(path).select("p_partkey", "content_type", F.octet_length("content").alias("n"))
+    O.put(table(spark, sf_dir, "part").select(key.alias("key"), F.encode("p_name", "UTF-8").alias("content")), path)
+    return O.listing(spark, path).select(F.regexp_extract("key", "/([0-9]+)[.]", 1).cast("long").alias("p_partkey"), "content_type", F.col("size").cast("int").alias("n"))
 
 
 def ledger(steps: DataFrame, key: str) -> DataFrame:
@@ -157,22 +174,57 @@ def ledger(steps: DataFrame, key: str) -> DataFrame:
 
 @CATALOG.add("s13", "SELECT l_orderkey, count(*) AS steps, sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS total_edits, arg_min(l_shipmode, (l_linenumber, l_shipmode)) AS first_step FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1")
 def stored_ledgers(spark, sf_dir):
-    """Ledgers written as JSON texts and read again."""
+    """Ledgers put as JSON under their document's key and read again."""
     path = _folder(spark, "ledgers")
     change = F.struct(F.col("l_linenumber").alias("page"), F.lit("a").alias("old_text"), F.lit("b").alias("new_text"), F.lit("c").alias("reasoning"), F.lit("page").alias("stage"))
     steps = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("ord"), F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_quantity").cast("int").alias("elapsed_ms"), F.lit(1).alias("input_tokens"), F.lit(2).alias("output_tokens"), F.col("l_tax").alias("cost_cents"), F.when(F.col("l_linenumber") % 2 == 0, F.array(change)).otherwise(F.array().cast("array<struct<page:int,old_text:string,new_text:string,reasoning:string,stage:string>>")).alias("changes"))
-    ledger(steps, "l_orderkey").select(F.col("ledger").alias("value")).write.text(path)
-    got = S.json_results(spark, path, "document_id long, steps array<struct<name: string, changes: array<struct<page: int>>>>, total_edits long")
+    O.put(ledger(steps, "l_orderkey").select(F.format_string("results/%d/ledger.json", "l_orderkey").alias("key"), F.col("ledger").alias("content")), path)
+    got = O.read(spark, path).select(F.from_json(F.decode("content", "UTF-8"), "document_id long, steps array<struct<name: string, changes: array<struct<page: int>>>>, total_edits long").alias("r")).select("r.*")
     return got.select(F.col("document_id").alias("l_orderkey"), F.size("steps").cast("long").alias("steps"), "total_edits", F.get("steps", F.lit(0))["name"].alias("first_step"))
 
 
+@CATALOG.add("s14", "SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE doc_id % 2 = 0")
+def stored_figures(spark, sf_dir):
+    """Figures of an extractor's record, read from its pictures' data addresses and stored; pictures without image data are skipped."""
+    path = _folder(spark, "record_figures")
+    image = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("text", "UTF-8"))))
+    record = F.to_json(F.struct(F.array(F.struct(F.lit("#/pictures/0").alias("self_ref"), F.struct(image.alias("uri")).alias("image"))).alias("pictures")))
+    found = table(spark, sf_dir, "documents").select("doc_id", record.alias("record")).select("doc_id", F.from_json("record", "pictures array<struct<self_ref:string,image:struct<uri:string>>>").alias("r"))
+    pictures = found.select("doc_id", F.posexplode("r.pictures").alias("n", "p")).select("doc_id", F.format_string("figure-%d", F.col("n") + 1).alias("ref_id"), F.col("p.image.uri").alias("image_base64"))
+    O.put(figure_objects(pictures, "doc_id", "figures"), path)
+    return O.listing(spark, path).select(F.regexp_extract("key", "results/([0-9]+)/", 1).cast("long").alias("doc_id"), F.col("size").alias("n"))
+
+
+@CATALOG.add("s15", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 1 END AS edits FROM events")
+def read_ledgers(spark, sf_dir):
+    """A stored ledger's edits; null where there is none (every eighth) or what is there can't be read (cut off in the middle)."""
+    path = _folder(spark, "broken_ledgers")
+    e = table(spark, sf_dir, "events").select("event_id", F.format_string("results/%d/ledger.json", "event_id").alias("key"), F.lit('{"steps":[],"total_edits":1}').alias("whole"))
+    stored = e.where("event_id % 8 <> 0").select("key", F.when(F.col("event_id") % 8 == 4, F.substring("whole", 1, 17)).otherwise(F.col("whole")).alias("content"))
+    O.put(stored, path)
+    got = O.get(spark, path, e.select("event_id", "key"))
+    return got.select("event_id", F.from_json(F.decode("content", "UTF-8"), "total_edits int")["total_edits"].alias("edits"))
+
+
+@CATALOG.add("s37", "SELECT o_orderkey, 'temp/' || o_orderkey || '.pdf' AS deleted FROM orders WHERE o_orderstatus = 'F'")
+def deletions(spark, sf_dir):
+    """Temp objects of finished orders are deleted, half of which the store never had; a key counts as deleted once it isn't there."""
+    path = _folder(spark, "deleted")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.format_string("temp/%d.pdf", "o_orderkey").alias("key"))
+    O.put(o.where("o_orderkey % 2 = 0").select("key", F.lit("%PDF").alias("content")), path)
+    asked = o.where("o_orderstatus = 'F'")
+    O.delete(asked.select("key"), path)
+    return asked.join(O.listing(spark, path).select("key"), "key", "left_anti").select("o_orderkey", F.col("key").alias("deleted"))
+
+
 @CATALOG.add("s22", f"SELECT row_number() OVER (ORDER BY CAST(job_id AS VARCHAR)) AS place, job_id FROM ({TEXTS_SQL})")
 def globbed(spark, sf_dir):
-    """Files of a folder by pattern, in order of their paths."""
+    """Keys by pattern, in order, with their places; numbered in ranges, not in one task."""
     path = _folder(spark, "glob")
-    S.write_text(_texts(spark, sf_dir), path)
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "job_id=([0-9]+)", 1).alias("s"))
-    return names.select(F.row_number().over(W.orderBy("s")).alias("place"), F.col("s").cast("int").alias("job_id"))
+    O.put(_texts(spark, sf_dir).select(F.format_string("in/%d.pdf", "job_id").alias("key"), F.col("markdown").alias("content")), path)
+    names = O.listing(spark, path).where(F.col("key").rlike("^in/.*[.]pdf$")).select(F.regexp_extract("key", "in/(.*)[.]pdf", 1).alias("s"), F.lit(0).alias("all"))
+    leading = F.conv(F.hex(F.encode(F.rpad("s", 6, "\x00"), "UTF-8")), 16, 10).cast("double")
+    return numbered(names.withColumn("leading", leading), "all", ["leading", "s"]).select(F.col("place").cast("long").alias("place"), F.col("s").cast("int").alias("job_id"))
 
 
 @CATALOG.add("s23", "SELECT count(*) AS documents, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS completed, round(sum(o_totalprice), 2) AS cost FROM orders")
@@ -218,12 +270,10 @@ def bundled(spark, sf_dir):
 def old_objects(spark, sf_dir):
     """Objects older than 24 hours, seen two days from now; none is seen an hour from now."""
     path = _folder(spark, "aged")
-    S.write_text(_texts(spark, sf_dir), path)
-    late = S.listing_older_than(spark, path, F.expr("current_timestamp() + INTERVAL 48 HOURS"), 24)
-    soon = S.listing_older_than(spark, path, F.expr("current_timestamp() + INTERVAL 1 HOUR"), 24)
-    names = lambda x: x.where(F.col("path").endswith(".txt"))
-    both = names(late).withColumn("old", F.lit(True)).unionByName(names(soon).withColumn("old", F.lit(False)))
-    return both.select(F.regexp_extract("path", "job_id=([0-9]+)", 1).cast("int").alias("job_id"), "old", "size")
+    O.put(_texts(spark, sf_dir).select(F.format_string("temp/%d.pdf", "job_id").alias("key"), F.concat("markdown", F.lit("\n")).alias("content")), path)
+    older = lambda ahead: O.listing(spark, path).where(F.expr(f"current_timestamp() + INTERVAL {ahead} HOURS") - F.col("written_at") > F.expr("INTERVAL 24 HOURS"))
+    both = older(48).withColumn("old", F.lit(True)).unionByName(older(1).withColumn("old", F.lit(False)))
+    return both.select(F.regexp_extract("key", "temp/([0-9]+)", 1).cast("int").alias("job_id"), "old", "size")
 
 
 def feedback_records(edits: DataFrame, issues: DataFrame) -> DataFrame:
@@ -281,9 +331,10 @@ def delivered(spark, sf_dir):
 def archived(spark, sf_dir):
     """Originals go to the archive; the reference is null where there is no content or the archive did not take it."""
     path = _folder(spark, "archive")
-    p = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 6 != 0, F.encode("html", "UTF-8")).alias("content"))
-    p.where("octet_length(content) > 0").withColumn("ref", F.format_string("archive/%d.pdf", "page_id")).write.parquet(path)
-    return p.select("page_id").join(spark.read.parquet(path).select("page_id", "ref"), "page_id", "left")
+    key = F.format_string("archive/%d.pdf", "page_id").alias("key")
+    p = table(spark, sf_dir, "pages").select("page_id", key, F.when(F.col("page_id") % 6 != 0, F.encode("html", "UTF-8")).alias("content"))
+    O.put(p.where("octet_length(content) > 0").select("key", "content"), path)
+    return p.select("page_id", "key").join(O.listing(spark, path).select("key", F.col("key").alias("ref")), "key", "left").select("page_id", "ref")
 
 
 def submit(uploads: DataFrame, known: list[str], most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:

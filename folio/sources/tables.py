@@ -60,27 +60,11 @@ def json_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, key: str = "job_id", fmt: str = "json") -> None:
-    """Results partitioned by key."""
+    """Results by a column of few values (a status); objects of their own keys go to folio.sources.objects."""
     df.write.mode("overwrite").partitionBy(key).format(fmt).save(path)
 
 
-def write_text(df: DataFrame, path: str, key: str = "job_id", column: str = "markdown") -> None:
-    """One text per key."""
-    df.select(key, F.col(column).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
-
-
-def write_images(df: DataFrame, path: str, key: str = "job_id") -> None:
-    """Decoded images; rows without image data are skipped."""
-    df.where(F.col("image_base64").isNotNull() & (F.col("image_base64") != "")).withColumn("image", F.unbase64("image_base64")).drop("image_base64").write.mode("overwrite").partitionBy(key).parquet(path)
-
-
 def existing(keys: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """The keys that the folder holds."""
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.substring_index("path", "/", -1).alias("name"))
     return keys.join(there, F.substring_index("key", "/", -1) == F.col("name"), "left_semi")
-
-
-def existing_prefixes(keys: DataFrame, spark: SparkSession, path: str, key: str = "key") -> DataFrame:
-    """The keys that some file of the folder lies under."""
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.explode(F.split("path", "/")).alias(key)).distinct()
-    return keys.join(there, key, "left_semi")

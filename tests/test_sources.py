@@ -26,11 +26,10 @@ def test_results_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("j1", "text one"), ("j2", "text two")], "job_id string, markdown string")
     tables.write_results(df, str(tmp_path / "r"))
     assert sorted(map(tuple, tables.json_results(spark, str(tmp_path / "r"), "markdown string, job_id string").select("job_id", "markdown").collect())) == [("j1", "text one"), ("j2", "text two")]
-    tables.write_text(df, str(tmp_path / "t"))
-    assert spark.read.text(str(tmp_path / "t")).count() == 2
 
 
-def test_images_without_data_are_skipped(spark, tmp_path):
-    df = spark.createDataFrame([("j1", "QUJD"), ("j1", ""), ("j1", None)], "job_id string, image_base64 string")
-    tables.write_images(df, str(tmp_path / "i"))
-    assert [bytes(r["image"]) for r in spark.read.parquet(str(tmp_path / "i")).collect()] == [b"ABC"]
+def test_images_without_data_are_skipped(spark):
+    from folio.operators.stores import figure_objects
+
+    df = spark.createDataFrame([("j1", "a", "QUJD"), ("j1", "b", ""), ("j1", "c", None), ("j2", "a", "data:image/png;base64,QUJD"), ("j2", "b", "data:image/png;base64,"), ("j2", "c", "no base64!")], "job_id string, ref_id string, image_base64 string")
+    assert sorted((r["key"], bytes(r["content"])) for r in figure_objects(df, "job_id", "figures").collect()) == [("results/j1/figures/a.png", b"ABC"), ("results/j2/figures/a.png", b"ABC")]
