@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.plans.catalog import Catalog
-from folio.sources.tables import table
+from folio.sources import event_logs
+from folio.sources.tables import table, work_dir
 from folio.streaming import sessions
 
 CATALOG = Catalog()
@@ -113,3 +117,20 @@ def replay(spark, sf_dir):
 @CATALOG.add("t17_stream", LOG_SQL)
 def replay_through_stream(spark, sf_dir):
     return sessions.through_stream(spark, _events_path(sf_dir), lambda s: sessions.session_log_stream(_log(s), "at", DAY))
+
+
+# --- event logs as a source --------------------------------------------------------------------------------------------------------
+
+
+@CATALOG.add("s31_stream", "SELECT CAST(user_id AS VARCHAR) AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS id, event_type AS event, props AS data, false AS malformed FROM events")
+def logs_through_stream(spark, sf_dir):
+    """Every user's events appended to its log and read back as a stream, stopped and resumed in between; the second
+    writer begins again at the start, as one does after a lost task."""
+    e = table(spark, sf_dir, "events")
+    number = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    events = e.select(F.col("user_id").cast("string").alias("session"), number.cast("long").alias("id"), F.col("event_type").alias("event"), F.col("props").alias("data"))
+    home = f"{work_dir(spark)}/folio-logs-{uuid.uuid4().hex}"
+    for written in (events.where("id < 20"), events):
+        event_logs.append(written, f"{home}/logs").write.format("noop").mode("overwrite").save()
+        sessions.run_available(event_logs.once(event_logs.read_stream(spark, f"{home}/logs")), f"{home}/checkpoint", f"{home}/rows")
+    return spark.read.parquet(f"{home}/rows")
