@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from folio.functions import text as T
+from folio.functions.matching import best_matches, similar_pairs
 from folio.operators.cleanup import near_keys, prose_words
 from folio.plans.catalog import Catalog
 from folio.sources.tables import table
@@ -22,34 +25,34 @@ def best_in_page(headings: DataFrame, outline: DataFrame, keys: list[str], least
 
     headings: keys, h (order), text; outline: keys, o (order), title, level.
     """
-    pairs = headings.join(outline, keys).where(T.similarity_bound(F.col("text"), F.col("title")) >= least)
-    scored = pairs.withColumn("ratio", T.similarity(F.col("text"), F.col("title"))).where(F.col("ratio") >= least)
-    return scored.withColumn("r", F.row_number().over(W.partitionBy(*keys, "h").orderBy(F.col("ratio").desc(), "o"))).where("r = 1").drop("r")
+    found = best_matches(headings, outline, keys, least)
+    return found.join(headings, [*keys, "h"]).join(outline, [*keys, "o"])
 
 
 def greedy_in_document(headings: DataFrame, outline: DataFrame, key: str, least: float = IN_DOCUMENT) -> DataFrame:
-    """Headings in order each take the most similar outline entry that is left; sequential within a document, parallel across."""
+    """Headings in order each take the most similar outline entry that is left.
 
-    def match(left, right):  # noqa: ANN001
-        import difflib
-
-        import pandas as pd
-
-        free = list(right.sort_values("o").itertuples())
-        out = []
-        for h in left.sort_values("h").itertuples():
-            best, at = least, -1
-            for i, o in enumerate(free):
-                if 2.0 * min(len(h.text), len(o.title)) >= best * max(1, len(h.text) + len(o.title)):
-                    ratio = difflib.SequenceMatcher(None, h.text, o.title).ratio()
-                    if ratio > best or (ratio >= least and at < 0):
-                        best, at = ratio, i
-            if at >= 0:
-                o = free.pop(at)
-                out.append((getattr(h, key), h.h, o.o, best))
-        return pd.DataFrame(out, columns=[key, "h", "o", "ratio"])
-
-    return headings.select(key, "h", "text").groupBy(key).cogroup(outline.select(key, "o", "title").groupBy(key)).applyInPandas(match, f"{key} long, h long, o long, ratio double")
+    Pairs that are similar enough are found first, over all documents; what is sequential is one pass over them in order, which keeps
+    the entries taken so far.
+    """
+    pairs = similar_pairs(headings, outline, [key], least).withColumn("ratio", F.col("ratio"))
+    schema = StructType([pairs.schema[key], StructField("h", LongType()), StructField("o", LongType()), StructField("ratio", DoubleType())])
+
+    def take(batches):
+        at, done, taken = None, None, set()
+        for b in batches:
+            rows = []
+            for k, h, o, ratio in zip(b.column(key).to_pylist(), b.column("h").to_pylist(), b.column("o").to_pylist(), b.column("ratio").to_pylist(), strict=True):
+                if k != at:
+                    at, done, taken = k, None, set()
+                if h != done and o not in taken:
+                    done = h
+                    taken.add(o)
+                    rows.append((k, h, o, ratio))
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(key).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], schema.names)
+
+    return pairs.repartition(key).sortWithinPartitions(key, "h", F.desc("ratio"), "o").mapInArrow(take, schema)
 
 
 def _turns(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -162,22 +165,6 @@ def sections(spark, sf_dir):
     return s.select("conv_id", "section", "level", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
-def flag_spelling(docs: DataFrame, known: int = 20, most: int = 50) -> DataFrame:
-    """Words of at least three letters that fewer than `known` different texts have and that are one edit from one that as many have; of each
-    document (doc_id, text) the first `most`.  Capitalised words count at the beginning of a line only."""
-    found = F.regexp_extract_all("text", F.lit("(?m)^[A-Z][a-z]{2,}\\b|\\b[a-z]{3,}\\b"), F.lit(0))
-    texts = docs.groupBy("text").agg(F.collect_list("doc_id").alias("ids")).select("ids", F.sha2("text", 256).alias("t"), F.posexplode(F.transform(found, lambda x: F.lower(x))).alias("at", "w"))
-    words = texts.groupBy("t", "ids", "w").agg(F.min("at").alias("at"))
-    n = words.groupBy("w").agg(F.count("*").alias("n"))
-    cut = lambda c: F.explode(F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c)))), F.array(c))))
-    rare, common = n.where(F.col("n") < known).select("w", cut("w").alias("k")), n.where(F.col("n") >= known).select(F.col("w").alias("suggestion"), F.col("n").alias("common"), cut("w").alias("k"))
-    hits = rare.join(common, "k").where(F.levenshtein("w", "suggestion", 1) == 1).select("w", "suggestion", "common").distinct()
-    top = hits.withColumn("r", F.row_number().over(W.partitionBy("w").orderBy(F.col("common").desc(), "suggestion"))).where("r <= 3")
-    flags = top.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("r", "suggestion"))).alias("s"))
-    first = words.join(flags, "w").withColumn("place", F.row_number().over(W.partitionBy("t").orderBy("at"))).where(F.col("place") <= most)
-    return first.select(F.explode("ids").alias("doc_id"), "place", "w", F.transform("s", lambda x: x["suggestion"]).alias("suggestions"))
-
-
 def flag_spelling(docs: DataFrame, known: int = 20, most: int = 50, terms: DataFrame | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(key, place, w, word, line, context, suggestions): of each text's prose words of three letters or more the first `most` that are unknown
     and have suggestions (w in lower case); capitalised ones only at the beginning of a line; every word once.

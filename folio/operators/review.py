@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.functions.matching import best_matches
 from folio.operators.cleanup import apply_edits, prose_words
 from folio.operators.outline import IN_PAGE, LINE, best_in_page, flag_spelling
 from folio.plans.catalog import Catalog
@@ -376,16 +377,19 @@ def footnote_places(docs: DataFrame, footnotes: DataFrame, key: str = "doc_id",
 
     footnotes: key, number, body_text.  Those that are found nowhere have no row.
     """
-    lines = docs.select(key, F.split(column, "\n", -1).alias("ls")).select(key, "ls", F.posexplode("ls").alias("n", "line"))
-    notes_ = footnotes.select(key, "number", search_text(F.col("body_text")).alias("body"))
-    x = lines.withColumns({"s": T.strip(F.col("line"))}).join(notes_, key)
-    after = F.when(F.col("s").startswith(F.concat("number", F.lit(" "))), F.length("number") + 1).when(F.col("s").startswith(F.concat("number", F.lit(". "))), F.length("number") + 2).when(F.col("s").startswith(F.concat("number", F.lit("."))), F.length("number") + 1)
-    numbered = x.withColumn("after", after).where("after IS NOT NULL").withColumns({"a": F.substring("body", 1, 60), "b": F.substring(search_text(T.strip(F.expr("substring(s, after + 1)"))), 1, 60)})
+    lines = docs.select(key, F.posexplode(F.split(column, "\n", -1)).alias("n", "line")).withColumn("s", T.strip(F.col("line")))
+    notes_ = footnotes.select(key, "number", search_text(F.col("body_text")).alias("body")).dropDuplicates([key, "number"])
+    # a line that begins with a number of a document has one of these numbers' lengths before a blank or a dot
+    sizes = notes_.groupBy(key).agg(F.collect_set(F.length("number")).alias("sizes"))
+    begins = lines.join(sizes, key).select(key, "n", "s", F.explode("sizes").alias("size")).withColumn("next", F.expr("substring(s, size + 1, 1)")).where("next IN (' ', '.')").select(key, "n", "s", "next", F.expr("substring(s, 1, size)").alias("number"))
+    x = begins.join(notes_, [key, "number"])
+    after = F.length("number") + F.when((F.col("next") == ".") & F.expr("substring(s, length(number) + 2, 1) = ' '"), 2).otherwise(1)
+    numbered = x.withColumn("after", after).withColumns({"a": F.substring("body", 1, 60), "b": F.substring(search_text(T.strip(F.expr("substring(s, after + 1)"))), 1, 60)})
     numbered = numbered.where((F.col("a") != "") & (F.col("b") != "") & (T.similarity_bound(F.col("a"), F.col("b")) >= BODY)).withColumn("ratio", T.similarity(F.col("a"), F.col("b"))).where(F.col("ratio") >= BODY)
-    first = numbered.groupBy(key, "number").agg(F.min("n").alias("n")).withColumn("strategy", F.lit("number"))
-    rest = x.join(first, [key, "number"], "left_anti").withColumn("t", search_text(F.col("line"))).where(F.length("t") >= 10).withColumns({"a": F.substring("body", 1, 80), "b": F.substring("t", 1, 80)})
-    rest = rest.where(T.similarity_bound(F.col("a"), F.col("b")) >= BODY_LINE).withColumn("ratio", T.similarity(F.col("a"), F.col("b"))).where(F.col("ratio") >= BODY_LINE)
-    best = rest.groupBy(key, "number").agg(F.max(F.struct("ratio", (-F.col("n")).alias("m"))).alias("b")).select(key, "number", (-F.col("b.m")).alias("n"), F.lit("text").alias("strategy"))
+    first = numbered.groupBy(key, "number").agg(F.min("n").cast("long").alias("n")).withColumn("strategy", F.lit("number"))
+    rest = notes_.join(first, [key, "number"], "left_anti").select(key, "number", F.xxhash64("number").alias("h"), F.substring("body", 1, 80).alias("text"))
+    wide = lines.join(rest.select(key).distinct(), key, "left_semi").withColumn("t", search_text(F.col("line"))).where(F.length("t") >= 10).select(key, F.col("n").cast("long").alias("o"), F.substring("t", 1, 80).alias("title"))
+    best = best_matches(rest, wide, [key], BODY_LINE).join(rest, [key, "h"]).select(key, "number", F.col("o").alias("n"), F.lit("text").alias("strategy"))
     at = first.unionByName(best)
     lo, hi = F.greatest(F.col("n") - around, F.lit(0)), F.least(F.col("n") + around + 1, F.size("ls"))
     context = F.array_join(F.transform(F.slice("ls", lo + 1, hi - lo), lambda v, i: F.concat(F.lit("  L"), (lo + i + 1).cast("string"), F.lit(": "), v)), "\n")
