@@ -19,7 +19,17 @@ PRESENTERS = ["microsoft powerpoint", "impress", "keynote", "google slides"]
 SPREADSHEETS = ["microsoft excel", "calc", "google sheets"]
 #: Area of a sheet A0 in points, and what may be over it; how much longer than wide a page must be to be no square.
 A0, OVER, SQUARE = 2384 * 3370, 1.1, 1.05
-LANGUAGES = {"eng": "en", "deu": "de", "fra": "fr", "spa": "es", "ita": "it", "por": "pt"}
+#: Recognition languages and the codes that the extractor takes for them.
+LANGUAGES = {
+    "eng": "en", "spa": "es", "fra": "fr", "deu": "de", "chi_sim": "ch_sim", "chi_tra": "ch_tra", "jpn": "ja", "kor": "ko", "ara": "ar", "hin": "hi", "por": "pt",
+    "ita": "it", "rus": "ru", "nld": "nl", "pol": "pl", "tur": "tr", "vie": "vi", "tha": "th", "ukr": "uk", "ces": "cs", "swe": "sv", "nor": "no", "dan": "da",
+    "fin": "fi", "hun": "hu", "ron": "ro", "bul": "bg", "hrv": "hr", "slk": "sk", "slv": "sl", "ell": "el", "heb": "he", "ind": "id", "msa": "ms", "ben": "bn",
+    "tam": "ta", "tel": "te", "kan": "kn", "mal": "ml", "mar": "mr", "nep": "ne", "urd": "ur",
+}
+#: Errors of a store by their code, and answers by their status, that are worth another try; codes that never are.
+AGAIN_CODES = ["RequestTimeout", "ServiceUnavailable", "ThrottlingException", "RequestThrottled", "InternalError", "SlowDown", "TooManyRequestsException", "ProvisionedThroughputExceededException"]
+NEVER_CODES = ["NoSuchKey", "NoSuchBucket", "AccessDenied", "InvalidRequest", "InvalidArgument", "MalformedXML", "InvalidBucketName"]
+AGAIN_STATUS = [408, 429, 500, 502, 503, 504]
 ENTITIES = [
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0),
     ("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85),
@@ -396,16 +406,39 @@ def prompts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\n\n", parts).alias("prompt"))
 
 
-@CATALOG.add("p31", "SELECT lang, CASE WHEN lang IN ('en', 'de') THEN '' ELSE lang END AS invalid, count(*) AS n FROM documents GROUP BY lang")
-def invalid_languages(spark, sf_dir):
-    known = F.array(F.lit("en"), F.lit("de"))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.array_join(F.array_except(F.array("lang"), known), ",").alias("invalid"), "n")
+def asked_languages(x: Column) -> Column:
+    """The codes of a comma-separated list, stripped."""
+    return F.transform(F.split(x, ",", -1), T.strip)
 
 
-@CATALOG.add("p32", "SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE lang END AS code FROM documents")
+def invalid_languages(asked: Column) -> Column:
+    """The codes that aren't known, in order, as often as they are asked for."""
+    return F.filter(asked, lambda c: ~c.isin(*LANGUAGES))
+
+
+def extractor_languages(asked: Column) -> Column:
+    """The extractor's codes; unknown ones pass through."""
+    known = F.create_map(*[F.lit(v) for kv in LANGUAGES.items() for v in kv])
+    return F.transform(asked, lambda c: F.coalesce(F.try_element_at(known, c), c))
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """Documents that ask for one of all known languages, their own language's short code, and an unknown one twice."""
+    some = F.get(F.array(*[F.lit(k) for k in LANGUAGES]), (F.col("doc_id") % len(LANGUAGES)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", asked_languages(F.concat(some, F.lit(", "), "lang", F.when(F.col("doc_id") % 3 == 0, ",xx, xx ").otherwise(""))).alias("asked"))
+
+
+_ASKED_SQL = f"SELECT doc_id, list_transform(string_split([{', '.join(repr(k) for k in LANGUAGES)}][CAST(doc_id % {len(LANGUAGES)} AS INTEGER) + 1] || ', ' || lang || CASE WHEN doc_id % 3 = 0 THEN ',xx, xx ' ELSE '' END, ','), lambda x: trim(x)) AS asked FROM documents"
+
+
+@CATALOG.add("p31", f"SELECT doc_id, array_to_string(list_filter(asked, lambda x: NOT list_contains([{', '.join(repr(k) for k in LANGUAGES)}], x)), ',') AS invalid FROM ({_ASKED_SQL})")
+def refused_languages(spark, sf_dir):
+    return _asked(spark, sf_dir).select("doc_id", F.array_join(invalid_languages(F.col("asked")), ",").alias("invalid"))
+
+
+@CATALOG.add("p32", f"SELECT doc_id, array_to_string(list_transform(asked, lambda x: coalesce(list_extract([{', '.join(repr(v) for v in LANGUAGES.values())}], list_position([{', '.join(repr(k) for k in LANGUAGES)}], x)), x)), ',') AS codes FROM ({_ASKED_SQL})")
 def language_codes(spark, sf_dir):
-    names = F.create_map(F.lit("en"), F.lit("english"), F.lit("de"), F.lit("german"))
-    return table(spark, sf_dir, "documents").select("lang", F.get(F.transform(F.array("lang"), lambda c: F.coalesce(F.try_element_at(names, c), c)), F.lit(0)).alias("code")).distinct()
+    return _asked(spark, sf_dir).select("doc_id", F.array_join(extractor_languages(F.col("asked")), ",").alias("codes"))
 
 
 @CATALOG.add("p33", "SELECT user_id, CASE WHEN bool_and(ok) THEN 'healthy' WHEN bool_or(ok) THEN 'degraded' ELSE 'unhealthy' END AS health FROM (SELECT user_id, event_type <> 'error' AS ok FROM events) GROUP BY user_id")
@@ -423,10 +456,22 @@ def client_addresses(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.btrim(F.get(F.split(xff, ","), F.lit(0))), real, F.lit("peer")).alias("ip"))
 
 
-@CATALOG.add("p35", "SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2) THEN true ELSE false END AS retryable FROM events")
+def worth_retrying(kind: Column, code: Column, status: Column) -> Column:
+    """Whether a failure is worth another try, by its kind: an error of the store (client) by its code, then its status, an answer (http)
+    by its status, network, timeout, connection and queue failures always, anything else never."""
+    by_status = F.coalesce(status.isin(*AGAIN_STATUS), F.lit(False))
+    by_code = F.when(code.isin(*NEVER_CODES), False).when(code.isin(*AGAIN_CODES), True).otherwise(by_status)
+    return F.when(kind == "client", by_code).when(kind == "http", by_status).otherwise(F.coalesce(kind.isin("network", "timeout", "connection", "queue"), F.lit(False)))
+
+
+_KINDS, _CODES, _STATUS = ["client", "http", "network", "timeout", "connection", "queue", "other"], ["NoSuchKey", "SlowDown", "Other", "RequestTimeout", "AccessDenied", "InternalError", "ThrottlingException", "InvalidRequest"], [500, 503, 429, 400, 404, 504, 408, 502, 200]
+
+
+@CATALOG.add("p35", f"""SELECT event_id, CASE kind WHEN 'client' THEN CASE WHEN code IN ('NoSuchKey', 'AccessDenied', 'InvalidRequest') THEN false WHEN code <> 'Other' THEN true ELSE status IN (408, 429, 500, 502, 503, 504) END WHEN 'http' THEN status IN (408, 429, 500, 502, 503, 504) WHEN 'other' THEN false ELSE true END AS retryable
+    FROM (SELECT event_id, {_KINDS}[CAST(event_id % 7 AS INTEGER) + 1] AS kind, {_CODES}[CAST(event_id % 8 AS INTEGER) + 1] AS code, {_STATUS}[CAST(event_id % 9 AS INTEGER) + 1] AS status FROM events)""")
 def retryable(spark, sf_dir):
-    status = F.get(F.array(*[F.lit(x) for x in (500, 503, 429, 400, 404, 504)]), (F.col("event_id") % 6).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", status.isin(429, 500, 502, 503).alias("retryable"))
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", worth_retrying(pick(_KINDS), pick(_CODES), pick(_STATUS)).alias("retryable"))
 
 
 @CATALOG.add("p36", "SELECT l_orderkey, l_linenumber, l_quantity / 50.0 AS width, (l_quantity / 2.0) / 50.0 AS centre FROM lineitem WHERE l_quantity / 50.0 >= 0.1")

@@ -24,7 +24,6 @@ TRANSITIONS = {
 }
 #: Written by the approval path, though the table of transitions lacks them.
 LIVE_TRANSITIONS = {"awaiting_approval": ["processing_queued"], "processing_queued": ["processing"]}
-KEEP_DAYS = {"completed": 7, "failed": 30, "denied": 30}
 NOW = "1997-01-01 00:00:00"
 STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'processing' ELSE 'pii_scanning' END"
 
@@ -39,10 +38,22 @@ def jobs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("price"))
 
 
-@CATALOG.add("p16", f"SELECT o_orderkey AS job_id FROM orders WHERE {STATUS_SQL} = 'completed' AND o_orderdate < TIMESTAMP '{NOW}' - INTERVAL 30 DAY")
+def to_clean(index: DataFrame, jobs_: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Of the indexed job ids those to clean: jobs that are gone, and ended ones (job_id, status, created_at as text) from before the cutoff; a
+    date that can't be read keeps its job, one without a zone is UTC."""
+    x = index.join(jobs_.withColumn("__there", F.lit(True)), "job_id", "left")
+    created = F.try_to_timestamp(F.regexp_replace("created_at", "Z$", "+00:00"))
+    old = F.coalesce(created < now - F.expr(f"INTERVAL {days} DAYS"), F.lit(False))
+    return x.where(F.col("__there").isNull() | (F.col("status").isin(TERMINAL) & old)).select("job_id")
+
+
+@CATALOG.add("p16", f"SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 11 = 0 OR ({STATUS_SQL} = 'completed' AND o_orderdate < TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND o_orderkey % 7 <> 0)")
 def cleanable(spark, sf_dir):
-    """Ended long ago."""
-    return jobs(spark, sf_dir).where(F.col("status").isin(TERMINAL) & (F.col("created_at") < _now() - F.expr("INTERVAL 30 DAYS"))).select("job_id")
+    """P16 over an index of all orders, of which every eleventh has no job and every seventh no readable date."""
+    x = jobs(spark, sf_dir)
+    at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(F.col("job_id") % 7 == 0, "soon").when(F.col("job_id") % 2 == 0, F.concat(at, F.lit("Z"))).otherwise(at)
+    return to_clean(x.select("job_id"), x.where("job_id % 11 <> 0").select("job_id", "status", text.alias("created_at")), F.expr(f"TIMESTAMP '{NOW}+00:00'"))
 
 
 @CATALOG.add("p17", f"SELECT o_orderkey AS job_id FROM orders WHERE {STATUS_SQL} IN ('processing', 'pii_scanning') AND o_orderdate < TIMESTAMP '{NOW}' - INTERVAL 2 HOUR")

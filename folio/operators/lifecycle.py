@@ -17,7 +17,7 @@ CATALOG = Catalog()
 
 # Days that a job is kept by its status, and of all others; substatuses by status; limits of requests and their windows.
 KEEP_DAYS, KEEP_OTHERS = {"completed": 30, "failed": 30, "denied": 7}, 7
-SUBSTATUSES = {"processing": ["analyzing", "extracting", "correcting"], "pii_scanning": ["scanning"], "awaiting_review": ["in_review"]}
+SUBSTATUSES = {"processing": ["analyzing", "extracting", "specializing", "consolidating", "awaiting_review", "applying"]}
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
 
@@ -187,9 +187,9 @@ def valid_substatus(status: Column, substatus: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-@CATALOG.add("p19", f"SELECT o_orderkey AS job_id, sub, ({STATUS_SQL} = 'processing' AND sub IN ('analyzing', 'extracting', 'correcting')) OR ({STATUS_SQL} = 'pii_scanning' AND sub = 'scanning') AS valid FROM orders, (VALUES ('analyzing'), ('scanning'), ('in_review')) AS t(sub)")
+@CATALOG.add("p19", f"SELECT o_orderkey AS job_id, sub, {STATUS_SQL} = 'processing' AND sub NOT IN ('scanning', '') AS valid FROM orders, (VALUES ('analyzing'), ('extracting'), ('specializing'), ('consolidating'), ('awaiting_review'), ('applying'), ('scanning'), ('')) AS t(sub)")
 def substatuses(spark, sf_dir):
-    x = jobs(spark, sf_dir).select("job_id", "status", F.explode(F.array(*[F.lit(v) for v in ("analyzing", "scanning", "in_review")])).alias("sub"))
+    x = jobs(spark, sf_dir).select("job_id", "status", F.explode(F.array(*[F.lit(v) for v in [*SUBSTATUSES["processing"], "scanning", ""]])).alias("sub"))
     return x.select("job_id", "sub", valid_substatus(F.col("status"), F.col("sub")).alias("valid"))
 
 

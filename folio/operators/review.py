@@ -219,20 +219,20 @@ def figure_instructions(figures: DataFrame, answers: DataFrame, keys: list[str])
     ref = F.concat(F.lit("figures/"), "ref_id")
     p = F.instr("markdown", ref)
     around = F.when(p > 0, F.expr("substring(markdown, greatest(instr(markdown, concat('figures/', ref_id)) - 200, 1), least(instr(markdown, concat('figures/', ref_id)) - 1, 200) + length(ref_id) + 8 + 200)")).otherwise("")
-    asks = "First classify this image (decorative, informative, or complex_informative), then write WCAG-compliant alt text. If the image is purely decorative, set is_decorative=True and leave alt_text empty."
-    lacks = F.concat(F.lit("**NOTE:** The cropped figure image was not available. You are seeing the full page image instead. Locate the figure referenced as '"), "ref_id", F.lit("' using the caption and surrounding text above, then describe ONLY that figure — ignore all other images on the page.\n"))
+    asks = "Say what kind of image this is and write its alt text; none if it only decorates."
+    lacks = F.concat(F.lit("There is no crop, only the page: describe '"), "ref_id", F.lit("' and nothing else.\n"))
     message = F.array_join(F.array_compact(F.array(
-        F.concat(F.lit("## Figure: "), "ref_id", F.lit("\n")), F.when(F.coalesce("caption", F.lit("")) != "", F.concat(F.lit("**Caption:** "), "caption", F.lit("\n"))),
-        F.when(around != "", F.concat(F.lit("**Surrounding text:**\n```\n"), around, F.lit("\n```\n"))), F.when(~F.col("has_crop"), lacks), F.lit(asks),
+        F.concat(F.lit("# Figure "), "ref_id", F.lit("\n")), F.when(F.coalesce("caption", F.lit("")) != "", F.concat(F.lit("Caption: "), "caption", F.lit("\n"))),
+        F.when(around != "", F.concat(F.lit("Around it:\n```\n"), around, F.lit("\n```\n"))), F.when(~F.col("has_crop"), lacks), F.lit(asks),
     )), "\n")
-    says = F.when(F.col("error").isNotNull() | F.col("is_decorative").isNull(), F.concat(F.lit("ERROR: Image describer failed for '"), "ref_id", F.lit("': "), F.coalesce("error", F.lit("no answer")))).when(F.col("is_decorative"), F.concat(F.lit("Figure '"), "ref_id", F.lit("' is decorative. No alt text needed — leave the alt attribute empty."))).otherwise(F.concat(F.lit("Use this alt text for '"), "ref_id", F.lit("': "), "alt_text", F.lit("\nUse str_replace to update the markdown image syntax to include this alt text.")))
+    says = F.when(F.col("error").isNotNull() | F.col("is_decorative").isNull(), F.concat(F.lit("ERROR: no description of '"), "ref_id", F.lit("': "), F.coalesce("error", F.lit("no answer")))).when(F.col("is_decorative"), F.concat(F.lit("Figure '"), "ref_id", F.lit("' only decorates: keep its alt text empty."))).otherwise(F.concat(F.lit("Alt text of '"), "ref_id", F.lit("': "), "alt_text", F.lit("\nPut it in by str_replace.")))
     return figures.withColumn("message", message).join(answers, [*keys, "ref_id"], "left").select(*keys, "ref_id", "message", says.alias("instruction"))
 
 
-@CATALOG.add("e08", """SELECT conv_id, turn, r AS ref_id, '## Figure: ' || r || chr(10) || chr(10) || CASE WHEN role <> 'user' THEN '**Caption:** ' || role || chr(10) || chr(10) ELSE '' END || '**Surrounding text:**' || chr(10) || '```' || chr(10) || substr(md, greatest(p - 200, 1), least(p - 1, 200) + length(r) + 208) || chr(10) || '```' || chr(10) || chr(10)
-    || CASE WHEN turn % 2 = 1 THEN '**NOTE:** The cropped figure image was not available. You are seeing the full page image instead. Locate the figure referenced as ''' || r || ''' using the caption and surrounding text above, then describe ONLY that figure — ignore all other images on the page.' || chr(10) || chr(10) ELSE '' END
-    || 'First classify this image (decorative, informative, or complex_informative), then write WCAG-compliant alt text. If the image is purely decorative, set is_decorative=True and leave alt_text empty.' AS message,
-    CASE turn % 3 WHEN 0 THEN 'Figure ''' || r || ''' is decorative. No alt text needed — leave the alt attribute empty.' WHEN 1 THEN 'Use this alt text for ''' || r || ''': a ' || role || chr(10) || 'Use str_replace to update the markdown image syntax to include this alt text.' ELSE 'ERROR: Image describer failed for ''' || r || ''': busy' END AS instruction
+@CATALOG.add("e08", """SELECT conv_id, turn, r AS ref_id, '# Figure ' || r || chr(10) || chr(10) || CASE WHEN role <> 'user' THEN 'Caption: ' || role || chr(10) || chr(10) ELSE '' END || 'Around it:' || chr(10) || '```' || chr(10) || substr(md, greatest(p - 200, 1), least(p - 1, 200) + length(r) + 208) || chr(10) || '```' || chr(10) || chr(10)
+    || CASE WHEN turn % 2 = 1 THEN 'There is no crop, only the page: describe ''' || r || ''' and nothing else.' || chr(10) || chr(10) ELSE '' END
+    || 'Say what kind of image this is and write its alt text; none if it only decorates.' AS message,
+    CASE turn % 3 WHEN 0 THEN 'Figure ''' || r || ''' only decorates: keep its alt text empty.' WHEN 1 THEN 'Alt text of ''' || r || ''': a ' || role || chr(10) || 'Put it in by str_replace.' ELSE 'ERROR: no description of ''' || r || ''': busy' END AS instruction
     FROM (SELECT *, strpos(md, 'figures/' || r) AS p FROM (SELECT *, 'figure-' || (turn + 1) || '.png' AS r, text || ' ![](figures/figure-' || (turn + 1) || '.png) ' || text AS md FROM conversations))""")
 def described_figures(spark, sf_dir):
     ref = F.concat(F.lit("figure-"), (F.col("turn") + 1).cast("string"), F.lit(".png"))
@@ -447,7 +447,7 @@ def spelling_report(flags: DataFrame, key: str = "doc_id") -> DataFrame:
     """Flags as a text for the page model."""
     line = F.concat(F.lit("- Line "), F.col("line").cast("string"), F.lit(': "'), "word", F.lit('" - suggestions: ['), F.array_join(F.transform("suggestions", lambda s: F.concat(F.lit('"'), s, F.lit('"'))), ", "), F.lit("]"))
     rows = F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("s")))), lambda v: v["s"])
-    return flags.groupBy(key).agg(F.concat(F.lit("**Flagged potential misspellings** (verify against page image):\n"), F.array_join(rows, "\n")).alias("report"))
+    return flags.groupBy(key).agg(F.concat(F.lit("Possible misspellings:\n"), F.array_join(rows, "\n")).alias("report"))
 
 
 def normal_markdown(x: Column) -> Column:
@@ -488,7 +488,7 @@ def cleaned_with_flags(spark, sf_dir):
     return clean_and_flag(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("cleaned", F.md5("cleaned"))
 
 
-@CATALOG.add("m16", "SELECT conv_id, '**Flagged potential misspellings** (verify against page image):' || chr(10) || string_agg('- Line ' || turn || ': \"' || role || '\" - suggestions: [\"' || upper(role) || '\", \"x\"]', chr(10) ORDER BY turn) AS report FROM conversations GROUP BY conv_id")
+@CATALOG.add("m16", "SELECT conv_id, 'Possible misspellings:' || chr(10) || string_agg('- Line ' || turn || ': \"' || role || '\" - suggestions: [\"' || upper(role) || '\", \"x\"]', chr(10) ORDER BY turn) AS report FROM conversations GROUP BY conv_id")
 def formatted_flags(spark, sf_dir):
     flags = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("place"), F.col("turn").alias("line"), F.col("role").alias("word"), F.array(F.upper("role"), F.lit("x")).alias("suggestions"))
     return spelling_report(flags, "conv_id")

@@ -340,7 +340,7 @@ def archived(spark, sf_dir):
 def submit(uploads: DataFrame, known: list[str], most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(answers, jobs, queue) of uploads (upload_id, length, mime, ocr_languages, skip_scan): unknown languages, wrong types and sizes are
     refused; others become a job, which waits for the scan in the queue or starts at once where the scan is skipped."""
-    bad = F.array_except(F.coalesce("ocr_languages", F.array().cast("array<string>")), F.array(*[F.lit(k) for k in known]))
+    bad = F.filter(F.coalesce("ocr_languages", F.array().cast("array<string>")), lambda c: ~c.isin(*known))
     status = admission(F.col("length"), F.col("mime"), most)
     x = uploads.withColumn("answer", F.when(F.size(bad) > 0, F.concat(F.lit("invalid languages: "), F.array_join(bad, ","))).when(status != "stored", status).when(F.col("skip_scan"), "processing").otherwise("pii_scanning"))
     jobs = x.where("answer IN ('processing', 'pii_scanning')").select("upload_id", F.format_string("temp/%d.pdf", F.col("upload_id").cast("long")).alias("s3_key"), F.col("answer").alias("status"))
@@ -349,7 +349,7 @@ def submit(uploads: DataFrame, known: list[str], most: int = MOST) -> tuple[Data
 
 def _uploads(spark, sf_dir) -> DataFrame:
     k = F.col("page_id")
-    langs = F.when(k % 5 == 0, F.array(F.lit("eng"), F.lit("xx"), F.lit("yy"))).when(k % 5 == 1, F.lit(None).cast("array<string>")).otherwise(F.array(F.lit("deu")))
+    langs = F.when(k % 5 == 0, F.array(F.lit("eng"), F.lit("xx"), F.lit("yy"))).when(k % 5 == 1, F.lit(None).cast("array<string>")).otherwise(F.array(F.lit("deu"), F.get(F.array(*[F.lit(c) for c in LANGUAGES]), (k % len(LANGUAGES)).cast("int"))))
     return table(spark, sf_dir, "pages").select(k.alias("upload_id"), F.octet_length("html").alias("length"), F.lit("application/pdf").alias("mime"), langs.alias("ocr_languages"), (k % 2 == 0).alias("skip_scan"))
 
 
