@@ -492,18 +492,3 @@ def cleaned_with_flags(spark, sf_dir):
 def formatted_flags(spark, sf_dir):
     flags = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("place"), F.col("turn").alias("line"), F.col("role").alias("word"), F.array(F.upper("role"), F.lit("x")).alias("suggestions"))
     return spelling_report(flags, "conv_id")
-
-
-def heading_table(outline: DataFrame, key: str) -> DataFrame:
-    """The outline as the table that the reconciliation model gets; reasonings are cut at 117 characters."""
-    why = F.when(F.length("reasoning") > 120, F.concat(F.substring("reasoning", 1, 117), F.lit("..."))).otherwise(F.col("reasoning"))
-    row = F.concat_ws(" ", F.lit("|"), (F.col("ord") + 1).cast("string"), F.lit("|"), F.col("page").cast("string"), F.lit("| h"), F.col("level").cast("string"), F.lit("|"), "text", F.lit("|"), why, F.lit("|"))
-    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", row.alias("r")))), lambda v: v["r"]), "\n")
-    head = F.concat(F.lit("## "), F.count("*").cast("string"), F.lit(" headings found\n\n| # | Page | Current Level | Text | Per-Page Reasoning |\n|---|------|---------------|------|-------------------|\n"))
-    return outline.groupBy(key).agg(F.concat(head, rows).alias("message"))
-
-
-@CATALOG.add("n17", "SELECT conv_id, '## ' || count(*) || ' headings found' || chr(10) || chr(10) || '| # | Page | Current Level | Text | Per-Page Reasoning |' || chr(10) || '|---|------|---------------|------|-------------------|' || chr(10) || string_agg('| ' || (turn + 1) || ' | ' || (turn + 1) || ' | h ' || (turn % 3 + 1) || ' | ' || role || ' | ' || CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END || ' |', chr(10) ORDER BY turn) AS message FROM conversations GROUP BY conv_id")
-def messages(spark, sf_dir):
-    o = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), (F.col("turn") + 1).alias("page"), (F.col("turn") % 3 + 1).alias("level"), F.col("role").alias("text"), F.col("text").alias("reasoning"))
-    return heading_table(o, "conv_id")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from folio.operators import classify, cleanup, exchange, joins, jobs, ledger, lifecycle, outline, review, stores, streams, structure, telemetry
+    from folio.operators import classify, cleanup, exchange, joins, jobs, ledger, lifecycle, messages, outline, review, stores, streams, structure, telemetry
 
-    return [cleanup, classify, structure, outline, joins, ledger, jobs, telemetry, exchange, review, lifecycle, stores, streams]
+    return [cleanup, classify, structure, outline, joins, ledger, jobs, telemetry, exchange, review, messages, lifecycle, stores, streams]
 
 
 def queries() -> dict:
