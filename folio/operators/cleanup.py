@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.functions.blocks import lines_of, toggled
 from folio.plans.catalog import Catalog
 from folio.sources.tables import table
 
@@ -124,9 +125,8 @@ def figures_in_text(spark, sf_dir):
 def prose_words(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(key, line, at, word, context) of prose: lines in fences and indented ones are skipped; inline code, URLs, tags, link targets and
     markup go.  Links are rewritten before images, so image texts stay.  context: the line, stripped, its first 80 characters."""
-    lines = docs.select(key, F.posexplode(F.split(column, "\n", -1)).alias("n", "line"))
-    fence = T.strip(F.col("line")).startswith("```")
-    lines = lines.withColumns({"fence": fence, "inside": F.sum(fence.cast("int")).over(W.partitionBy(key).orderBy("n")) % 2 == 1}).where(~F.col("fence") & ~F.col("inside") & ~F.col("line").startswith("    ") & ~F.col("line").startswith("\t"))
+    lines = toggled(lines_of(docs, key, column), key, T.strip(F.col("line")).startswith("```"))
+    lines = lines.where(~F.col("fence") & ~F.col("inside") & ~F.col("line").startswith("    ") & ~F.col("line").startswith("\t"))
     x = F.col("line")
     for pattern, new in (("`[^`]+`", ""), (r"https?://[^\s)\]]+", ""), ("<[^>]+>", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", ""), (r"[#*_\[\](){}|>~]", " ")):
         x = F.regexp_replace(x, pattern, new)

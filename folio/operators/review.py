@@ -11,11 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.functions.blocks import normal_form
 from folio.functions.matching import best_matches
 from folio.operators.cleanup import apply_edits, prose_words
 from folio.operators.outline import IN_PAGE, LINE, best_in_page, flag_spelling
 from folio.plans.catalog import Catalog
-from folio.sources.tables import table
+from folio.sources.tables import stored, table
 
 CATALOG = Catalog()
 
@@ -450,28 +451,29 @@ def spelling_report(flags: DataFrame, key: str = "doc_id") -> DataFrame:
     return flags.groupBy(key).agg(F.concat(F.lit("Possible misspellings:\n"), F.array_join(rows, "\n")).alias("report"))
 
 
-def normal_markdown(x: Column) -> Column:
-    """A normal form of markdown, as columns: line ends, trailing blanks, `#` headings with one blank and blank lines around, `-` for bullets,
-    ``` for fences of tildes, one blank line between blocks, one line end at the end."""
-    x = F.regexp_replace(x, "\r\n?", "\n")
-    for pattern, new in ((r"(?m)[ \t]+$", ""), (r"(?m)^(#{1,6})[ \t]+(.*?)[ \t]*#*$", "$1 $2"), (r"(?m)^(\s*)[*+][ \t]+", "$1- "), ("(?m)^~~~", "```"), (r"(?m)(?<=[^\n])\n(#{1,6} )", "\n\n$1"), (r"(?m)^(#{1,6} .*)\n(?=[^\n])", "$1\n\n"), (r"\n{3,}", "\n\n")):
-        x = F.regexp_replace(x, pattern, new)
-    x = F.regexp_replace(F.regexp_replace(x, r"^\n+", ""), r"\n+\z", "")
-    return F.when(x == "", x).otherwise(F.concat(x, F.lit("\n")))
-
-
 @CATALOG.add("m12", "SELECT conv_id, turn, md5('# Head ' || turn || chr(10) || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || t || chr(10)) AS digest, abs(length('# Head ' || turn || chr(10) || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || t || chr(10)) - length('#  Head ' || turn || '  ##' || chr(10) || '* a  ' || chr(10) || '+ b' || chr(10) || chr(10) || chr(10) || chr(10) || t || '  ')) AS delta FROM (SELECT conv_id, turn, 'x ' || regexp_replace(text, '[^a-zA-Z]+', ' ', 'g') || 'x' AS t FROM conversations)")
 def formatted(spark, sf_dir):
     t = F.concat(F.lit("x "), F.regexp_replace("text", "[^a-zA-Z]+", " "), F.lit("x"))
     raw = F.concat(F.lit("#  Head "), F.col("turn").cast("string"), F.lit("  ##\n* a  \n+ b\n\n\n\n"), t, F.lit("  "))
-    new = normal_markdown(raw)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(new).alias("digest"), F.abs(F.length(new) - F.length(raw)).alias("delta"))
+    x = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("k"), raw.alias("raw"))
+    new = normal_form(x.select("k", F.col("raw").alias("new")), "k", "new")
+    return x.join(new, "k").select("k.conv_id", "k.turn", F.md5("new").alias("digest"), F.abs(F.length("new") - F.length("raw")).alias("delta"))
+
+
+_FENCED = ["# H ##", "text", "```python", "* a  ", "# c ##", "", "", "~~~", "```", "+ b", "", "", "    * code  ", "    # x ##", "end"]
+
+
+@CATALOG.add("m12_code", "SELECT doc_id, md5(array_to_string(['# H', '', 'text', '```python', '* a  ', '# c ##', '', '', '~~~', '```', '- b', '', '    * code  ', '    # x ##', 'end ' || doc_id], chr(10)) || chr(10)) AS digest FROM documents")
+def formatted_code(spark, sf_dir):
+    """Lines in fences and indented ones are left alone."""
+    x = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("\n".join(_FENCED) + " "), F.col("doc_id").cast("string"), F.lit("\n\n")).alias("text"))
+    return normal_form(x, "doc_id", "text").select("doc_id", F.md5("text").alias("digest"))
 
 
 def clean_and_flag(docs: DataFrame, key: str = "doc_id", column: str = "text", known: int = 20, most: int = 50) -> DataFrame:
     """Docs with the normal form, how many characters it changed, the prose words that were checked, and the flags as a report."""
-    x = docs.withColumn("cleaned", normal_markdown(F.col(column)))
-    flags = flag_spelling(x.select(key, "cleaned"), known, most, None, key, "cleaned")
+    x = stored(docs.join(normal_form(docs.select(key, F.col(column).alias("cleaned")), key, "cleaned"), key), "cleaned")
+    flags = stored(flag_spelling(x.select(key, "cleaned"), known, most, None, key, "cleaned"), "flags")
     checked = prose_words(x.select(key, "cleaned"), key, "cleaned").groupBy(key).agg(F.count("*").alias("words_checked"))
     flagged = flags.groupBy(key).agg(F.count("*").alias("words_flagged"))
     x = x.join(checked, key, "left").join(flagged, key, "left").join(spelling_report(flags, key), key, "left")
