@@ -10,7 +10,7 @@ from folio.operators.classify import FOUND_IN_SQL, PERSONAL_SQL, _personal, has_
 from folio.operators.jobs import STATUS_SQL, jobs
 from folio.operators.telemetry import EVENTS_SQL, events, log_sql
 from folio.plans.catalog import Catalog
-from folio.sources.tables import table
+from folio.sources.tables import stored, table
 from folio.streaming.limits import sliding_log
 
 CATALOG = Catalog()
@@ -127,21 +127,31 @@ def rounds(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct(F.date_trunc("day", "ts")).alias("rounds"), F.count_if(bad).alias("issues"), F.count_if(bad & (v >= 66)).alias("critical"), F.count_if(bad & (v >= 33) & (v < 66)).alias("major"), F.count_if(bad & (v < 33)).alias("minor"))
 
 
-def dotted(rows: DataFrame, key: str, record: str, depth: int = 4) -> DataFrame:
-    """(key, path, value) of every scalar in a variant, with its dotted path (list items by number), down to `depth` levels, by one
-    explode of a level's objects and lists at a time."""
-    level = rows.select(key, F.lit("").alias("path"), F.col(record).alias("v"))
+def _level(level: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(scalars, what lies one level deeper) of rows (key, path, v)."""
+    level = level.withColumn("kind", F.schema_of_variant("v"))
+    nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+    leaves = level.where(~nested & (F.col("path") != "") & (F.col("kind") != "VOID")).select(key, "path", F.try_variant_get("v", "$", "string").alias("value"))
+    entries = F.try_variant_get("v", "$", "map<string,variant>")
+    items = F.map_from_entries(F.transform(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array().cast("array<variant>")), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
+    inner = level.where(nested).select(key, "path", F.explode(F.coalesce(F.when(F.col("kind").startswith("OBJECT"), entries), items)).alias("__name", "__w"))
+    return leaves, inner.select(key, F.concat_ws(".", F.nullif("path", F.lit("")), "__name").alias("path"), F.col("__w").alias("v"))
+
+
+def dotted(rows: DataFrame, key: str, record: str, at_once: int = 4) -> DataFrame:
+    """(key, path, value) of every scalar in a variant, with its dotted path (list items by number), at any depth.
+
+    `at_once` levels are unfolded by one plan; what is still nested then is written and goes into the next round, until nothing is left.
+    """
+    rest = rows.select(key, F.lit("").alias("path"), F.col(record).alias("v")).where(F.col("v").isNotNull())
     out = None
-    for d in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        level = level.withColumn("kind", kind)
-        leaf = level.where(~F.col("kind").startswith("OBJECT") & ~F.col("kind").startswith("ARRAY")).where("path <> '' AND kind <> 'VOID'").select(key, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        out = leaf if out is None else out.unionByName(leaf)
-        if d < depth:
-            entries = F.try_variant_get("v", "$", "map<string,variant>")
-            items = F.map_from_entries(F.transform(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array().cast("array<variant>")), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
-            level = level.select(key, "path", F.explode(F.coalesce(F.when(F.col("kind").startswith("OBJECT"), entries), items)).alias("k", "w")).select(key, F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), F.col("w").alias("v"))
-    return out
+    while True:
+        for _ in range(at_once):
+            leaves, rest = _level(rest, key)
+            out = leaves if out is None else out.unionByName(leaves)
+        rest = stored(rest.where("v IS NOT NULL"), "nested")
+        if rest.isEmpty():
+            return out
 
 
 @CATALOG.add("a33", "SELECT event_id, path, value FROM (SELECT event_id, 'page.reasoning' AS path, event_type AS value FROM events UNION ALL SELECT event_id, 'items.0.reasoning', 'a' || user_id FROM events UNION ALL SELECT event_id, 'items.1.note.reasoning', 'b' || event_id FROM events) WHERE path LIKE '%reasoning'")
@@ -153,6 +163,13 @@ def reasoning_corpus(spark, sf_dir):
     return dotted(e.select("event_id", F.parse_json(json).alias("r")), "event_id", "r").where(F.col("path").endswith("reasoning"))
 
 
+@CATALOG.add("a33_deep", f"SELECT n_nationkey, {' || '.join(chr(39) + x + chr(39) for x in ['.'.join(['a', '0'] * 12) + '.reasoning'])} AS path, n_name AS value FROM nation")
+def deep_reasonings(spark, sf_dir):
+    """What lies 25 levels deep is found as well."""
+    json = F.concat(F.lit('{"a":[' * 12 + '{"reasoning":"'), "n_name", F.lit('"}' + "]}" * 12))
+    return dotted(table(spark, sf_dir, "nation").select("n_nationkey", F.parse_json(json).alias("r")), "n_nationkey", "r")
+
+
 @CATALOG.add("a34", "SELECT source, count(*) FILTER (doc_id % 9 <> 4) AS files, coalesce(sum(n_chars) FILTER (doc_id % 9 <> 4), 0) AS bytes, count(*) FILTER (doc_id % 9 = 4) AS errors FROM documents GROUP BY 1")
 def cleanup_totals(spark, sf_dir):
     """Deleted files, their bytes, and deletions that failed, by prefix."""
