@@ -38,6 +38,13 @@ ENTITIES = [
     ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 1.0),
     ("US_DRIVER_LICENSE", r"\b[A-Z][0-9]{6,8}\b", 0.3),
 ]
+#: Words that make a match of a kind likelier when they stand shortly before it; how much, at least to what, and how many words before.
+CONTEXT = {
+    "EMAIL_ADDRESS": ["email", "mail"], "US_SSN": ["social", "security", "ssn", "ssns", "ssid"], "PHONE_NUMBER": ["phone", "number", "telephone", "cell", "cellphone", "mobile", "call"],
+    "CREDIT_CARD": ["credit", "card", "visa", "mastercard", "cc", "amex", "discover", "jcb", "diners", "maestro"], "IBAN_CODE": ["iban", "bank", "transaction"],
+    "US_DRIVER_LICENSE": ["driver", "license", "permit", "lic", "identification", "dls", "cdls", "driving"],
+}
+LIFT, LIFT_LEAST, WORDS_BEFORE = 0.35, 0.4, 5
 PAGE = "greatest(CAST(ceil(n_chars / 1000.0) AS INTEGER), 1)"
 
 
@@ -256,40 +263,53 @@ def is_real(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def has_personal_data(column: str = "text", least: float = 0.85) -> Column:
-    """Whether any entity at or over the score is there, as one expression."""
-
-    def found(kind: str, pattern: str) -> Column:
-        return F.exists(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), lambda t: is_real(kind, t))
-
-    hit = F.lit(False)
-    for kind, pattern, score in ENTITIES:
-        if score >= least:
-            hit = hit | F.coalesce(found(kind, pattern), F.lit(False))
-    return hit
+def lifted(score: float) -> float:
+    return min(1.0, max(score + LIFT, LIFT_LEAST))
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", column: str = "text", least: float = 0.85) -> DataFrame:
-    """(key, entity_type, start, end, score, text) of every match at or over the score, in code points."""
+    """(key, entity_type, start, end, score, text) of every match at or over the score, in code points.
 
-    def spans(name: str, pattern: str, score: float) -> Column:
+    Matches and the words of their context are found by one pattern each, with their offsets and how many blanks are before them; both
+    meet in one order by offset within a document, and a match less than six blanks after a word of its context is worth more.
+    """
+
+    def spans(name: str, kind: str, pattern: str, score: float) -> Column:
         found, gaps = F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), F.split(column, pattern, -1)
-        pieces = F.transform(found, lambda t, i: F.struct(F.lit(name).alias("entity_type"), F.length(F.get(gaps, i)).alias("gap"), t.alias("text"), F.lit(score).alias("score"), i.alias("i")))
-        return F.when(F.col(column).rlike(pattern), pieces).otherwise(F.array().cast("array<struct<entity_type:string,gap:int,text:string,score:double,i:int>>"))
-
-    every = F.concat(*[spans(*e) for e in ENTITIES if e[2] >= least])
-    x = docs.withColumn("__row", F.monotonically_increasing_id()).select(F.col(key).alias("__key"), "__row", F.explode(every).alias("f")).select("__key", "__row", "f.*")
-    x = x.withColumn("end", F.sum(F.col("gap") + F.length("text")).over(W.partitionBy("__row", "entity_type").orderBy("i")).cast("int"))
-    real = F.lit(True)
-    for kind, _, _ in ENTITIES:
+        blanks = lambda x: F.regexp_count(x, F.lit(r"\s+"))
+        pieces = F.transform(found, lambda t, i: F.struct(F.lit(name).alias("pattern"), F.lit(kind).alias("entity_type"), F.length(F.get(gaps, i)).alias("gap"), blanks(F.get(gaps, i)).alias("blanks"), blanks(t).alias("within"), t.alias("text"), F.lit(score).alias("score"), i.alias("i")))
+        return F.when(F.col(column).rlike(pattern), pieces).otherwise(F.array().cast("array<struct<pattern:string,entity_type:string,gap:int,blanks:int,within:int,text:string,score:double,i:int>>"))
+
+    kinds = [e for e in ENTITIES if lifted(e[2]) >= least]
+    entities_, words = F.concat(*[spans(k, k, p, s) for k, p, s in kinds]), F.concat(*[spans(f"{k} context", k, r"(?i)\b(?:" + "|".join(CONTEXT[k]) + r")\b", -1.0) for k, _, _ in kinds])
+    x = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__found", entities_).where(F.size("__found") > 0)
+    x = x.select(F.col(key).alias("__key"), "__row", F.explode(F.concat("__found", words)).alias("f")).select("__key", "__row", "f.*")
+    w = W.partitionBy("__row", "pattern").orderBy("i")
+    x = x.withColumn("end", F.sum(F.col("gap") + F.length("text")).over(w).cast("int")).withColumn("at", F.sum(F.col("blanks") + F.col("within")).over(w) - F.col("within"))
+    x = x.withColumn("start", F.col("end") - F.length("text"))
+    word = F.last(F.when(F.col("score") < 0, F.col("at")), ignorenulls=True).over(W.partitionBy("__row", "entity_type").orderBy("start", "score").rowsBetween(W.unboundedPreceding, -1))
+    x = x.withColumn("word", word).where("score >= 0")
+    real, more = F.lit(True), F.col("score")
+    for kind, _, score in kinds:
         real = F.when(F.col("entity_type") == kind, is_real(kind, F.col("text"))).otherwise(real)
-    return x.where(real).select(F.col("__key").alias(key), "entity_type", (F.col("end") - F.length("text")).alias("start"), "end", "score", "text")
+        more = F.when(F.col("entity_type") == kind, F.lit(lifted(score))).otherwise(more)
+    x = x.where(real).withColumn("score", F.when(F.col("at") - F.col("word") <= WORDS_BEFORE, more).otherwise(F.col("score")))
+    return x.where(F.col("score") >= least).select(F.col("__key").alias(key), "entity_type", "start", "end", "score", "text")
+
+
+def with_findings(docs: DataFrame, key: str = "doc_id", column: str = "text", least: float = 0.85) -> DataFrame:
+    """Docs with `found`: whether any entity at or over the score is in the texts of their key."""
+    hits = personal_data(docs.select(key, column), key, column, least).select(F.col(key).alias("__hit")).distinct()
+    return docs.join(hits, F.col(key).eqNullSafe(F.col("__hit")) & F.col("__hit").isNotNull(), "left").withColumn("found", F.col("__hit").isNotNull()).drop("__hit")
 
 
 _LUHN_SQL = "list_sum(list_transform(range(1, len({d}) + 1), lambda i: CASE WHEN (len({d}) - i) % 2 = 0 THEN CAST({d}[i] AS INTEGER) ELSE (CAST({d}[i] AS INTEGER) * 2) % 10 + (CAST({d}[i] AS INTEGER) * 2) // 10 END)) % 10 = 0".format(d="regexp_replace(t, '[^0-9]', '', 'g')")
 _IBAN_SQL = "list_reduce(list_prepend(0, list_transform(string_split(substr(t, 5) || substr(t, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INTEGER) ELSE ascii(c) - 55 END)), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
 REAL_SQL = {"US_SSN": "NOT regexp_matches(t, '^(000|666|9)|-00-|-0000$')", "CREDIT_CARD": _LUHN_SQL, "IBAN_CODE": _IBAN_SQL}
-PERSONAL_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS entity_type, {score} AS score, t AS text FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS t FROM found_in) WHERE {REAL_SQL.get(k, 'true')}" for k, p, score in ENTITIES)
+PERSONAL_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS entity_type, CASE WHEN near THEN {lifted(score)}::DOUBLE ELSE {score}::DOUBLE END AS score, t AS text FROM (SELECT doc_id, ms[i] AS t, regexp_matches(array_to_string(list_transform(range(1, i + 1), lambda j: gs[j] || CASE WHEN j < i THEN ms[j] ELSE '' END), ''), '(?i)\\b({'|'.join(CONTEXT[k])})\\b\\S*(\\s+\\S+){{0,{WORDS_BEFORE - 1}}}(\\s+\\S*)?$') AS near FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS gs FROM found_in), unnest(range(1, len(ms) + 1)) AS u(i)) WHERE {REAL_SQL.get(k, 'true')}"
+    for k, p, score in ENTITIES
+)
 _PLANTED = ["write 078-05-1120 or 000-12-3456 now", "card 4111 1111 1111 1111 and 4111 1111 1111 1112", "pay GB82WEST12345698765432 not GB83WEST12345698765432", "call +1 555-123-4567", "mail a.b@c.org", "licence D1234567"]
 FOUND_IN_SQL = "WITH found_in AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') || ' ' || [" + ", ".join(f"'{x}'" for x in _PLANTED) + "][doc_id % 7 + 1] AS text FROM documents) "
 
@@ -319,7 +339,7 @@ def certain_personal_data(spark, sf_dir):
 @CATALOG.add("d02", FOUND_IN_SQL + f"SELECT f.doc_id, CASE WHEN f.doc_id IN (SELECT doc_id FROM ({PERSONAL_SQL}) WHERE score >= 0.85) THEN 'awaiting_approval' ELSE 'processing' END AS route FROM found_in f")
 def routes(spark, sf_dir):
     """Documents with any finding need approval; the others go on."""
-    return _personal(spark, sf_dir).select("doc_id", F.when(has_personal_data(), "awaiting_approval").otherwise("processing").alias("route"))
+    return with_findings(_personal(spark, sf_dir)).select("doc_id", F.when(F.col("found"), "awaiting_approval").otherwise("processing").alias("route"))
 
 
 @CATALOG.add("d03", "SELECT o_orderkey, md5('t' || o_orderkey) AS token, o_orderdate + INTERVAL 4 HOUR AS expires_at FROM orders WHERE o_orderstatus = 'P'")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.operators.classify import FOUND_IN_SQL, PERSONAL_SQL, _personal, has_personal_data, personal_data
+from folio.operators.classify import FOUND_IN_SQL, PERSONAL_SQL, _personal, personal_data, with_findings
 from folio.operators.jobs import STATUS_SQL, jobs
 from folio.operators.telemetry import EVENTS_SQL, events, log_sql
 from folio.plans.catalog import Catalog
@@ -228,8 +228,8 @@ def scan_jobs(queue: DataFrame, key: str, column: str) -> DataFrame:
     """What a worker makes of its queue (key, text, error, known): failed if the file can't be read or the job is unknown, else by
     findings awaiting_approval or processing; with the days it is kept and whether it goes back to the queue (transient errors)."""
     again = F.coalesce(F.col("error").isin("timeout", "unreachable"), F.lit(False))
-    status = F.when(again, "pii_scanning").when(F.col("error").isNotNull(), "failed").when(~F.col("known"), "failed").when(has_personal_data(column), "awaiting_approval").otherwise("processing")
-    x = queue.withColumns({"requeued": again, "status": status})
+    status = F.when(again, "pii_scanning").when(F.col("error").isNotNull(), "failed").when(~F.col("known"), "failed").when(F.col("found"), "awaiting_approval").otherwise("processing")
+    x = with_findings(queue, key, column).withColumns({"requeued": again, "status": status})
     return x.select(key, "status", "requeued", ttl_days(F.col("status")).alias("days"), F.coalesce("error", F.when(~F.col("known"), "job not found")).alias("failure"))
 
 

@@ -173,7 +173,7 @@ def test_personal_data(spark, text, kinds):
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     found = classify.personal_data(df).collect()
     assert {r["entity_type"] for r in found} == kinds and all(text[r["start"] : r["end"]] == r["text"] for r in found)
-    assert [r[0] for r in df.select(classify.has_personal_data()).collect()] == [bool(kinds), False, False]
+    assert [r["found"] for r in classify.with_findings(df).orderBy("doc_id").collect()] == [bool(kinds), False, False]
 
 
 def test_first_step_and_extraction(spark):
