@@ -151,12 +151,12 @@ def recognition_variants(terms: DataFrame, term: str = "term", ord: str = "ord")
 
 
 def key_terms(spark, sf_dir) -> DataFrame:
-    """The first three words of three letters or more of every benchmark item, as key terms."""
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 3)
+    """The words of three letters or more of every benchmark item, as key terms."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(words).alias("term")).groupBy("term").agg(F.min("item_id").alias("ord"))
 
 
-TERMS_SQL = "SELECT term, min(item_id) AS ord FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{3,}')[1:3]) AS term FROM benchmark) GROUP BY term"
+TERMS_SQL = "SELECT term, min(item_id) AS ord FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS term FROM benchmark) GROUP BY term"
 VARIANTS_SQL = f"SELECT variant, arg_max(term, (ord, term, k)) AS term FROM (SELECT term, ord, k, lower(term) AS low, replace(lower(term), a, b) AS variant FROM ({TERMS_SQL}), {CONFUSIONS_SQL} WHERE contains(lower(term), a)) WHERE variant <> low AND variant NOT IN (SELECT lower(term) FROM ({TERMS_SQL})) GROUP BY variant"
 
 
@@ -179,6 +179,13 @@ def near_keys(word) -> Column:
     return F.array_distinct(F.concat(cut, F.array(w)))
 
 
+def one_edit(a: str, b: str) -> Column:
+    """Whether two words are one edit apart: a letter more, less or another, or two neighbours swapped."""
+    x, y = F.col(a), F.col(b)
+    turned = F.exists(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1)), F.substring(x, i, F.lit(1)), F.substring(x, i + 2, F.length(x))) == y)
+    return (F.levenshtein(x, y, 1) == 1) | ((F.length(x) == F.length(y)) & (x != y) & turned)
+
+
 def check_recognition(docs: DataFrame, terms: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, word, reason, confidence, suggestions): of each document's distinct words of three letters or more, not key terms,
     variants of a key term (0.95); unknown words one edit from a key term (0.85), or with a suspicious pattern and near a known word (0.7).
@@ -194,7 +201,7 @@ def check_recognition(docs: DataFrame, terms: DataFrame, dictionary: DataFrame,
     rest = words.join(found.select(key, "low"), [key, "low"], "left_anti").join(dictionary.select(F.lower(F.col("word")).alias("low")).distinct(), "low", "left_anti")
     asked = rest.select("low").distinct().select("low", F.explode(near_keys("low")).alias("k"))
     known = dictionary.select(F.lower(F.col("word")).alias("near"), "n", F.lit(False).alias("is_term")).unionByName(terms.select(F.lower("term").alias("near"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("is_term"))).groupBy("near").agg(F.max("n").alias("n"), F.max("is_term").alias("is_term"))
-    near = asked.join(known.select("near", "n", "is_term", F.explode(near_keys("near")).alias("k")), "k").where(F.levenshtein("low", "near", 1) == 1).select("low", "near", "n", "is_term").distinct()
+    near = asked.join(known.select("near", "n", "is_term", F.explode(near_keys("near")).alias("k")), "k").where(one_edit("low", "near")).select("low", "near", "n", "is_term").distinct()
     best = near.groupBy("low").agg(*[F.transform(F.slice(F.sort_array(F.collect_list(F.when(c, F.struct((-F.col("n")).alias("m"), "near")))), 1, 3), lambda v: v["near"]).alias(name) for name, c in (("terms", F.col("is_term")), ("top", F.lit(True)))])
     second = rest.join(best, "low").withColumn("term", F.size("terms") > 0).where(F.col("term") | suspicious(F.col("low")))
     pick = lambda a, b: F.when(F.col("term"), a).otherwise(b)

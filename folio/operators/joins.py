@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.operators.cleanup import near_keys, one_edit
 from folio.plans.catalog import Catalog
 from folio.sources.tables import table
 
@@ -106,14 +107,13 @@ def unknown_words(spark, sf_dir):
     return words(table(spark, sf_dir, "benchmark")).join(words(table(spark, sf_dir, "documents").where("lang = 'en'")), "word", "left_anti")
 
 
-@CATALOG.add("j20", "SELECT a.w AS word, b.w AS near FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '\\b[a-z]{4,6}\\b')) AS w FROM benchmark) a JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '\\b[a-z]{4,6}\\b')) AS w FROM benchmark) b ON a.w < b.w AND levenshtein(a.w, b.w) = 1")
+@CATALOG.add("j20", "SELECT a.w AS word, b.w AS near FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '\\b[a-z]+\\b')) AS w FROM benchmark) a JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '\\b[a-z]+\\b')) AS w FROM benchmark) b ON a.w < b.w AND damerau_levenshtein(a.w, b.w) = 1")
 def near_words(spark, sf_dir):
-    """Words one edit apart, found by an equi-join on words with one letter taken out, then verified."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "x")), F.lit("\\b[a-z]{4,6}\\b"), F.lit(0))).alias("w")).distinct()
-    cut = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w"))))
-    keys = words.select("w", F.explode(F.array_distinct(F.concat(cut, F.array("w")))).alias("k"))
+    """Words one edit apart, swapped neighbours included, found by an equi-join on words with one letter taken out, then verified."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "x")), F.lit("\\b[a-z]+\\b"), F.lit(0))).alias("w")).distinct()
+    keys = words.select("w", F.explode(near_keys("w")).alias("k"))
     pairs = keys.join(keys.withColumnRenamed("w", "near"), "k").where("w < near").select(F.col("w").alias("word"), "near").distinct()
-    return pairs.where(F.levenshtein("word", "near", 1) == 1)
+    return pairs.where(one_edit("word", "near"))
 
 
 @CATALOG.add("j21", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place, r.r_name AS figure FROM conversations JOIN region r ON r.r_regionkey = turn")

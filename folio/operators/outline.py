@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from folio.functions import text as T
 from folio.functions.matching import best_matches, similar_pairs
-from folio.operators.cleanup import near_keys, prose_words
+from folio.operators.cleanup import near_keys, one_edit, prose_words
 from folio.plans.catalog import Catalog
 from folio.sources.tables import table
 
@@ -177,7 +177,7 @@ def flag_spelling(docs: DataFrame, known: int = 20, most: int = 50, terms: DataF
     if terms is not None:
         n = n.join(terms.select(F.lower("term").alias("w")).distinct().withColumn("term", F.lit(True)), "w", "left").withColumn("n", F.when(F.col("term"), F.lit(known)).otherwise(F.col("n"))).drop("term")
     rare, common = n.where(F.col("n") < known).select("w", F.explode(near_keys("w")).alias("k")), n.where(F.col("n") >= known).select(F.col("w").alias("suggestion"), F.col("n").alias("common"), F.explode(near_keys("w")).alias("k"))
-    hits = rare.join(common, "k").where(F.levenshtein("w", "suggestion", 1) == 1).select("w", "suggestion", "common").distinct()
+    hits = rare.join(common, "k").where(one_edit("w", "suggestion")).select("w", "suggestion", "common").distinct()
     best = hits.withColumn("r", F.row_number().over(W.partitionBy("w").orderBy(F.col("common").desc(), "suggestion"))).where("r <= 3")
     best = best.groupBy("w").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "suggestion"))), lambda x: x["suggestion"]).alias("suggestions"))
     plain = words.where(F.col("word").rlike("^[a-z]") | F.expr("startswith(context, word)"))

@@ -76,3 +76,19 @@ def test_large_page_without_the_product(spark):
     assert matching.candidates(rest, b, ["d"], 0.9).count() < 1_000_000
     got = matching.best_matches(a.withColumnRenamed("s", "text"), b.withColumnRenamed("s", "title"), ["d"], 0.8)
     assert got.where("h = o").count() == 10_000 == got.count()
+
+
+def test_words_one_edit_apart(spark):
+    """Every pair at one insertion, deletion, replacement or swap of neighbours, and no other, of any length."""
+    from folio.operators.cleanup import near_keys, one_edit
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(7))) for _ in range(150)} - {""})
+
+    def apart(a, b):
+        near = {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + c + a[i + 1 :] for i in range(len(a)) for c in "abc"} | {a[:i] + c + a[i:] for i in range(len(a) + 1) for c in "abc"}
+        return b in near | {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)} - {a}
+
+    keys = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.explode(near_keys("w")).alias("k"))
+    got = {(r["w"], r["near"]) for r in keys.join(keys.withColumnRenamed("w", "near"), "k").where("w < near").distinct().where(one_edit("w", "near")).collect()}
+    assert got == {(a, b) for a in words for b in words if a < b and apart(a, b)}
