@@ -235,20 +235,6 @@ def likely_scanned(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ((_pages() > 0) & (F.col("n_chars") / _pages() < SCANNED_PER_PAGE)).alias("likely_scanned"))
 
 
-@CATALOG.add("p13", "SELECT doc_id, n_chars < 50 AND source IN ('src1', 'src2', 'src3') AS rerun FROM documents")
-def rerun_gate(spark, sf_dir):
-    """Recognise again when likely scanned and some finding asks for it."""
-    codes = F.array(F.col("source"), F.lit("other"))
-    return table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") < 50) & F.arrays_overlap(codes, F.array(F.lit("src1"), F.lit("src2"), F.lit("src3")))).alias("rerun"))
-
-
-@CATALOG.add("p14", "SELECT doc_id, s AS step, n_chars < 100 AS skipped FROM documents, (VALUES ('structure'), ('pages'), ('cleanup')) AS t(s)")
-def skipped_steps(spark, sf_dir):
-    """Every later step of a document without content is a skipped row."""
-    steps = F.explode(F.array(F.lit("structure"), F.lit("pages"), F.lit("cleanup")))
-    return table(spark, sf_dir, "documents").select("doc_id", steps.alias("step"), (F.col("n_chars") < 100).alias("skipped"))
-
-
 def is_real(kind: str, text: Column) -> Column:
     """Whether a match of a pattern passes the checks of its kind: areas and groups of SSNs, Luhn's digit of cards, the 97 rule of IBANs."""
     if kind == "US_SSN":

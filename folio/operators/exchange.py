@@ -33,15 +33,6 @@ def extracted(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
-@CATALOG.add("s35")
-def first_step(spark, sf_dir):
-    """Extraction with its figures of characters and pages."""
-    x = extract(table(spark, sf_dir, "pages"))
-    n = F.length("markdown")
-    pages = F.greatest(F.ceil(n / 1000.0).cast("int"), F.lit(1))
-    return x.select("page_id", n.alias("chars"), pages.alias("pages"), (n / pages < 50).alias("likely_scanned"))
-
-
 @CATALOG.add("s17", "SELECT doc_id, CASE WHEN length(trim(text)) < 10 THEN 'error' ELSE 'ok' END AS status FROM documents")
 def text_only(spark, sf_dir):
     """Too little text is a status, not an exception."""
@@ -111,20 +102,6 @@ def log_lines(spark, sf_dir):
 # --- external models: the dataflow around them, with a rule-based provider in their place -------------------------------
 
 
-def rule_outline(pages: DataFrame, key: str) -> DataFrame:
-    """The provider's structure of a page, from its markdown alone: headings with level, and attributes."""
-    lines = pages.select(key, "page", F.posexplode(F.split("markdown", "\n")).alias("n", "line"))
-    level = F.length(F.regexp_extract("line", T.HEADING, 1))
-    h = lines.where(F.col("line").rlike(T.HEADING)).select(key, "page", "n", level.alias("level"), F.regexp_extract("line", T.HEADING, 2).alias("text"))
-    return h.withColumn("ord", F.row_number().over(W.partitionBy(key).orderBy("page", "n")) - 1)
-
-
-def _pages(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    md = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), F.col("role"), F.lit("\n\n"), F.col("text"))
-    return c.select("conv_id", (F.col("turn") + 1).alias("page"), md.alias("markdown"))
-
-
 @CATALOG.add("e14", f"SELECT doc_id, {SQUEEZE_SQL.format(x=COLLAPSE_SQL.format(x=FOLD_SQL))} <> {FOLD_SQL} AS changed FROM documents")
 def cleaned_up(spark, sf_dir):
     """The final cleanup logs one change if it changed anything."""

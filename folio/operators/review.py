@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.functions.blocks import normal_form
 from folio.functions.matching import best_matches
+from folio.functions.pdf import objects
 from folio.operators.cleanup import apply_edits, prose_words
 from folio.operators.outline import IN_PAGE, LINE, best_in_page, flag_spelling
 from folio.plans.catalog import Catalog
@@ -326,16 +327,19 @@ def tiers(spark, sf_dir):
 
 
 def pdf_metadata(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """Metadata of PDF files (binary) from their plain objects: version, producer, creator, title, tagged, form type, form fields, pages and
-    their sizes, or an error for what is encrypted or no PDF.  Objects inside compressed streams are not seen."""
-    t = F.decode(content, "ISO-8859-1")
+    """Metadata of PDF files (binary) from their objects, those in compressed object streams included: version, producer, creator, title,
+    tagged, form type, form fields, pages and their sizes, or an error for what is encrypted or no PDF; `whole` is false where an object
+    stream could not be read.  Texts in hexadecimal or with escapes are as they stand; a page's size is its own, or its parents' where it has none.
+    """
+    files = files.withColumn("__pdf", objects(F.col(content)))
+    t = F.col("__pdf.text")
     name = lambda n: F.nullif(F.regexp_extract(t, rf"/{n}\s*\(([^)]*)\)", 1), F.lit(""))
     boxes = F.regexp_extract_all(t, F.lit(r"/MediaBox\s*\[\s*[-0-9.]+\s+[-0-9.]+\s+([-0-9.]+\s+[-0-9.]+)\s*\]"), F.lit(1))
     size = lambda b, i: F.round(F.get(F.split(b, r"\s+"), F.lit(i)).cast("double"), 1)
     form = F.when(F.contains(t, F.lit("/XFA")), 2).when(F.contains(t, F.lit("/AcroForm")), 1).otherwise(0)
     return files.select(
         key, F.when(~t.startswith("%PDF-"), "Data format error").when(F.contains(t, F.lit("/Encrypt")), "Incorrect password error").alias("error"), F.regexp_extract(t, r"^%PDF-(\d\.\d)", 1).alias("pdf_version"), name("Producer").alias("producer"), name("Creator").alias("creator"), name("Title").alias("title"),
-        t.rlike(r"/Marked\s+true").alias("is_tagged"), form.alias("form_type"), F.regexp_count(t, F.lit(r"/Subtype\s*/Widget\b")).alias("form_field_count"), F.regexp_count(t, F.lit(r"/Type\s*/Page\b(?!s)")).alias("page_count"), F.transform(boxes, lambda b: F.struct(size(b, 0).alias("w"), size(b, 1).alias("h"))).alias("page_dimensions"),
+        t.rlike(r"/Marked\s+true").alias("is_tagged"), form.alias("form_type"), F.regexp_count(t, F.lit(r"/Subtype\s*/Widget\b")).alias("form_field_count"), F.regexp_count(t, F.lit(r"/Type\s*/Page\b(?!s)")).alias("page_count"), F.transform(boxes, lambda b: F.struct(size(b, 0).alias("w"), size(b, 1).alias("h"))).alias("page_dimensions"), F.col("__pdf.whole").alias("whole"),
     )
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from folio.operators import classify, cleanup, exchange, joins, jobs, ledger, lifecycle, messages, outline, rates, review, rounds, stores, streams, structure, telemetry
+    from folio.operators import classify, cleanup, exchange, first_step, joins, jobs, ledger, lifecycle, messages, outline, rates, review, rounds, stores, streams, structure, telemetry
 
-    return [cleanup, classify, structure, outline, joins, ledger, jobs, telemetry, exchange, review, rounds, messages, rates, lifecycle, stores, streams]
+    return [cleanup, classify, first_step, structure, outline, joins, ledger, jobs, telemetry, exchange, review, rounds, messages, rates, lifecycle, stores, streams]
 
 
 def queries() -> dict:
