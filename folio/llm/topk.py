@@ -18,7 +18,8 @@ a page if d(q, centre) - radius is.  Bounds are widened by a rounding margin; sc
 Defined results: vectors that are null or empty or hold a null, NaN or infinite component take no part, nor do null ids;
 only vectors of the query's length are its candidates; rows with the query's own id aren't; repeated rows
 are candidates each; query rows with one id are one query, whose best are taken over all its vectors; ties go to the
-smaller id; an empty table gives no rows.  Scores must fit 63 bits.
+smaller id; an empty table gives no rows.  A vector whose scaled squared norm is 2^62 or more, so that its scores need not fit
+a long, takes no part either; `too_long` gives those.
 """
 
 from __future__ import annotations
@@ -116,11 +117,25 @@ class MTree:
         return best
 
 
+def _norm_of_doubles(v: Column, scale: int) -> Column:
+    """An upper bound of the scaled vector's squared norm, in doubles: components of any size add up, at worst to infinity."""
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(F.abs(x.cast("double")) * scale + 1.0, F.lit(2.0)))
+
+
+def _whole(v: Column) -> Column:
+    return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def too_long(vectors: DataFrame, vec_col: str = "embedding", scale: int = 256) -> DataFrame:
+    """The rows whose vectors are left out for their length alone."""
+    v = F.col(vec_col)
+    return vectors.where(F.when(v.isNotNull() & _whole(v), _norm_of_doubles(v, scale) >= 2.0**62).otherwise(False))
+
+
 def as_integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(vec_id, v array<long>) of the vectors that take part."""
     v = F.col(vec_col)
-    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    x = vectors.where(v.isNotNull() & (F.size(v) > 0) & F.col(id_col).isNotNull() & whole)
+    x = vectors.where(v.isNotNull() & (F.size(v) > 0) & F.col(id_col).isNotNull() & F.when(_whole(v), _norm_of_doubles(v, scale) < 2.0**62).otherwise(False))
     return x.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 

@@ -175,6 +175,14 @@ def brute_top(vectors, k=5):
     return sorted(out)
 
 
+def test_topk_leaves_out_what_no_long_can_score(spark):
+    rows = [(0, [1e300, 1.0]), (50, [3.0, 4.0]), (1, [1.0, 1.0]), (2, [1e12, 0.0]), (3, [-1e300, -1e300]), (4, [1e6, 1.0]), (5, [1.7e308, 1.7e308]), (6, [float("inf"), 0.0]), (7, None), (8, [float("nan"), 1.0]), (100, [1e300, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == [(50, 1, 4, 256 * 256 * (3_000_000 + 4)), (50, 2, 1, 256 * 256 * 7)]
+    assert sorted(r["vec_id"] for r in topk.too_long(df).collect()) == [0, 2, 3, 5, 100]
+
+
 def test_topk(spark):
     rng = random.Random(9)
     v = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(400)]
