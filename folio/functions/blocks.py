@@ -49,12 +49,18 @@ def lines_of(docs: DataFrame, key: str, column: str) -> DataFrame:
     return docs.select(key, F.posexplode(F.split(column, "\n", -1)).alias("n", "line"))
 
 
-def toggled(lines: DataFrame, key: str, fence: Column) -> DataFrame:
-    """(key, n, line, fence, inside): every fence line turns the inside on or off; it belongs to what it opens."""
-    x = lines.withColumn("fence", fence)
-    step = F.when(F.col("fence"), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    out = scan(x, key, "n", step, 2, ["line", "fence"]).select(key, F.inline("lines"))
-    return out.select(key, "n", "line", "fence", ((F.col("before") == 1) != F.col("fence")).alias("inside"))
+def toggled(lines: DataFrame, key: str, fence: Column, stretch: int = STRETCH) -> DataFrame:
+    """(key, n, line, fence, inside): every fence line turns the inside on or off; it belongs to what it opens.
+
+    On and off is a sum modulo 2, so the scan needs counts only: of stretches, summed over the stretches before, and within each.
+    """
+    x = lines.withColumns({"fence": fence, "__of": F.floor(F.col("n") / stretch)})
+    sums = x.groupBy(key, "__of").agg(F.sum(F.col("fence").cast("int")).alias("__own"))
+    before = F.coalesce(F.sum("__own").over(W.partitionBy(key).orderBy("__of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col(key).alias("__key"), F.col("__of").alias("__start"), before.alias("__before"))
+    within = F.sum(F.col("fence").cast("int")).over(W.partitionBy(key, "__of").orderBy("n"))
+    x = x.withColumn("__within", within).join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__of") == F.col("__start")))
+    return x.select(key, "n", "line", "fence", ((F.col("__before") + F.col("__within")) % 2 == 1).alias("inside"))
 
 
 # --- a normal form ---------------------------------------------------------------------------------------------------------------

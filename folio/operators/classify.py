@@ -253,8 +253,8 @@ def lifted(score: float) -> float:
     return min(1.0, max(score + LIFT, LIFT_LEAST))
 
 
-def personal_data(docs: DataFrame, key: str = "doc_id", column: str = "text", least: float = 0.85) -> DataFrame:
-    """(key, entity_type, start, end, score, text) of every match at or over the score, in code points.
+def personal_data(docs: DataFrame, key: str = "doc_id", column: str = "text", least: float = 0.85, only: list[str] | None = None) -> DataFrame:
+    """(key, entity_type, start, end, score, text) of every match at or over the score, in code points; of all kinds, or `only` some.
 
     Matches and the words of their context are found by one pattern each, with their offsets and how many blanks are before them; both
     meet in one order by offset within a document, and a match less than six blanks after a word of its context is worth more.
@@ -266,10 +266,13 @@ def personal_data(docs: DataFrame, key: str = "doc_id", column: str = "text", le
         pieces = F.transform(found, lambda t, i: F.struct(F.lit(name).alias("pattern"), F.lit(kind).alias("entity_type"), F.length(F.get(gaps, i)).alias("gap"), blanks(F.get(gaps, i)).alias("blanks"), blanks(t).alias("within"), t.alias("text"), F.lit(score).alias("score"), i.alias("i")))
         return F.when(F.col(column).rlike(pattern), pieces).otherwise(F.array().cast("array<struct<pattern:string,entity_type:string,gap:int,blanks:int,within:int,text:string,score:double,i:int>>"))
 
-    kinds = [e for e in ENTITIES if lifted(e[2]) >= least]
+    kinds = [e for e in ENTITIES if lifted(e[2]) >= least and (only is None or e[0] in only)]
+    any_ = F.lit(False)
+    for _, pattern, _ in kinds:
+        any_ = any_ | F.col(column).rlike(pattern)
     entities_, words = F.concat(*[spans(k, k, p, s) for k, p, s in kinds]), F.concat(*[spans(f"{k} context", k, r"(?i)\b(?:" + "|".join(CONTEXT[k]) + r")\b", -1.0) for k, _, _ in kinds])
-    x = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__found", entities_).where(F.size("__found") > 0)
-    x = x.select(F.col(key).alias("__key"), "__row", F.explode(F.concat("__found", words)).alias("f")).select("__key", "__row", "f.*")
+    x = docs.where(any_).withColumn("__row", F.monotonically_increasing_id())
+    x = x.select(F.col(key).alias("__key"), "__row", F.explode(F.concat(entities_, words)).alias("f")).select("__key", "__row", "f.*")
     w = W.partitionBy("__row", "pattern").orderBy("i")
     x = x.withColumn("end", F.sum(F.col("gap") + F.length("text")).over(w).cast("int")).withColumn("at", F.sum(F.col("blanks") + F.col("within")).over(w) - F.col("within"))
     x = x.withColumn("start", F.col("end") - F.length("text"))
@@ -284,9 +287,24 @@ def personal_data(docs: DataFrame, key: str = "doc_id", column: str = "text", le
 
 
 def with_findings(docs: DataFrame, key: str = "doc_id", column: str = "text", least: float = 0.85) -> DataFrame:
-    """Docs with `found`: whether any entity at or over the score is in the texts of their key."""
-    hits = personal_data(docs.select(key, column), key, column, least).select(F.col(key).alias("__hit")).distinct()
-    return docs.join(hits, F.col(key).eqNullSafe(F.col("__hit")) & F.col("__hit").isNotNull(), "left").withColumn("found", F.col("__hit").isNotNull()).drop("__hit")
+    """Docs with `found`: whether any entity at or over the score is in their text, or for what only its context can lift, in a text of
+    their key.  Only texts that have nothing certain, but a match and a word of its context, are searched for those."""
+
+    def real(kind: str, pattern: str) -> Column:
+        return F.exists(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), lambda t: is_real(kind, t))
+
+    certain, possible = F.lit(False), F.lit(False)
+    text, some = F.col(column), []
+    for kind, pattern, score in ENTITIES:
+        if score >= least:
+            certain = certain | F.coalesce(real(kind, pattern), F.lit(False))
+        elif lifted(score) >= least:
+            some.append(kind)
+            possible = possible | (text.rlike(pattern) & text.rlike(r"(?i)\b(?:" + "|".join(CONTEXT[kind]) + r")\b"))
+    x = docs.withColumn("__certain", certain)
+    hits = personal_data(x.where(~F.col("__certain") & possible).select(key, column), key, column, least, some).select(F.col(key).alias("__hit")).distinct()
+    x = x.join(hits, F.col(key).eqNullSafe(F.col("__hit")) & F.col("__hit").isNotNull(), "left")
+    return x.withColumn("found", F.col("__certain") | F.col("__hit").isNotNull()).drop("__hit", "__certain")
 
 
 _LUHN_SQL = "list_sum(list_transform(range(1, len({d}) + 1), lambda i: CASE WHEN (len({d}) - i) % 2 = 0 THEN CAST({d}[i] AS INTEGER) ELSE (CAST({d}[i] AS INTEGER) * 2) % 10 + (CAST({d}[i] AS INTEGER) * 2) // 10 END)) % 10 = 0".format(d="regexp_replace(t, '[^0-9]', '', 'g')")
