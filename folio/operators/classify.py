@@ -300,9 +300,9 @@ def with_findings(docs: DataFrame, key: str = "doc_id", column: str = "text", le
             certain = certain | F.coalesce(real(kind, pattern), F.lit(False))
         elif lifted(score) >= least:
             some.append(kind)
-            possible = possible | (text.rlike(pattern) & text.rlike(r"(?i)\b(?:" + "|".join(CONTEXT[kind]) + r")\b"))
+            possible = possible | (text.rlike(r"(?i)\b(?:" + "|".join(CONTEXT[kind]) + r")\b") & text.rlike(pattern))
     x = docs.withColumn("__certain", certain)
-    hits = personal_data(x.where(~F.col("__certain") & possible).select(key, column), key, column, least, some).select(F.col(key).alias("__hit")).distinct()
+    hits = personal_data(docs.where(possible & ~certain).select(key, column), key, column, least, some).select(F.col(key).alias("__hit")).distinct()
     x = x.join(hits, F.col(key).eqNullSafe(F.col("__hit")) & F.col("__hit").isNotNull(), "left")
     return x.withColumn("found", F.col("__certain") | F.col("__hit").isNotNull()).drop("__hit", "__certain")
 
