@@ -63,6 +63,19 @@ def toggled(lines: DataFrame, key: str, fence: Column, stretch: int = STRETCH) -
     return x.select(key, "n", "line", "fence", ((F.col("__before") + F.col("__within")) % 2 == 1).alias("inside"))
 
 
+#: A fence line up to its end.
+_FENCE = r"(?Umd)^[[\s\x1c-\x1f]&&[^\n]]*```[^\n]*"
+
+
+def lines_outside(text: Column) -> Column:
+    """The lines of a text, those of fences and inside them empty.
+
+    A text is in one row, so it is cut at its fence lines there: every other piece is inside, of which the line ends stay.
+    """
+    parts = F.transform(F.split(text, _FENCE, -1), lambda p, i: F.when(i % 2 == 0, p).otherwise(F.regexp_replace(p, r"[^\n]+", "")))
+    return F.split(F.array_join(parts, ""), "\n", -1)
+
+
 # --- a normal form ---------------------------------------------------------------------------------------------------------------
 
 #: States outside fences, by what came last, and inside, by the mark and its length (from 3; 6 stands for 6 and more).
@@ -112,15 +125,63 @@ def _written(line: Column, before: Column) -> Column:
     return F.when(before >= 6, F.array(line)).otherwise(outside)
 
 
+#: What lines are to the states: blank, indented, headings, text, and fence lines by mark, length and whether they are bare.
+BLANK_LINE, INDENTED_LINE, HEADING_LINE, TEXT_LINE, FENCE_LINE = range(5)
+
+
+def _line_kind(line: Column) -> Column:
+    mark, n, kind = _marks(line)
+    fence = FENCE_LINE + (mark == "~").cast("int") * 8 + (n - 3) * 2 + (kind == "open").cast("int")
+    return (
+        F.when(F.btrim(line, F.lit(" \t")) == "", BLANK_LINE)
+        .when(line.rlike("^ {0,3}(?:```|~~~)"), F.coalesce(fence, F.lit(TEXT_LINE)))
+        .when(line.rlike("^(?: {4}|\t)"), INDENTED_LINE)
+        .when(line.rlike(r"^#{1,6}[ \t]+"), HEADING_LINE)
+        .otherwise(TEXT_LINE)
+    )
+
+
+def _next_states() -> list[int]:
+    """The state after a line of each kind (in rows) from each state."""
+    out = []
+    for kind in range(FENCE_LINE + 16):
+        mark, n, bare = "`~"[(kind - FENCE_LINE) // 8 % 2], (kind - FENCE_LINE) % 8 // 2 + 3, (kind - FENCE_LINE) % 2 == 0
+        for s in range(6):
+            if kind == BLANK_LINE:
+                out.append({START: START, INDENTED: AFTER_INDENTED, AFTER_INDENTED: AFTER_INDENTED}.get(s, BLANK))
+            else:
+                out.append({INDENTED_LINE: INDENTED, HEADING_LINE: HEADING, TEXT_LINE: TEXT}.get(kind, _INSIDE[mark, n]))
+        out += [TEXT if kind >= FENCE_LINE and bare and mark == m and n >= k else s for (m, k), s in _INSIDE.items()]
+    return out
+
+
+def _states(kinds: Column, stretch: int) -> Column:
+    """The state before each line.  A text is in one row already, so its lines are folded there, in stretches, since an array grows by copies."""
+    after = F.array(*[F.lit(s) for s in _next_states()])
+    none = F.array().cast("array<int>")
+
+    def line(a, c):
+        return F.struct(F.get(after, c * STATES + a["s"]).alias("s"), F.array_append(a["out"], a["s"]).alias("out"))
+
+    def part(a, i):
+        run = F.aggregate(F.slice(kinds, i * stretch + 1, stretch), F.struct(a["s"].alias("s"), none.alias("out")), line)
+        return F.get(F.transform(F.array(run), lambda r: F.struct(r["s"].alias("s"), F.array_append(a["out"], r["out"]).alias("out"))), F.lit(0))
+
+    parts = F.sequence(F.lit(0), F.floor((F.size(kinds) - 1) / stretch).cast("int"))
+    return F.flatten(F.aggregate(parts, F.struct(F.lit(START).alias("s"), F.array().cast("array<array<int>>").alias("out")), part)["out"])
+
+
+def with_normal_form(docs: DataFrame, column: str, stretch: int = STRETCH) -> DataFrame:
+    """docs with the column in its normal form; no row leaves its task."""
+    lines = F.split(F.regexp_replace(column, "\r\n?", "\n"), "\n", -1)
+    x = docs.withColumn("__lines", lines).withColumn("__kinds", F.transform("__lines", _line_kind)).withColumn("__before", _states(F.col("__kinds"), stretch))
+    text = F.regexp_replace(F.array_join(F.flatten(F.zip_with("__lines", "__before", _written)), "\n"), r"\n+\z", "")
+    x = x.withColumn("__text", text)
+    return x.withColumn(column, F.when(F.col("__text") == "", F.col("__text")).otherwise(F.concat("__text", F.lit("\n")))).drop("__lines", "__kinds", "__before", "__text")
+
+
 def normal_form(docs: DataFrame, key: str, column: str) -> DataFrame:
     """(key, column) in a normal form: line ends, no trailing blanks, headings with one blank and blank lines around, `-` for bullets, one blank
-    line between blocks, one line end at the end.  Fenced code stays as it is, as do indented lines and blank lines after them; a key is
-    one text, a null text stays null."""
-    clean = F.regexp_replace(column, "\r\n?", "\n")
-    lines = lines_of(docs.select(key, clean.alias("__text")), key, "__text")
-    x = scan(lines, key, "n", structure_step(F.col("line")), STATES, ["line"])
-    part = F.flatten(F.transform("lines", lambda r: _written(r["line"], r["before"])))
-    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__of", "part"))), lambda v: v["part"]))
-    text = F.regexp_replace(F.array_join(whole, "\n"), r"\n+\z", "")
-    out = x.select(key, "__of", part.alias("part")).groupBy(key).agg(F.when(text == "", text).otherwise(F.concat(text, F.lit("\n"))).alias(column))
-    return docs.select(key).join(out, key, "left")
+    line between blocks, one line end at the end.  Fenced code stays as it is, as do indented lines and blank lines after them; a null text
+    stays null."""
+    return with_normal_form(docs.select(key, column), column)

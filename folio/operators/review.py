@@ -11,11 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.functions.blocks import normal_form
+from folio.functions.blocks import normal_form, with_normal_form
 from folio.functions.matching import best_matches
 from folio.functions.pdf import objects
-from folio.operators.cleanup import apply_edits, prose_words
-from folio.operators.outline import IN_PAGE, LINE, best_in_page, flag_spelling
+from folio.operators.cleanup import apply_edits, prose_of_text
+from folio.operators.outline import IN_PAGE, LINE, best_in_page, flag_spelling, spelling_places
 from folio.plans.catalog import Catalog
 from folio.sources.tables import stored, table
 
@@ -448,11 +448,11 @@ def line_search(spark, sf_dir):
 # --- spelling and formatting ------------------------------------------------------------------------------------------------
 
 
-def spelling_report(flags: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Flags as a text for the page model."""
+def spelling_report(flags: DataFrame, key: str = "doc_id", *more: Column) -> DataFrame:
+    """Flags as a text for the page model, with what else is asked of them."""
     line = F.concat(F.lit("- Line "), F.col("line").cast("string"), F.lit(': "'), "word", F.lit('" - suggestions: ['), F.array_join(F.transform("suggestions", lambda s: F.concat(F.lit('"'), s, F.lit('"'))), ", "), F.lit("]"))
     rows = F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("s")))), lambda v: v["s"])
-    return flags.groupBy(key).agg(F.concat(F.lit("Possible misspellings:\n"), F.array_join(rows, "\n")).alias("report"))
+    return flags.groupBy(key).agg(F.concat(F.lit("Possible misspellings:\n"), F.array_join(rows, "\n")).alias("report"), *more)
 
 
 @CATALOG.add("m12", "SELECT conv_id, turn, md5('# Head ' || turn || chr(10) || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || t || chr(10)) AS digest, abs(length('# Head ' || turn || chr(10) || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || t || chr(10)) - length('#  Head ' || turn || '  ##' || chr(10) || '* a  ' || chr(10) || '+ b' || chr(10) || chr(10) || chr(10) || chr(10) || t || '  ')) AS delta FROM (SELECT conv_id, turn, 'x ' || regexp_replace(text, '[^a-zA-Z]+', ' ', 'g') || 'x' AS t FROM conversations)")
@@ -476,12 +476,12 @@ def formatted_code(spark, sf_dir):
 
 def clean_and_flag(docs: DataFrame, key: str = "doc_id", column: str = "text", known: int = 20, most: int = 50) -> DataFrame:
     """Docs with the normal form, how many characters it changed, the prose words that were checked, and the flags as a report."""
-    x = stored(docs.join(normal_form(docs.select(key, F.col(column).alias("cleaned")), key, "cleaned"), key), "cleaned")
-    flags = stored(flag_spelling(x.select(key, "cleaned"), known, most, None, key, "cleaned"), "flags")
-    checked = prose_words(x.select(key, "cleaned"), key, "cleaned").groupBy(key).agg(F.count("*").alias("words_checked"))
-    flagged = flags.groupBy(key).agg(F.count("*").alias("words_flagged"))
-    x = x.join(checked, key, "left").join(flagged, key, "left").join(spelling_report(flags, key), key, "left")
-    return x.select(key, "cleaned", F.abs(F.length("cleaned") - F.length(column)).alias("formatting_changes"), F.coalesce("words_checked", F.lit(0)).alias("words_checked"), F.coalesce("words_flagged", F.lit(0)).alias("words_flagged"), F.coalesce("report", F.lit("")).alias("report"))
+    x = with_normal_form(docs.select(key, F.length(column).alias("before"), F.col(column).alias("cleaned")), "cleaned")
+    x = stored(x.withColumn("words_checked", F.coalesce(F.greatest(F.size(prose_of_text(F.col("cleaned"))), F.lit(0)).cast("long"), F.lit(0))), "cleaned")
+    flags = stored(spelling_places(x.select(key, "cleaned"), known, most, None, key, "cleaned"), "flags")
+    flagged = spelling_report(flags, key, F.count("*").alias("words_flagged"))
+    x = x.join(flagged, key, "left")
+    return x.select(key, "cleaned", F.abs(F.length("cleaned") - F.col("before")).alias("formatting_changes"), "words_checked", F.coalesce("words_flagged", F.lit(0)).alias("words_flagged"), F.coalesce("report", F.lit("")).alias("report"))
 
 
 @CATALOG.add("m14")

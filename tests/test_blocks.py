@@ -101,3 +101,18 @@ def test_prose_words_by_a_sequential_parser(spark):
                 want |= {(k, n, at, w) for at, w in enumerate(re.findall(r"\b[a-zA-Z]{2,}\b", x))}
     got = {(r["k"], r["line"], r["at"], r["word"]) for r in prose_words(spark.createDataFrame(docs, "k long, t string"), "k", "t").collect()}
     assert got == want
+
+
+def test_normal_form_over_many_stretches_in_its_row(spark):
+    """The fold goes on from stretch to stretch, and no row leaves its task."""
+    rng = random.Random(5)
+    docs = [(k, "\n".join(rng.choice(SOME) for _ in range(rng.randrange(500, 1500)))) for k in range(12)]
+    df = blocks.normal_form(spark.createDataFrame(docs, "k long, t string"), "k", "t")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: r["t"] for r in df.collect()} == {k: sequential(t.split("\n")) for k, t in docs}
+
+
+def test_prose_words_shuffle_no_text(spark):
+    df = prose_words(spark.createDataFrame([(1, "a line\n\r ```\nhidden\n```x\nthe end\x85```\nmore")], "k long, t string"), "k", "t")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r["line"], r["word"]) for r in df.collect()] == [(1, "line"), (5, "the"), (5, "end"), (6, "more")]
