@@ -1,4 +1,5 @@
 import difflib
+import random
 import unicodedata
 
 import pytest
@@ -36,6 +37,16 @@ def test_nfkc(spark):
     assert one(spark, T.nfkc, "ﬁ²é") == unicodedata.normalize("NFKC", "ﬁ²é")
 
 
+def test_nfkc_in_arrow_batches(spark):
+    rng = random.Random(3)
+    some = ["a", "e", "=", "\n", " ", "\u0301", "\u0338", "\u0323", "ﬁ", "²", "é", "가", "\u1100", "\u1161", "\u11a8", "\u2028", "\x85", "ẛ̣", "𝐀", "…", "ｱﾞ", "\u00a0", "…\r\n", "ﷺ"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(2000)] + [None, "", "plain\ntext"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.nfkc(F.col("t")).alias("y"))
+    # 250 is a batch in Arrow's form; as a pandas UDF (200) all of its texts were Python strings at once, twice
+    assert next(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in x).endswith(", 250")
+    assert all(r["y"] == (None if r["t"] is None else unicodedata.normalize("NFKC", r["t"])) for r in df.collect())
+
+
 def test_figures_keep_extra_marks(spark):
     y = one(spark, lambda x: T.figure_references(x, F.array(F.lit("figure-1")), F.array(F.lit("a]b"))), "p<!-- image -->q<!-- image -->")
     assert y == "p![a\\]b](figures/figure-1.png)q<!-- image -->"
