@@ -92,3 +92,28 @@ def test_words_one_edit_apart(spark):
     keys = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.explode(near_keys("w")).alias("k"))
     got = {(r["w"], r["near"]) for r in keys.join(keys.withColumnRenamed("w", "near"), "k").where("w < near").distinct().where(one_edit("w", "near")).collect()}
     assert got == {(a, b) for a in words for b in words if a < b and apart(a, b)}
+
+
+def test_pairs_of_a_large_key_in_cells(spark):
+    """Every pair of a key is met once, and none of the cells holds much more than its share."""
+    a = spark.range(300).selectExpr("id % 2 * 0 AS d", "id AS h", "'x' AS s", "1 AS n", "array(1) AS c").unionByName(spark.sql("SELECT 1L AS d, 7L AS h, 'y' AS s, 1 AS n, array(1) AS c"))
+    b = spark.range(3000).selectExpr("id * 0 AS d", "id AS o", "'x' AS s", "1 AS n", "array(1) AS c").unionByName(spark.sql("SELECT 1L AS d, 7L AS o, 'y' AS s, 1 AS n, array(1) AS c"))
+    got = matching._in_cells(a, b, ["d"])
+    assert got.count() == got.select("d", "h", "o").distinct().count() == 900_001
+    cells = [r["count"] for r in got.groupBy("d", "cx", "cy").count().collect()]
+    assert len(cells) == 16 and max(cells) < 2 * matching.CELL[0] * matching.CELL[1]
+
+
+def test_common_subsequence_bounds_the_ratio():
+    rng = random.Random(8)
+    for x in lines(rng, 60):
+        for y in rng.sample(lines(rng, 40), 5):
+            masks = {}
+            for i, c in enumerate(x):
+                masks[c] = masks.get(c, 0) | 1 << i
+            got, row = matching._common(masks, len(x), y), [0] * (len(y) + 1)
+            for c in x:
+                row = [0, *(old := row)[1:]]
+                for j, d in enumerate(y):
+                    row[j + 1] = old[j] + 1 if c == d else max(row[j], old[j + 1])
+            assert got == row[-1] and 2 * got >= like(x, y) * (len(x) + len(y)) - 1e-6
