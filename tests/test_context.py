@@ -1,5 +1,6 @@
 """Recognisers with context: scores rise beside words of the kind, offsets stay exact."""
 
+import json
 import random
 import re
 
@@ -37,3 +38,12 @@ def test_context_lifts(spark):
     assert passed == {0, 2, 5, 7}
     found = {r["doc_id"]: r["found"] for r in classify.with_findings(df.where("doc_id < 9 OR doc_id = 900")).collect()}
     assert found == {k: k in passed for k in [*range(9), 900]}
+
+
+def test_texts_are_searched_once_a_pattern(spark):
+    """A pattern is in the plan where texts are searched and where they are cut, not also in filters and for every piece."""
+    pattern = next(p for k, p, _ in classify.ENTITIES if k == "US_SSN")
+    found = classify.personal_data(spark.sql("SELECT 1L AS doc_id, text FROM VALUES ('ssn 078-05-1120') AS t(text)").repartition(2), least=0.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toJSON()
+    assert 0 < plan.count(json.dumps(pattern)[1:-1]) <= 3
+    assert [(r["entity_type"], r["start"], r["end"], r["score"]) for r in found.collect()] == [("US_SSN", 4, 15, 1.0)]
