@@ -7,6 +7,8 @@ their last samples, so a series of any length spreads over tasks; windows are th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,9 +54,12 @@ def rate(samples: DataFrame, labels: list[str], range_us: int, step_us: int) ->
     The increase between the window's first and last sample is carried on to its edges if they are near (1.1 times the samples' average
     distance), else by half that distance, and at the front not beyond where the counter would be 0.
     """
-    x = counter_steps(samples, labels).withColumn("at_us", F.explode(windows_of(F.col("us"), range_us, step_us)))
-    first = F.min(F.struct("us", "n", "value", "step"))
-    x = x.groupBy(*labels, "at_us").agg(F.count("*").alias("k"), first.alias("first"), F.max("us").alias("last"), F.sum("step").alias("steps")).where("k >= 2 AND last > first.us")
+    # samples are added up in panes that windows consist of, so that windows copy panes, not samples
+    pane = math.gcd(range_us, step_us)
+    x = counter_steps(samples, labels).withColumn("pane", F.expr(f"(us + {pane - 1} - pmod(us + {pane - 1}, {pane})) div {pane} * {pane}"))
+    x = x.groupBy(*labels, F.col("pane").alias("us")).agg(F.count("*").alias("k"), F.min(F.struct("us", "n", "value", "step")).alias("first"), F.max("us").alias("last"), F.sum("step").alias("steps"))
+    x = x.withColumn("at_us", F.explode(windows_of(F.col("us"), range_us, step_us)))
+    x = x.groupBy(*labels, "at_us").agg(F.sum("k").alias("k"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("steps").alias("steps")).where("k >= 2 AND last > first.us")
     x = x.withColumns({"increase": F.col("steps") - F.col("first.step"), "span": (F.col("last") - F.col("first.us")) / 1e6, "front": (F.col("first.us") - (F.col("at_us") - range_us)) / 1e6, "back": (F.col("at_us") - F.col("last")) / 1e6})
     mean = F.col("span") / (F.col("k") - 1)
     zero = F.when((F.col("increase") > 0) & (F.col("first.value") >= 0), F.col("span") * F.col("first.value") / F.col("increase"))

@@ -69,3 +69,13 @@ def test_share_and_drain(spark):
     assert {x["at_us"]: x["share"] for x in rates.share(r, r["s"] == "ok").collect()} == {1: 75.0, 2: None}
     d = spark.createDataFrame([("q", 1, 8.0), ("p", 1, 2.0)], "s string, at_us long, value double")
     assert [(x["at_us"], x["depth"], round(x["seconds"], 6)) for x in rates.drain(d, r).collect()] == [(1, 10.0, round(10 / 4.001, 6))]
+
+
+def test_windows_copy_panes_not_samples(spark):
+    """A sample that lies in many windows is sorted once: of 3000 samples in 12 windows each, what windows copy is panes."""
+    df = spark.range(3000).selectExpr("'a' AS job", f"(id + 1) * {S} AS us", "id AS n", "CAST(id AS DOUBLE) AS value").repartition(1)
+    got = rates.rate(df, ["job"], 1200 * S, 100 * S).orderBy("at_us")
+    rows = got.collect()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("min(struct(")
+    assert len(rows) == 41 and all(abs(r["rate"] - 1.0) < 0.01 for r in rows[11:30])
