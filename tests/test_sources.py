@@ -33,3 +33,10 @@ def test_images_without_data_are_skipped(spark):
 
     df = spark.createDataFrame([("j1", "a", "QUJD"), ("j1", "b", ""), ("j1", "c", None), ("j2", "a", "data:image/png;base64,QUJD"), ("j2", "b", "data:image/png;base64,"), ("j2", "c", "no base64!")], "job_id string, ref_id string, image_base64 string")
     assert sorted((r["key"], bytes(r["content"])) for r in figure_objects(df, "job_id", "figures").collect()) == [("results/j1/figures/a.png", b"ABC"), ("results/j2/figures/a.png", b"ABC")]
+
+
+def test_stored_tables_are_compressed_well(spark):
+    from folio.sources.tables import stored
+
+    got = stored(spark.range(10).selectExpr("id", "repeat('a', 50) AS t"), "test")
+    assert all(f.endswith(".zstd.parquet") for f in got.inputFiles()) and got.count() == 10
