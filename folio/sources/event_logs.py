@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from folio.sources.objects import _open
+from folio.streaming.keyed import by_key
 
-#: Bytes of logs that one task is dealt, if there are several logs.
-TASK_BYTES = 32 << 20
+#: Bytes of logs that one task is dealt, if there are several logs, and how many logs.
+TASK_BYTES, TASK_LOGS = 32 << 20, 1000
 _SCHEMA = "session string, id long, event string, data string, malformed boolean"
 _TAIL = 1 << 16
 _HEARTBEAT = ":"
@@ -97,7 +97,7 @@ class _Reader(DataSourceStreamReader):
             since = start["logs"].get(session, 0)
             if upto <= since:
                 continue
-            if logs and size + upto - since > TASK_BYTES:
+            if logs and (size + upto - since > TASK_BYTES or len(logs) == TASK_LOGS):
                 parts.append(_Part(logs))
                 logs, size = [], 0
             logs.append((session, since, upto))
@@ -146,28 +146,21 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("folio_events").load(path)
 
 
-class _Once(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "id long")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001
-        last = self.last.get()[0] if self.last.exists() else -1
-        given: set = set()
-        for frame in rows:
-            good = ~frame["malformed"].astype(bool)
-            new = good & (frame["id"] > last) & ~frame["id"].isin(given) & ~frame["id"].where(good).duplicated()
-            given.update(frame["id"][new].astype(int).tolist())
-            yield frame[new | ~good].astype({"id": "Int64"})
-        if given:
-            self.last.update((max(given),))
-
-    def close(self) -> None:
-        pass
+def _once(key, rows, state, now):  # noqa: ANN001
+    last = state[0] if state else -1
+    given: set = set()
+    out = []
+    for id_, event, data, malformed in rows:
+        if malformed or (id_ > last and id_ not in given):
+            out.append((key, None if id_ != id_ else id_, event, data, malformed))
+            if not malformed:
+                given.add(id_)
+    return ((int(max(given)),) if given else state), None, out
 
 
 def once(logs: DataFrame) -> DataFrame:
     """The rows of read_stream without events that were appended again: ids only grow in a log, so the last one is all that is kept of it."""
-    return logs.groupBy("session").transformWithStateInPandas(_Once(), _SCHEMA, "Append", "None")
+    return by_key(logs, "session", ["id", "event", "data", "malformed"], [], _SCHEMA, "id long", _once)
 
 
 def append(events: DataFrame, path: str) -> DataFrame:
