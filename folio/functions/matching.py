@@ -187,6 +187,25 @@ def best_matches(left: DataFrame, right: DataFrame, keys: list[str], least: floa
     return found
 
 
+def ratio_at_least(masks: dict, x: str, y: str, floor: float) -> float | None:
+    """The ratio of x (with its places by character) and y, if it is floor or more."""
+    import difflib
+
+    t = len(x) + len(y)
+    if 2.0 * min(len(x), len(y)) / t < floor - 1e-9 or 2.0 * _common(masks, len(x), y) / t < floor - 1e-9:
+        return None
+    r = difflib.SequenceMatcher(None, x, y).ratio()
+    return r if r >= floor else None
+
+
+def places_of(x: str) -> dict:
+    """Bits of x's places by character."""
+    masks: dict = {}
+    for i, c in enumerate(x):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float, text: str = "text", title: str = "title") -> DataFrame:
     """(keys, h, o, ratio): all pairs of equal keys whose ratio is `least` or more."""
     return _scored(prepared(left, keys, "h", text), prepared(right, keys, "o", title), keys, least)

@@ -6,13 +6,14 @@ A provider's rows have a kind: edits, a note, a rewrite, or an error, which leav
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.functions.blocks import normal_form, with_normal_form
-from folio.functions.matching import best_matches
+from folio.functions.matching import MANY_PAIRS, best_matches, places_of, ratio_at_least
 from folio.functions.pdf import objects
 from folio.operators.cleanup import apply_edits, prose_of_text
 from folio.operators.outline import IN_PAGE, LINE, best_in_page, flag_spelling, spelling_places
@@ -24,6 +25,8 @@ CATALOG = Catalog()
 # Superscript digits; what may follow a footnote's marker; what ends a cut text; limits of notes and searches.
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
 AFTER_MARKER = r"(?:\s|[,;.)\]]|$)"
+#: White space but line ends and the blank itself, as (?U)[\\s\\x1c-\\x1f] has it.
+BLANKS = r"\t\x0B\f\r\x1c-\x1f\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BODY, BODY_LINE, MARKER_CONTEXTS = 0.6, 0.5, 3
 
 
@@ -376,12 +379,79 @@ def search_text(x: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(F.translate(T.nfkc(x), SUPERSCRIPTS, "0123456789")), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def footnote_places(docs: DataFrame, footnotes: DataFrame, key: str = "doc_id", column: str = "text", around: int = 3) -> DataFrame:
+def _search_lines(x: Column) -> Column:
+    """search_text of each line, the text normalised as one."""
+    one = F.regexp_replace(F.lower(F.translate(T.nfkc(x), SUPERSCRIPTS, "0123456789")), f" [ {BLANKS}]+|[{BLANKS}][ {BLANKS}]*", " ")
+    return F.transform(F.split(one, "\n", -1), lambda v: F.btrim(v))
+
+
+def footnote_places(docs: DataFrame, footnotes: DataFrame, key: str = "doc_id", column: str = "text", around: int = 3, many: int = MANY_PAIRS) -> DataFrame:
     """(key, number, n, strategy, context): the first line that begins with a footnote's number and is like the first 60 characters of its
     text (0.6 at least); else the line that is most like its first 80 (0.5 at least, lines of ten characters or more); with three lines on either side.
 
-    footnotes: key, number, body_text.  Those that are found nowhere have no row.
+    footnotes: key, number, body_text.  Those that are found nowhere have no row.  A document meets its footnotes in its own row; where
+    lines times footnotes exceed `many`, its lines become rows.
     """
+    notes_ = footnotes.select(key, "number", search_text(F.col("body_text")).alias("body")).dropDuplicates([key, "number"])
+    counts = docs.select(key, F.size(F.split(column, "\n", -1)).cast("long").alias("lines")).where("lines > 0").join(footnotes.groupBy(key).agg(F.count("*").alias("notes")), key)
+    large = stored(counts.where(F.col("lines") * F.col("notes") > many).select(key), "large")
+    if large.isEmpty():
+        return _places_in_rows(docs, notes_, key, column, around)
+    few, some = (lambda x: x.join(large, key, "left_anti")), (lambda x: x.join(large, key, "left_semi"))
+    return _places_in_rows(few(docs), few(notes_), key, column, around).unionByName(_places_by_lines(some(docs), some(footnotes), key, column, around))
+
+
+def _places_in_rows(docs: DataFrame, notes_: DataFrame, key: str, column: str, around: int) -> DataFrame:
+    """footnote_places of documents whose lines and footnotes (key, number, body) are few enough to meet in one row."""
+    own = notes_.groupBy(key).agg(F.collect_list(F.struct("number", "body")).alias("notes"))
+    x = docs.select(key, F.col(column).alias("text")).join(own, key).withColumn("ls", F.split("text", "\n", -1))
+    after = lambda s, f: F.substring(s, F.length(f["number"]) + 1, F.lit(1))
+    begins = lambda s, f: F.startswith(s, f["number"]) & after(s, f).isin(" ", ".")
+    skip = lambda s, f: F.length(f["number"]) + F.when((after(s, f) == ".") & (F.substring(s, F.length(f["number"]) + 2, F.lit(1)) == " "), 2).otherwise(1)
+    rest = lambda s, f: T.strip(F.substring(s, skip(s, f) + 1, F.length(s)))
+    at = lambda s, n: F.transform(F.filter("notes", lambda f: begins(s, f)), lambda f: F.struct(n.cast("long").alias("n"), f["number"].alias("number"), rest(s, f).alias("rest")))
+    x = x.withColumn("s", F.transform("ls", T.strip)).withColumn("numbered", F.flatten(F.transform("s", at)))
+    x = x.withColumns({"rests": _search_lines(F.array_join(F.transform("numbered", lambda v: v["rest"]), "\n")), "searched": _search_lines(F.col("text"))})
+
+    def run(batches):  # noqa: ANN001
+        for b in batches:
+            found: list = []
+            for row, (notes, ls, numbered, rests, searched) in enumerate(zip(*[b.column(c).to_pylist() for c in ("notes", "ls", "numbered", "rests", "searched")], strict=True)):
+                if ls is None:
+                    continue
+                first: dict = {}
+                for v, s in zip(numbered, rests, strict=False):  # without numbered lines the joined text is one empty line
+                    first.setdefault(v["number"], []).append((v["n"], s[:60]))
+                wide = [(n, s[:80]) for n, s in enumerate(searched) if len(s) >= 10]
+                for f in notes:
+                    hit = place_of_note(f["body"], first.get(f["number"], []), wide)
+                    if hit:
+                        lo, hi = max(hit[0] - around, 0), hit[0] + around + 1
+                        found.append((row, f["number"], *hit, "\n".join(f"  L{lo + k + 1}: {v}" for k, v in enumerate(ls[lo:hi]))))
+            rows, number, n, strategy, context = zip(*found, strict=True) if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows, pa.int64())), pa.array(number, pa.string()), pa.array(n, pa.int64()), pa.array(strategy, pa.string()), pa.array(context, pa.string())], [key, "number", "n", "strategy", "context"])
+
+    return x.select(key, "notes", "ls", "numbered", "rests", "searched").mapInArrow(run, f"`{key}` {x.schema[key].dataType.simpleString()}, number string, n long, strategy string, context string")
+
+
+def place_of_note(body: str | None, numbered: list, wide: list) -> tuple[int, str] | None:
+    """(line, strategy) of a footnote's text among the lines with its number, and among all: each (n, text), by n."""
+    if not body:
+        return None
+    a, masks = body[:60], places_of(body[:60])
+    for n, s in numbered:
+        if s and ratio_at_least(masks, a, s, BODY) is not None:
+            return n, "number"
+    a, masks, best = body[:80], places_of(body[:80]), None
+    for n, s in wide:
+        r = ratio_at_least(masks, a, s, best[0] if best else BODY_LINE)
+        if r is not None and (best is None or r > best[0]):
+            best = r, n
+    return (best[1], "text") if best else None
+
+
+def _places_by_lines(docs: DataFrame, footnotes: DataFrame, key: str, column: str, around: int) -> DataFrame:
+    """footnote_places of documents with many lines and footnotes: lines are rows, and pairs are met in cells or through the index."""
     lines = docs.select(key, F.posexplode(F.split(column, "\n", -1)).alias("n", "line")).withColumn("s", T.strip(F.col("line")))
     notes_ = footnotes.select(key, "number", search_text(F.col("body_text")).alias("body")).dropDuplicates([key, "number"])
     # a line that begins with a number of a document has one of these numbers' lengths before a blank or a dot
