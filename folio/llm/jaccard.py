@@ -11,8 +11,10 @@ as long as a set has at most `slack` empty segments.  A set with more makes up f
 neighbourhoods of its segments (a neighbourhood covers two differences at the cost of the segment's size), and
 where even these are too few, by signatures for its empty segments.
 
-Signatures go to buckets as packed arrays, one row per block of documents and bucket.  A bucket returns the distinct
-lists of classes (documents with equal sets count once) that share signatures, and how many each list shares.
+Documents with equal sets are a class, and the first of them stands for it.  Signatures of these go to buckets as packed
+arrays, one row per block of documents and bucket, with the place of the document in its block and nothing else, so that
+what a signature costs does not follow the number of buckets.  A bucket returns the distinct lists of classes that share
+signatures, and how many each list shares; sizes and needed signatures are joined to classes, not sent with signatures.
 A similar pair shares more than one signature: at least m minus its greatest symmetric difference minus a set's empty
 segments.  So a class with fewer shared signatures than it needs leaves all lists, whatever they are (a common
 passage alone is never enough), and lists are thinned until none leaves.  Pairs are verified exactly on the sets:
@@ -104,14 +106,24 @@ def class_of(s: np.ndarray) -> int:
         return int(mix(x[:1] * np.uint64(3) + x[1:])[0].view(np.int64))
 
 
+def _segments(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of a set's tokens, and where each that holds some begins."""
+    seg = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # sorted, as s is
+    return seg, np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+
+
+def needs(s: np.ndarray, bands: Bands) -> list[int]:
+    """How many signatures a set needs in its own scheme and, if it is in one, the scheme below."""
+    return [bands.needed(len(s), b, bands.segments[b] - len(_segments(s, bands.segments[b])[1])) for b in bands.schemes(len(s))]
+
+
 def signatures(s: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, int]]:
     """Of a set, for its own scheme and, if it is in one, the scheme below: (distinct signatures, how many of them it needs)."""
     every = []
     with np.errstate(over="ignore"):
         for b in bands.schemes(len(s)):
             m, out = bands.segments[b], []
-            seg = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # sorted, as s is
-            first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+            seg, first = _segments(s, m)
             salted = s * np.uint64(0x9E6C63D0876A9A47)
             sums, at = np.add.reduceat(salted, first), seg[first]
             tag = (np.uint64(b + 1) << np.uint64(40)) + at.astype(np.uint64)
@@ -129,23 +141,25 @@ def signatures(s: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, int]]:
     return every
 
 
-def _blocks(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows by block: -1 its texts, -2 (doc_id null, doc_id, size, class) of its documents."""
+def _blocks(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows by block: -1 its texts, -2 (doc_id null, doc_id, size, set, needed signatures) of its documents."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
 
         forget()
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, bands = TaskContext.get().partitionId(), 0, Bands(num, den)
 
         def emit(block, ids, texts):
             raw = _pack_block(ids, pa.concat_arrays(texts))
             own, offs, none, data = _unpack_block(raw)
-            n, cls = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            n, cls, need = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros((2, len(own)), np.int32)
             for d, s in enumerate(sets_of(data, offs, k)):
                 n[d], cls[d] = len(s), class_of(s)
-            rows = [(-1, raw), (-2, np.int64(len(own)).tobytes() + own.tobytes() + n.tobytes() + cls.tobytes() + none.tobytes())]
+                for below, least in enumerate(needs(s, bands) if len(s) else ()):
+                    need[below, d] = least
+            rows = [(-1, raw), (-2, b"".join(x.tobytes() for x in (np.int64(len(own)), own, n, cls, need, none)))]
             return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "payload"])
 
         ids: list = []
@@ -169,17 +183,22 @@ def _blocks(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return id_text(docs, id_col, text_col).mapInArrow(run, "block long, bucket int, payload binary")
 
 
-def _deal(token: np.ndarray, who: np.ndarray, labels: list[int], header):
-    """(bucket, payload) rows of 64-bit values with their owners: header(owners) first, then 5 bytes and an owner's place each."""
+def _deal(token: np.ndarray, who: np.ndarray, labels: list[int], header=None):
+    """(bucket, payload) rows of 64-bit values with their owners: header(owners) first, then 5 bytes and an owner's place each.
+
+    Without a header, owners are given as they are.
+    """
     bucket = ((token >> np.uint64(40)) * np.uint64(len(labels)) >> np.uint64(24)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(len(labels) + 1))
     for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         x = order[cuts[b] : cuts[b + 1]]
-        owners, of = np.unique(who[x] >> 1, return_inverse=True)
-        of = 2 * of + (who[x] & 1)
-        kind = np.dtype("<u2" if 2 * len(owners) < 1 << 16 else "<u4")
-        yield labels[b], b"".join([np.array([len(owners), kind.itemsize], np.int64).tobytes(), header(owners), token[x].astype("<u4").tobytes(), (token[x] >> np.uint64(32)).astype(np.uint8).tobytes(), of.astype(kind).tobytes()])
+        owners, of = np.zeros(0, np.int64), who[x]
+        if header:
+            owners, of = np.unique(who[x] >> 1, return_inverse=True)
+            of = 2 * of + (who[x] & 1)
+        kind = np.dtype("<u2" if of.max() < 1 << 16 else "<u4")
+        yield labels[b], b"".join([np.array([len(owners), kind.itemsize], np.int64).tobytes(), header(owners) if header else b"", token[x].astype("<u4").tobytes(), (token[x] >> np.uint64(32)).astype(np.uint8).tobytes(), of.astype(kind).tobytes()])
 
 
 def _dealt(raw: bytes, header_bytes: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -191,30 +210,30 @@ def _dealt(raw: bytes, header_bytes: int) -> tuple[int, np.ndarray, np.ndarray]:
     return m, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), np.frombuffer(raw, "<u2" if wide == 2 else "<u4", n, at + 5 * n)
 
 
-def _signed(k: int, num: int, den: int, labels: list[int]):
-    """Signatures of the blocks' distinct sets, dealt to buckets."""
-
-    def run(batches):
+def _signed(left: pa.Table, right: pa.Table, k: int, num: int, den: int, labels: list[int]) -> pa.Table:
+    """Signatures of those sets of a block that stand for their class, dealt to buckets."""
+    rows: list[tuple] = []
+    if left.num_rows and right.num_rows:
         forget()
         bands = Bands(num, den)
-        for batch in batches:
-            for raw in batch.column("payload"):
-                _, offs, _, data = _unpack_block(raw.as_py())
-                seen: set[int] = set()
-                sigs, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-                cls, n, need = np.zeros(len(offs) - 1, np.int64), np.zeros(len(offs) - 1, np.int64), np.zeros((len(offs) - 1, 2), np.int32)
-                for d, s in enumerate(sets_of(data, offs, k)):
-                    n[d], cls[d] = len(s), class_of(s)
-                    if len(s) and int(cls[d]) not in seen:
-                        seen.add(int(cls[d]))
-                        for below, (x, least) in enumerate(signatures(s, bands)):
-                            sigs.append(x)
-                            of.append(np.full(len(x), 2 * d + below, np.uint32))
-                            need[d, below] = least
-                rows = list(_deal(np.concatenate(sigs), np.concatenate(of), labels, lambda o: cls[o].tobytes() + n[o].tobytes() + need[o].tobytes()))  # noqa: B023
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["bucket", "payload"])
-
-    return run
+        _, offs, _, data = _unpack_block(left.column("payload")[0].as_py())
+        wanted = np.zeros(len(offs) - 1, bool)
+        wanted[right.column("pos").to_numpy()] = True
+        sigs, of = [], []
+        for d, s in enumerate(sets_of(data, offs, k)):
+            if wanted[d]:
+                for below, (x, _) in enumerate(signatures(s, bands)):
+                    sigs.append(x)
+                    of.append(np.full(len(x), 2 * d + below, np.uint32))
+        block = left.column("block")[0].as_py()
+        rows = [(block, *x) for x in _deal(np.concatenate(sigs), np.concatenate(of), labels)]
+    return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "bucket", "payload"])
+
+
+def _named(block: int, pos: np.ndarray) -> np.ndarray:
+    """64-bit names of the documents of a block."""
+    with np.errstate(over="ignore"):
+        return mix(mix(np.array([block], np.int64).view(np.uint64)) + pos.astype(np.uint64) * np.uint64(0x9E6C63D0876A9A47)).view(np.int64)
 
 
 def _documents(batches):
@@ -223,21 +242,20 @@ def _documents(batches):
         for block, raw in zip(b.column("block").to_pylist(), b.column("payload").to_pylist(), strict=True):
             m = int(np.frombuffer(raw, np.int64, 1)[0])
             ids, n, cls = (np.frombuffer(raw, np.int64, m, 8 + 8 * m * x) for x in range(3))
-            none = np.frombuffer(raw, np.uint8, m, 8 + 24 * m).astype(bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(m)), pa.array(ids, mask=none), pa.array(n), pa.array(cls)], ["block", "pos", "doc_id", "n", "cls"])
+            need, down = (np.frombuffer(raw, np.int32, m, 8 + 24 * m + 4 * m * x) for x in range(2))
+            none = np.frombuffer(raw, np.uint8, m, 8 + 32 * m).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(m)), pa.array(ids, mask=none), pa.array(n), pa.array(cls), pa.array(_named(block, np.arange(m))), pa.array(need), pa.array(down)], ["block", "pos", "doc_id", "n", "own", "cls", "need", "down"])
 
 
 def _lists(table: pa.Table) -> pa.Table:
     """Of one bucket: the distinct lists of two or more classes that share signatures, with the number they share here."""
-    sig, cls, size, need, below = [], [], [], [], []
-    for raw in table.column("payload").to_pylist():
-        m, value, of = _dealt(raw, 24)
+    sig, cls, below = [], [], []
+    for block, raw in zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        _, value, of = _dealt(raw, 0)
         sig.append(value)
-        cls.append(np.frombuffer(raw, np.int64, m, 16)[of >> 1])
-        size.append(np.frombuffer(raw, np.int64, m, 16 + 8 * m)[of >> 1])
-        need.append(np.frombuffer(raw, np.int32, 2 * m, 16 + 16 * m)[of])
+        cls.append(_named(block, of >> 1))
         below.append((of & 1).astype(bool))
-    sig, cls, size, need, below = map(np.concatenate, (sig, cls, size, need, below))
+    sig, cls, below = map(np.concatenate, (sig, cls, below))
     order = np.argsort(sig, kind="stable")
     s = sig[order]
     same = np.zeros(len(s), bool)
@@ -248,7 +266,7 @@ def _lists(table: pa.Table) -> pa.Table:
     new = np.ones(len(order), bool)
     new[1:] = (sig[order][1:] != sig[order][:-1]) | (cls[order][1:] != cls[order][:-1])
     order = order[new]
-    s, c, n, least, down = sig[order], cls[order], size[order], need[order], below[order]
+    s, c, down = sig[order], cls[order], below[order]
     first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(s)))
     with np.errstate(over="ignore"):  # the same classes in another scheme are another list: which of them are below their own tells
@@ -262,7 +280,7 @@ def _lists(table: pa.Table) -> pa.Table:
     at = ragged(first[keep], lens)
     offs = pa.array(np.append(0, np.cumsum(lens)).astype(np.int32))
     as_list = lambda v: pa.ListArray.from_arrays(offs, pa.array(v[at]))
-    return pa.table({"digest": pa.array(digest[keep].view(np.int64)), "size": pa.array(lens.astype(np.int32)), "shared": pa.array(shared.astype(np.int64)), "cls": as_list(c), "n": as_list(n), "need": as_list(least), "below": as_list(down)})
+    return pa.table({"digest": pa.array(digest[keep].view(np.int64)), "size": pa.array(lens.astype(np.int32)), "shared": pa.array(shared.astype(np.int64)), "cls": as_list(c), "below": as_list(down)})
 
 
 def _elsewhere(table: pa.Table, labels: list[int]) -> pa.Table:
@@ -388,8 +406,8 @@ def _sets_at(block: pa.Table, places: list[int], k: int):
         yield next(sets_of(text, np.array([0, len(text)], np.int64), k))
 
 
-def thin(member: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Members of lists (digest, size, shared, cls, n, need, below) without the classes that share too little there.
+def thin(member: DataFrame, facts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Members of lists (digest, size, shared, cls, below) without the classes that share too little there, by facts (cls, need, down).
 
     With labels, only lists that hold another component than the class's own count.  Lists that are left with one
     class, or one component, go.
@@ -400,11 +418,11 @@ def thin(member: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     key = ["digest", "size"]
     ends = member.groupBy(*key).agg(F.min(what).alias("__x"), F.max(what).alias("__y")).where("__x <> __y").select(*key)
     open_ = member.join(ends, key)
-    enough = open_.groupBy("cls", "below").agg(F.sum("shared").alias("__s"), F.max("need").alias("__n")).where("__s >= __n").select("cls", "below")
-    return materialize(open_.join(enough, ["cls", "below"]).select(*key, "shared", "cls", "n", "need", "below"), "thin")
+    enough = open_.groupBy("cls", "below").agg(F.sum("shared").alias("__s")).join(facts, "cls").where("__s >= if(below, down, need)").select("cls", "below")
+    return materialize(open_.join(enough, ["cls", "below"]).select(*key, "shared", "cls", "below"), "thin")
 
 
-def _stars(member: DataFrame, close, tried: DataFrame | None = None) -> DataFrame:
+def _stars(member: DataFrame, facts: DataFrame, close, tried: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b): for each class b one pivot a near it in size, the one that shares most with its lists' members.
 
     The original of a group of near copies shares more with them than they do with each other, so it comes first.
@@ -412,7 +430,7 @@ def _stars(member: DataFrame, close, tried: DataFrame | None = None) -> DataFram
     """
     key = ["digest", "size"]
     weight = member.groupBy("cls").agg(F.sum(F.col("shared") * (F.col("size") - 1)).alias("w"))
-    x = member.join(weight, "cls")
+    x = member.join(weight.join(facts.select("cls", "n"), "cls"), "cls")
     if tried is None:
         x = x.withColumn("comp", F.col("cls"))
     heads = x.groupBy(*key).agg(F.max(F.struct("w", "cls", "n", "comp")).alias("a"))
@@ -427,16 +445,22 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     spark = docs.sparkSession
     buckets = max(1, partitions(spark))
     even = even_labels(spark, buckets)
-    kept = bucketed(_blocks(docs, k, id_col, text_col), "jaccard", buckets, "block")
+    kept = bucketed(_blocks(docs, k, num, den, id_col, text_col), "jaccard", buckets, "block")
     texts = kept.where("bucket = -1").select("block", "payload")
-    rows = kept.where("bucket = -2").select("block", "payload").mapInArrow(_documents, "block long, pos long, doc_id long, n long, cls long")
-    lists = texts.select("payload").mapInArrow(_signed(k, num, den, even), "bucket int, payload binary").groupBy("bucket").applyInArrow(_lists, "digest long, size int, shared long, cls array<long>, n array<long>, need array<int>, below array<boolean>")
-    lists = lists.groupBy("digest", "size").agg(F.sum("shared").alias("shared"), F.first(F.arrays_zip("cls", "n", "need", "below")).alias("m"))
-    member = materialize(lists.select("digest", "size", "shared", F.explode("m").alias("m")).select("digest", "size", "shared", "m.cls", "m.n", "m.need", "m.below"), "member")
+    rows = kept.where("bucket = -2").select("block", "payload").mapInArrow(_documents, "block long, pos long, doc_id long, n long, own long, cls long, need int, down int")
+    heads = materialize(rows.where("n > 0").groupBy("own").agg(F.min(F.struct("block", "pos", "n", "cls", "need", "down")).alias("at"), F.min("doc_id").alias("least")).select("own", "least", "at.*"), "heads")
+    facts = heads.select("cls", "n", "need", "down")
+
+    def sign(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _signed(left, right, k, num, den, even)
+
+    signed = texts.groupBy("block").cogroup(heads.select("block", "pos").groupBy("block")).applyInArrow(sign, "block long, bucket int, payload binary")
+    lists = signed.groupBy("bucket").applyInArrow(_lists, "digest long, size int, shared long, cls array<long>, below array<boolean>")
+    lists = lists.groupBy("digest", "size").agg(F.sum("shared").alias("shared"), F.first(F.arrays_zip("cls", "below")).alias("m"))
+    member = materialize(lists.select("digest", "size", "shared", F.explode("m").alias("m")).select("digest", "size", "shared", "m.cls", "m.below"), "member")
     for _ in range(2):
-        member = thin(member)
-    nodes = member.select("cls").distinct()
-    places = materialize(rows.join(nodes, "cls").groupBy("cls").agg(F.min(F.struct("block", "pos")).alias("at")).select("cls", "at.block", "at.pos"), "places")
+        member = thin(member, facts)
+    places = materialize(heads.join(member.select("cls").distinct(), "cls").select("cls", "n", "block", "pos"), "places")
     nodes = places.select("cls")
     close = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
 
@@ -461,17 +485,17 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
         return materialize(sent.groupBy("a", "salt").applyInArrow(_verifier(k, num, den), "a long, b long"), what)
 
     # each class against one pivot, then those that are still apart against another
-    tried = materialize(_stars(member, close), "stars")
+    tried = materialize(_stars(member, facts, close), "stars")
     links = verify(tried, "links")
     labels = components(links, nodes)
-    left = thin(member, labels)
-    more = materialize(_stars(left.join(labels, "cls"), close, tried), "stars")
+    left = thin(member, facts, labels)
+    more = materialize(_stars(left.join(labels, "cls"), facts, close, tried), "stars")
     if more.limit(1).count():
         links, tried = links.unionByName(verify(more, "links")), tried.unionByName(more)
         labels = components(links, nodes)
 
     # what is not joined now: classes with enough tokens in other components, and of these the pairs that share a rare one
-    rest = materialize(thin(left, labels).select("cls", "n").distinct().join(labels, "cls").join(places, "cls"), "rest")
+    rest = materialize(thin(left, facts, labels).select("cls").distinct().join(labels, "cls").join(places, "cls"), "rest")
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -528,10 +552,10 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
         late = materialize(lent.groupBy("grp", "lo", "hi").applyInArrow(_joiner(k, num, den), "a long, b long"), "links")
         labels = components(links.unionByName(late), nodes)
 
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    classes = heads.select("own", "least", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = classes.select("cls", "comp").join(named, "comp").select("cls", "component_id")
-    full = rows.where("n > 0").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = classes.select("own", "comp").join(named, "comp").select("own", "component_id")
+    full = rows.where("n > 0").join(named, "own").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

@@ -159,6 +159,22 @@ def test_similar_sets_share_what_they_need(common, left, right, seed):
     assert len(np.intersect1d(p, q)) >= max(least_a, least_b) >= 1
 
 
+def test_signatures_cost_the_same_in_many_buckets():
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    texts = [sentence(rng, 300) for _ in range(60)] + [""]
+    raw = jaccard._pack_block(list(range(61)), pa.array(texts, pa.large_string()))
+    left, right = pa.table({"block": pa.array([5]), "payload": pa.array([raw], pa.binary())}), pa.table({"block": pa.array([5] * 60), "pos": pa.array(range(60))})
+
+    def dealt(buckets):
+        got = jaccard._signed(left, right, 5, 75, 100, list(range(buckets)))
+        return sum(len(x) - 16 for x in got.column("payload").to_pylist()), sorted(v for x in got.column("payload").to_pylist() for v in zip(*map(np.ndarray.tolist, jaccard._dealt(x, 0)[1:]), strict=True))
+
+    (few, one), (many, other) = dealt(4), dealt(1000)
+    assert few == many and one == other and {of >> 1 for _, of in one} == set(range(60))
+
+
 def test_keep_one(docs, rows):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
