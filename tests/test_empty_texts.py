@@ -19,7 +19,7 @@ def tables(spark, tmp_path_factory):
     return str(path), c
 
 
-@pytest.mark.parametrize("name", ["x07"])
+@pytest.mark.parametrize("name", ["x07", "m01"])
 def test_empty_texts(name, spark, tables):
     path, c = tables
     assert same(registry.queries()[name](spark, path), c, registry.oracles()[name])
